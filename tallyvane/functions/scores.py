@@ -36,6 +36,12 @@ def fold_sum(parts: Sequence[Column]) -> Column:
     return total
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; for run-time parameters that would
+    otherwise be repeated in every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -90,6 +96,12 @@ def max_prob(p: Column) -> Column:
     return F.array_max(p)
 
 
+def max_prob_of_logits(z: Column, k: int) -> Column:
+    """SC2. The largest softmax probability without the other K − 1: 1 / Σ exp(z − max)."""
+    top = F.array_max(z)
+    return 1.0 / fold_sum([F.exp(z[i] - top) for i in range(k)])
+
+
 def nll(z: Column, y: Column, k: int) -> Column:
     """Negative log-likelihood of class ``y`` straight from logits."""
     return logsumexp(z, k) - z[y]
@@ -123,14 +135,19 @@ def dirichlet(z: Column, weight: Sequence[Sequence[float]] | Column, bias: Vecto
             raise ValueError(f"dirichlet weight must be {k} x {k}")
         ok = F.lit(True)
         row = lambda i: [F.lit(float(v)) for v in weight[i]]
-    lifted = F.transform(F.array(lp), lambda v: F.array(*[
+    lifted = let(lp, lambda v: F.array(*[
         fold_sum([w * v[j] for j, w in enumerate(row(i))]) + at(bias, i) for i in range(k)
-    ]))[0]
+    ]))
     return F.when(ok, lifted).otherwise(F.raise_error(F.lit("dirichlet shape mismatch")).cast("array<double>"))
 
 
 def prior_ratio(train: Vector, target: Vector, k: int) -> list[Column]:
-    """target/train with both clipped at 1e-12 and renormalised."""
+    """target/train with both clipped at 1e-12 and renormalised; literals are folded here."""
+    if not isinstance(train, Column) and not isinstance(target, Column):
+        clip = lambda p: [max(float(v), FLOOR) for v in p]
+        s, t = clip(train), clip(target)
+        return [F.lit((b / sum(t)) / (a / sum(s))) for a, b in zip(s, t)]
+
     def norm(p: Vector) -> list[Column]:
         clipped = [F.greatest(at(p, i), F.lit(FLOOR)) for i in range(k)]
         total = fold_sum(clipped)
@@ -147,6 +164,9 @@ def shift_logits(z: Column, train: Vector, target: Vector, k: int) -> Column:
 def shift_probs(p: Column, train: Vector, target: Vector, k: int) -> Column:
     """SC7. Prior shift in probability space; an all-zero row stays zero."""
     ratio = prior_ratio(train, target, k)
+    if isinstance(train, Column) or isinstance(target, Column):
+        moved = let(F.array(*ratio), lambda q: F.array(*[p[i] * q[i] for i in range(k)]))
+        return let(moved, lambda a: normalise(a, k))
     return normalise(F.array(*[p[i] * ratio[i] for i in range(k)]), k)
 
 

@@ -53,14 +53,12 @@ def perturbation(df: DataFrame, key: str, features: str, names: Sequence[str], s
 
     All variants of a row are scored in one projection; returns (key, pred, attribution map).
     """
-    d = len(names)
     rows = df.select(key, F.col(features).alias("x")).withColumn("p", sc.softmax(scorer(F.col("x")), k))
     rows = rows.withColumn("pred", sc.argmax(F.col("p")))
-    variants = F.array(*[
-        F.struct(F.lit(n).alias("feature"), F.array(*[F.lit(0.0) if i == j else F.col("x")[i] for i in range(d)]).alias("xv"))
-        for j, n in enumerate(names)
-    ])
-    long = rows.select(key, "pred", F.col("p")[F.col("pred")].alias("base"), F.inline(variants))
+    long = rows.select(
+        key, "pred", F.col("p")[F.col("pred")].alias("base"), "x",
+        F.posexplode(F.array(*[F.lit(n) for n in names])).alias("j", "feature"),
+    ).withColumn("xv", F.transform("x", lambda v, i: F.when(i == F.col("j"), 0.0).otherwise(v)))
     scored = long.select(key, "pred", "feature", "base", sc.softmax(scorer(F.col("xv")), k).alias("pv"))
     delta = F.round(F.col("base") - F.col("pv")[F.col("pred")], 6)
     return scored.groupBy(key, "pred").agg(

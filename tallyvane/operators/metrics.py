@@ -34,7 +34,9 @@ def confusion_matrix(df: DataFrame, k: int, y: str = "y", pred: str = "pred") ->
     spine = df.sparkSession.range(k * k).select(
         F.floor(F.col("id") / k).cast("int").alias("y"), (F.col("id") % k).cast("int").alias("pred")
     )
-    return spine.join(confusion(df, y, pred), ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    # a union instead of an outer join: no null check on the keys is pushed down to the scores
+    cells = spine.withColumn("n", F.lit(0).cast("long")).unionByName(confusion(df, y, pred))
+    return cells.groupBy("y", "pred").agg(F.sum("n").alias("n"))
 
 
 def confusion_pivot(df: DataFrame, k: int) -> DataFrame:
@@ -165,20 +167,24 @@ def calibration_error(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return bins.groupBy(*by).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def one_vs_rest(df: DataFrame, keep: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
-    """Long form (cls, score, positive): K rows per prediction, folded map-side by what follows."""
-    return df.select(*keep, F.posexplode(p).alias("cls", "score"), F.col(y).alias("_y")).select(
-        *keep, "cls", "score", (F.col("cls") == F.col("_y")).alias("positive")
-    )
+def one_vs_rest(df: DataFrame, k: int, keep: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
+    """Long form (cls, score, positive): K rows per prediction, folded map-side by what follows.
+
+    A literal array of structs needs no emptiness check, which would re-evaluate the scores.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("cls"), F.col(p)[i].alias("score"), (F.col(y) == i).alias("positive")) for i in range(k)
+    ])
+    return df.select(*keep, F.inline(cells))
 
 
-def auc_one_vs_rest(df: DataFrame) -> DataFrame:
+def auc_one_vs_rest(df: DataFrame, k: int) -> DataFrame:
     """AGG11/WIN5. Tie-averaged Mann-Whitney AUC of each class.
 
     Scores are counted per distinct value before ordering, so ties cost nothing and the running
     totals are range-partitioned.
     """
-    counted = one_vs_rest(df).groupBy("cls", "score").agg(
+    counted = one_vs_rest(df, k).groupBy("cls", "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     run = prefix_sums(counted, ["cls"], [F.col("score")], ["neg"])
