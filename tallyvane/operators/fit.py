@@ -76,21 +76,29 @@ def fit_temperature(df: DataFrame, k: int, floor: float = 0.05, tol: float = 1e-
 
 # ---- softmax-linear fits (per-class temperature, Dirichlet) --------------------
 
-def _batched(df: DataFrame, k: int, kernel) -> np.ndarray:
-    """Sum a numpy statistic over all rows. ``kernel(z, y)`` returns one flat vector per batch.
+def _batched(df: DataFrame, columns: Sequence[str], kernel) -> np.ndarray:
+    """Sum a numpy statistic over all rows. ``kernel(*arrays)`` returns one flat vector per batch.
 
-    Tasks emit one vector per task as (pos, value) rows; Spark adds them up by position.
+    Tasks emit one vector per task as (pos, value) rows; Spark adds them up by position. The
+    parameters live in the kernel, so no stage is compiled again between steps.
     """
+    def stack(s: pd.Series) -> np.ndarray:
+        first = s.iloc[0]
+        return s.to_numpy() if np.isscalar(first) else np.stack([np.stack(v) if v.dtype == object else v for v in s]).astype(float)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
             if len(pdf):
-                part = kernel(np.stack(pdf["z"].to_numpy()).astype(float), pdf["y"].to_numpy())
+                part = kernel(*[stack(pdf[c]) for c in columns])
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
-    sums = df.select("y", "z").mapInPandas(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("v"))
+
+    sums = df.select(*columns).mapInPandas(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("v"))
     rows = sums.collect()  # one number per statistic
+    if not rows:
+        raise ValueError("nothing to fit: the table is empty")
     out = np.zeros(len(rows))
     for r in rows:
         out[r.pos] = r.v
@@ -130,7 +138,7 @@ def fit_class_temperatures(df: DataFrame, k: int, floor: float = 0.1) -> tuple[l
             pz = p * z
             h = np.diag((pz * z).sum(axis=0)) - pz.T @ pz
             return np.concatenate([[len(y), (lse - s[np.arange(len(y)), y]).sum()], g, h.ravel()])
-        v = _batched(df, k, kernel)
+        v = _batched(df, ["z", "y"], kernel)
         n = v[0]
         return v[1] / n, v[2:2 + k] / n, v[2 + k:].reshape(k, k) / n
     u, loss = _newton(evaluate, np.ones(k), clip=lambda x: np.clip(x, 1e-3, 1.0 / floor))
@@ -163,7 +171,7 @@ def fit_dirichlet(df: DataFrame, k: int, l2_off: float = 0.01, l2_bias: float =
             for c in range(k):
                 h[c * d:(c + 1) * d, c * d:(c + 1) * d] += f.T @ (p[:, c:c + 1] * f)
             return np.concatenate([[n, (lse - s[np.arange(n), y]).sum()], g.ravel(), h.ravel()])
-        v = _batched(df, k, kernel)
+        v = _batched(df, ["z", "y"], kernel)
         n, m = v[0], k * d
         loss = v[1] / n + (reg * wb**2).sum()
         return loss, v[2:2 + m] / n + (2 * reg * wb).ravel(), v[2 + m:].reshape(m, m) / n + np.diag(2 * reg.ravel())
@@ -186,35 +194,51 @@ def stack_models(df: DataFrame, models: Sequence[object], k: int) -> DataFrame:
     )
 
 
-def fit_ensemble_weights(stacked: DataFrame, n_models: int, k: int, max_iter: int = 60, tol: float = 1e-7) -> tuple[list[float], float]:
-    """FIT5. Simplex weights by NLL: Newton direction on θ with w = softmax(θ), several step
-    lengths judged in the same scan. Returns (weights, nll)."""
-    def blend(w: Sequence[float]) -> Column:
-        return F.array(*[sc.fold_sum([F.lit(float(w[m])) * F.col("zs")[m][i] for m in range(n_models)]) for i in range(k)])
-    def losses(ws: list[np.ndarray]) -> list[float]:
-        row = stacked.agg(*[F.avg(sc.nll(blend(w), F.col("y"), k)).alias(f"l{j}") for j, w in enumerate(ws)]).first()
-        return list(row)
-    def gradient(w: np.ndarray) -> np.ndarray:
-        p = stacked.select("y", "zs", sc.softmax(blend(w), k).alias("p"))
-        row = p.agg(*[
-            F.avg(sc.fold_sum([F.col("p")[i] * F.col("zs")[m][i] for i in range(k)]) - F.col("zs")[m][F.col("y")]) for m in range(n_models)
-        ]).first()
-        return np.array(row, dtype=float)
-    soft = lambda t: np.exp(t - t.max()) / np.exp(t - t.max()).sum()
-    theta = np.zeros(n_models)
-    loss = losses([soft(theta)])[0]
-    rate = 1.0
+def _simplex_quadratic(w: np.ndarray, g: np.ndarray, h: np.ndarray, steps: int = 4000) -> np.ndarray:
+    """Minimiser over the simplex of the quadratic model at ``w`` (a few numbers, one per model)."""
+    v = w.copy()
+    rate = 1.0 / (np.abs(np.linalg.eigvalsh(h)).max() + np.abs(g).max() + 1e-12)
+    for _ in range(steps):
+        grad = g + h @ (v - w)
+        v = v * np.exp(-rate * (grad - grad.min()))
+        v = v / v.sum()
+    return v
+
+
+def fit_ensemble_weights(stacked: DataFrame, n_models: int, k: int, max_iter: int = 25, tol: float = 1e-8) -> tuple[list[float], float]:
+    """FIT5. Simplex weights minimising the NLL of Σ w·z, from uniform.
+
+    The NLL is convex in w, so each step minimises its local quadratic over the simplex and halves
+    the move until the loss falls: a handful of scans. Returns (weights, nll).
+    """
+    def evaluate(w: np.ndarray):
+        def kernel(zs, y):
+            n, rows = len(y), np.arange(len(y))
+            z = np.einsum("m,nmk->nk", w, zs)
+            z = z - z.max(axis=1, keepdims=True)
+            lse = np.log(np.exp(z).sum(axis=1))
+            p = np.exp(z - lse[:, None])
+            mean = np.einsum("nk,nmk->nm", p, zs)
+            g = (mean - zs[rows, :, y]).sum(axis=0)
+            h = np.einsum("nk,nmk,nlk->ml", p, zs, zs) - mean.T @ mean
+            return np.concatenate([[n, (lse - z[rows, y]).sum()], g, h.ravel()])
+        v = _batched(stacked, ["zs", "y"], kernel)
+        return v[1] / v[0], v[2:2 + n_models] / v[0], v[2 + n_models:].reshape(n_models, n_models) / v[0]
+    w = np.full(n_models, 1.0 / n_models)
+    loss, g, h = evaluate(w)
     for _ in range(max_iter):
-        w = soft(theta)
-        g = gradient(w)
-        direction = -w * (g - w @ g)
-        rates = [rate * 4.0**e for e in (2, 1, 0, -1, -2)]
-        tried = losses([soft(theta + r * direction) for r in rates])
-        j = int(np.argmin(tried))
-        if tried[j] >= loss - tol:
+        move = _simplex_quadratic(w, g, h) - w
+        share, accepted = 1.0, False
+        while share > 1e-4 and not accepted:
+            t_loss, t_g, t_h = evaluate(w + share * move)
+            accepted = t_loss <= loss + 1e-14
+            share = share if accepted else share / 2
+        if not accepted:
+            break
+        gain, w, loss, g, h = loss - t_loss, w + share * move, t_loss, t_g, t_h
+        if gain < tol:
             break
-        theta, loss, rate = theta + rates[j] * direction, tried[j], rates[j]
-    return [float(x) for x in soft(theta)], float(loss)
+    return [float(x) for x in w], float(loss)
 
 
 def fit_ensemble_weights_f1(stacked: DataFrame, n_models: int, k: int, candidates: Sequence[Sequence[float]]) -> DataFrame:
@@ -228,10 +252,15 @@ def fit_ensemble_weights_f1(stacked: DataFrame, n_models: int, k: int, candidate
 
 # ---- priors -------------------------------------------------------------------
 
-def sld_step(probs: DataFrame, ratio: Sequence[float], k: int) -> list[float]:
-    moved = sc.normalise(F.array(*[F.col("p")[i] * F.lit(float(r)) for i, r in enumerate(ratio)]), k, sc.FLOOR)
-    row = probs.select(moved.alias("q")).agg(*[F.avg(F.col("q")[i]) for i in range(k)]).first()
-    return list(row)
+def sld_step(probs: DataFrame, ratio: Sequence[float]) -> np.ndarray:
+    """One E and M step: mean of the reweighted, renormalised probabilities."""
+    ratio = np.asarray(ratio, dtype=float)
+    def kernel(p):
+        moved = p * ratio
+        moved = moved / np.maximum(moved.sum(axis=1, keepdims=True), sc.FLOOR)
+        return np.concatenate([[len(p)], moved.sum(axis=0)])
+    v = _batched(probs, ["p"], kernel)
+    return v[1:] / v[0]
 
 
 def sld_prior(
@@ -247,7 +276,7 @@ def sld_prior(
         train = train / train.sum()
     prior, steps = np.full(k, 1.0 / k), 0
     for steps in range(1, max_iter + 1):
-        new = np.array(sld_step(probs, prior / train, k))
+        new = sld_step(probs, prior / train)
         if finalize:
             new = np.maximum(new, sc.FLOOR)
             new = new / new.sum()
@@ -262,62 +291,64 @@ def sld_prior(
 
 # ---- class scales -------------------------------------------------------------
 
-def scale_curve(df: DataFrame, cls: int, scales: Column | Sequence[float], k: int, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def scale_curve(
+    df: DataFrame, cls: int, scales: Column | Sequence[float], k: int, lo: float = GRID_LO, hi: float = GRID_HI,
+    step: float = GRID_STEP, by: Sequence[str] = (),
+) -> DataFrame:
     """FIT7. Confusion of *every* trial scale of one class from one scan: (by..., point, y, pred, n).
 
     With the other scales fixed a row has one rival (its best other class) and flips to ``cls`` at
     the first trial scale whose product beats it. Rows are counted by (truth, rival, flip point);
-    the confusion at a trial is then a running sum over at most K²·|points| counts instead of
-    |points| rescans or a row x candidate product.
+    the confusion at a trial is then a running sum over at most K²·points counts instead of a
+    rescan per trial or a row x candidate product. Point −1 is the class's current scale.
     """
+    points = len(grid(lo, hi, step))
     s = lambda i: sc.at(scales, i)
-    others = [i for i in range(k) if i != cls]
     scaled = F.array(*[F.col("p")[i] * s(i) if i != cls else F.lit(-1.0) for i in range(k)])
-    rivals = df.select(*by, "y", F.col("p")[cls].alias("_own"), scaled.alias("_o"))
-    rivals = rivals.select(*by, "y", "_own", sc.argmax(F.col("_o")).alias("rival"), F.array_max("_o").alias("_top"))
-    lost = lambda t: (F.col("_own") * F.lit(t) < F.col("_top")) | ((F.col("_own") * F.lit(t) == F.col("_top")) & (F.col("rival") < cls))
-    flip = sc.fold_sum([F.when(lost(t), 1).otherwise(0) for t in points])
-    counted = rivals.groupBy(*by, "y", "rival", flip.alias("flip")).agg(F.count("*").alias("n"))
-    at = counted.select(*by, "y", "rival", "flip", "n", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("point"))
-    pred = F.when(F.col("point") >= F.col("flip"), F.lit(cls)).otherwise(F.col("rival"))
-    return at.groupBy(*by, "point", "y", pred.alias("pred")).agg(F.sum("n").alias("n"))
+    rivals = df.select(*by, "y", F.col("p")[cls].alias("_own"), s(cls).alias("_cur"), scaled.alias("_o"))
+    rivals = rivals.select(*by, "y", "_own", "_cur", sc.argmax(F.col("_o")).alias("rival"), F.array_max("_o").alias("_top"))
+    lost = lambda t: (F.col("_own") * t < F.col("_top")) | ((F.col("_own") * t == F.col("_top")) & (F.col("rival") < cls))
+    at = lambda i: F.round(F.lit(lo) + i * F.lit(step), 10)
+    # the ratio gives the flip point up to rounding; its neighbours settle it exactly
+    raw = F.ceil((F.col("_top") / F.col("_own") - lo) / step)
+    rivals = rivals.withColumn("_g", F.when(F.col("_own") > 0, F.least(F.greatest(raw, F.lit(0)), F.lit(points))).otherwise(
+        F.when(lost(F.lit(1.0)), points).otherwise(0)).cast("int"))
+    g = F.col("_g")
+    flip = F.when((g > 0) & ~lost(at(g - 1)), g - 1).when(~lost(at(g)), g).otherwise(g + 1)
+    counted = rivals.groupBy(*by, "y", "rival", F.least(flip, F.lit(points)).alias("flip"), lost(F.col("_cur")).alias("_now")).agg(F.count("*").alias("n"))
+    spread = counted.select(*by, "y", "rival", "flip", "_now", "n", F.explode(F.sequence(F.lit(-1), F.lit(points - 1))).alias("point"))
+    wins = F.when(F.col("point") < 0, ~F.col("_now")).otherwise(F.col("point") >= F.col("flip"))
+    return spread.groupBy(*by, "point", "y", F.when(wins, F.lit(cls)).otherwise(F.col("rival")).alias("pred")).agg(F.sum("n").alias("n"))
 
 
 def greedy_scales(
-    df: DataFrame, k: int, points: Sequence[float] | None = None, passes: int = 3, by: str | None = None, groups: Sequence[object] = (None,),
-    labels: int | None = None,
+    df: DataFrame, k: int, lo: float = GRID_LO, hi: float = GRID_HI, step: float = GRID_STEP, passes: int = 3,
+    by: str | None = None, groups: Sequence[object] = (None,), labels: int | None = None,
 ) -> dict[object, tuple[list[float], float]]:
     """FIT7/FIT8. Greedy per-class grid; with ``by`` the search runs for all groups in the same jobs.
 
     Returns group -> (scales, macro-F1). A trial must beat the current score strictly.
     """
-    points = list(points or grid(GRID_LO, GRID_HI, GRID_STEP))
+    points = grid(lo, hi, step)
     keys = [by] if by else []
     state = {g: [1.0] * k for g in groups}
     score = dict.fromkeys(groups, -1.0)
     for _ in range(passes):
         improved = False
         for c in range(k):
+            data, current = df, state[groups[0]]
             if by:
                 table = F.create_map(*[x for g in groups for x in (F.lit(g), sc.vec(state[g]))])
-                scales = F.try_element_at(table, F.col(by))
-                data = df.withColumn("_s", scales)
-                current = F.col("_s")
-            else:
-                data, current = df, state[None]
-            # the current value is tried as well: it is the score to beat
-            now = {g: state[g][c] for g in groups}
-            trial = sorted(set(points) | set(now.values()))
-            curve = scale_curve(data, c, current, k, trial, keys)
+                data, current = df.withColumn("_s", F.try_element_at(table, F.col(by))), F.col("_s")
+            curve = scale_curve(data, c, current, k, lo, hi, step, keys)
+            # points x groups rows
             rows = mt.summary(curve, keys + ["point"], labels).select(*keys, "point", "macro_f1").collect()
             for g in groups:
-                mine = {trial[r["point"]]: r["macro_f1"] for r in rows if not by or r[by] == g}
-                base = mine[now[g]]
-                allowed = [(f, t) for t, f in mine.items() if t in set(points) or t == now[g]]
-                top = max(f for f, _ in allowed)
-                score[g] = base
-                if top > base:
-                    state[g][c] = min(t for f, t in allowed if f == top)
+                mine = {r["point"]: r["macro_f1"] for r in rows if not by or r[by] == g}
+                score[g] = mine.pop(-1)
+                top = max(mine.values())
+                if top > score[g]:
+                    state[g][c] = points[min(i for i, f in mine.items() if f == top)]
                     score[g], improved = top, True
         if not improved:
             break
@@ -334,14 +365,14 @@ def scaled_f1(df: DataFrame, scales: dict[str, Sequence[float]], k: int, by: Seq
     return mt.summary(mt.confusion(judged, by=keys), keys, labels)
 
 
-def kfold_scales(df: DataFrame, k: int, folds: int, points: Sequence[float] | None = None, passes: int = 2) -> tuple[list[float], list[dict]]:
+def kfold_scales(df: DataFrame, k: int, folds: int, step: float = 0.1, passes: int = 2) -> tuple[list[float], list[dict]]:
     """FIT8. Scales fitted on each fold's complement, judged on the fold, averaged.
 
     ``df`` carries ``fold``. All complements are searched together: a row joins every fold but its own.
     """
     fold_ids = list(range(folds))
     train = df.select("y", "p", F.col("fold").alias("_own"), F.explode(F.array(*[F.lit(i) for i in fold_ids])).alias("held")).filter(F.col("held") != F.col("_own"))
-    fitted = greedy_scales(train, k, points or grid(GRID_LO, GRID_HI, 0.1), passes, by="held", groups=fold_ids)
+    fitted = greedy_scales(train, k, step=step, passes=passes, by="held", groups=fold_ids)
     table = F.create_map(*[x for g in fold_ids for x in (F.lit(g), sc.vec(fitted[g][0]))])
     judged = df.select("fold", "y", F.inline(F.array(
         F.struct(F.lit("baseline").alias("variant"), sc.argmax(F.col("p")).alias("pred")),
@@ -395,14 +426,14 @@ def evolve_scales(
     return pool[best], value[best]
 
 
-def guarded_scales(tune: DataFrame, check: DataFrame, k: int, passes: int = 3, points: Sequence[float] | None = None) -> dict[str, object]:
+def guarded_scales(tune: DataFrame, check: DataFrame, k: int, passes: int = 3) -> dict[str, object]:
     """FIT10. Tune on one part, trust on another.
 
     A loss on the check part reverts to ones; a gain above .15 is suspicious and falls back to the
     best single-class move on the coarse grid; anything between keeps the tuned scales.
     """
     ones = [1.0] * k
-    tuned, _ = greedy_scales(tune, k, points, passes)[None]
+    tuned, _ = greedy_scales(tune, k, passes=passes)[None]
     scores = {r.variant: r.macro_f1 for r in scaled_f1(check, {"base": ones, "tuned": tuned}, k).collect()}
     delta = scores["tuned"] - scores["base"]
     if delta < 0:

@@ -188,8 +188,10 @@ def poisson_balanced(df: DataFrame, by: str, key: str, seed: int | str, power: f
             F.map_from_entries(F.collect_list(F.struct(by, "w"))).alias("w"), F.sum("m").alias("m"), F.sum("n").alias("n")
         )
     ).scalar()
-    rate = F.try_element_at(lam["w"], F.col(by)) * lam["n"] / lam["m"]
-    u = uniform(F.lit(seed), F.col(key))
+    rows = df.withColumn("_lam", lam)
+    lam = F.col("_lam")
+    rows = rows.withColumns({"_rate": F.try_element_at(lam["w"], F.col(by)) * lam["n"] / lam["m"], "_u": uniform(F.lit(seed), F.col(key))})
+    rate, u = F.col("_rate"), F.col("_u")
     # walk the CDF; state = (k, pmf, cdf). 1 - 2^-52 is reached long before the bound.
     bound = (F.lit(20) + F.ceil(rate + 10 * F.sqrt(rate))).cast("int")
     walk = F.aggregate(
@@ -199,7 +201,7 @@ def poisson_balanced(df: DataFrame, by: str, key: str, seed: int | str, power: f
             i.alias("k"), (s["pmf"] * rate / i).alias("pmf"), (s["cdf"] + s["pmf"] * rate / i).alias("cdf"))),
         lambda s: s["k"],
     )
-    return df.withColumn("copies", walk)
+    return rows.withColumn("copies", walk).drop("_lam", "_rate", "_u")
 
 
 def weighted_with_replacement(df: DataFrame, by: str, key: str, seed: int | str, power: float = 0.5) -> DataFrame:
@@ -216,7 +218,7 @@ def weighted_with_replacement(df: DataFrame, by: str, key: str, seed: int | str,
         F.sum(F.pow(F.col("n").cast("double"), F.lit(1.0 - power))).over(Window.partitionBy()).alias("all"),
     )
     arr = table.agg(F.array_sort(F.collect_list(F.struct((F.col("hi") / F.col("all")).alias("hi"), F.col(by).alias("cls"), "n")))).scalar()
-    draws = df.sparkSession.range(total).select("id", uniform(F.lit(seed), F.lit("class"), "id").alias("_u"), arr.alias("_t"))
+    draws = df.sparkSession.range(total).select("id", uniform(F.lit(seed), F.lit("class"), F.col("id")).alias("_u"), arr.alias("_t"))
     picked = draws.select("id", F.coalesce(F.filter("_t", lambda s: F.col("_u") < s["hi"])[0], F.element_at("_t", -1)).alias("c"))
     wanted = picked.select(
         "id", F.col("c")["cls"].alias(by),

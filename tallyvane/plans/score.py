@@ -155,11 +155,11 @@ SELECT row_id, {rq('max(q)')} AS conf, max(q) FILTER (WHERE k = 0) >= 0.2 AS tri
 def src11(spark, sf):
     rows = pred(spark, sf).withColumn("prm", one_row(params_table(spark, sf)))
     prm = F.col("prm")
-    rows = rows.withColumn("p", sc.softmax(sc.temperature(F.col("z"), K, per_class=prm["class_temperature"], scalar=prm["temperature"]), K))
-    rows = rows.withColumn("p", sc.shift_probs(F.col("p"), prm["train_prior"], [0.1] * K, K))
-    scales = F.coalesce(prm["scales"], F.array(*[F.lit(1.0)] * K))
-    rows = rows.withColumn("p", sc.scale_probs(F.col("p"), scales, K))
-    return rows.select("row_id", r(F.array_max("p")).alias("conf"), sc.override_flag(F.col("p"), 0, prm["threshold"]).alias("triggered"))
+    rows = rows.withColumn("zt", sc.temperature(F.col("z"), K, per_class=prm["class_temperature"], scalar=prm["temperature"]))
+    rows = rows.withColumn("p", sc.softmax(F.col("zt"), K))
+    rows = rows.withColumn("q", sc.shift_probs(F.col("p"), prm["train_prior"], [0.1] * K, K))
+    rows = rows.withColumn("q", sc.scale_probs(F.col("q"), F.coalesce(prm["scales"], F.array(*[F.lit(1.0)] * K)), K))
+    return rows.select("row_id", r(F.array_max("q")).alias("conf"), sc.override_flag(F.col("q"), 0, prm["threshold"]).alias("triggered"))
 
 
 @query("jn9_row_aligned", W + f", m AS (SELECT vec_id, label % 3 AS grp FROM embeddings) SELECT row_id, pred, CAST(grp AS INTEGER) AS grp FROM pr JOIN m ON m.vec_id = pr.row_id")
