@@ -189,45 +189,41 @@ def duplicate_pair_totals(fingerprints: DataFrame, pairs: DataFrame) -> DataFram
     return equal.unionByName(near).groupBy("distance").agg(F.sum("m").alias("n_pairs"))
 
 
-def keep_lowest(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def keep_lowest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SET2. Greedy removal: walk ids upward, a kept item removes its later near-duplicates.
 
     A removed item removes nobody, so the result is the first maximal independent set by id
-    and not a component labelling. Per round every undecided node whose lower neighbours are
-    all removed is kept, and every node with a kept lower neighbour is removed; each round
-    is one join over the still undecided edges and ends in a reliable checkpoint.
+    and not a component labelling. Per round every node without a lower neighbour left is kept
+    and its higher neighbours are removed; edges touching a decided node then go. Each round
+    settles at least the lowest node of every component and ends in a reliable checkpoint.
     """
-    ids = cut_lineage(nodes.select("id").distinct())
     live = cut_lineage(edges.select("id_a", "id_b"))
     removed: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
-        # a node with no lower neighbour left is kept; it removes its higher neighbours
-        waiting = live.select(F.col("id_b").alias("id_a")).distinct()
-        kept = live.join(waiting, "id_a", "left_anti").select("id_a").distinct()
-        gone = cut_lineage(live.join(kept, "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct())
+    while not live.isEmpty():
+        blocked = live.select(F.col("id_b").alias("id_a")).distinct()
+        kept = live.join(blocked, "id_a", "left_anti")
+        gone = cut_lineage(kept.select(F.col("id_b").alias("id")).distinct())
         removed.append(gone)
+        # an edge from a kept node ends in a removed one, so dropping removed ends drops it too
         live = cut_lineage(
-            live.join(kept, "id_a", "left_anti")
+            live.join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
             .join(gone.withColumnRenamed("id", "id_a"), "id_a", "left_anti")
-            .join(gone.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
         )
-    else:
-        raise RuntimeError("near-duplicate removal did not settle; raise max_rounds")
+    ids = nodes.select("id").distinct()
     if not removed:
         return ids.withColumn("kept", F.lit(True))
     out = reduce(DataFrame.unionByName, removed).withColumn("_gone", F.lit(True))
     return ids.join(out, "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
-def near_dedup(df: DataFrame, key: str, text: str, limit: int = 8, width: int = 16) -> DataFrame:
+def near_dedup(df: DataFrame, key: str, text: str, limit: int = 8, width: int | None = None) -> DataFrame:
     """SET2 end to end: every input key with its kept flag.
 
     Only the lowest key of each fingerprint can survive, so copies are settled without a pair.
     """
     prints = cut_lineage(simhash(df, key, text))
     groups = cut_lineage(copies(prints, key))
+    width = width or choose_width(groups.count())
     verdict = keep_lowest(groups, near_pairs(groups, limit, width))
     survivors = verdict.filter("kept").select(F.col("id").alias(key))
     flagged = df.select(key).join(survivors.withColumn("_k", F.lit(True)), key, "left")

@@ -33,7 +33,7 @@ def hash_cuts(
 ) -> DataFrame:
     """Per group, the hash at each target rank: columns (by..., slot, cut).
 
-    ``targets`` maps the group's row count to 1-based ranks. ``hash <= cut`` then selects
+    ``by`` is empty or a class domain. ``targets`` maps the group's row count to 1-based ranks. ``hash <= cut`` then selects
     exactly that many rows. Counting by hash prefix first means only the rows that share a
     prefix with a cut are ranked: one bucket in 16**digits of a group, however hot.
     """
@@ -53,8 +53,9 @@ def hash_cuts(
         *by, "slot", "_b", (F.col("_t") - F.col("_upto") + F.col("_c")).alias("_r")
     )
     within = Window.partitionBy(*by, "slot", "_b").orderBy("_h")
+    # hit holds one row per class and cut, so the hashes of all other buckets are dropped unshuffled
     exact = (
-        hashed.join(hit, by + ["_b"])
+        hashed.join(F.broadcast(hit), by + ["_b"])
         .withColumn("_k", F.row_number().over(within))
         .filter(F.col("_k") == F.col("_r"))
         .select(*by, "slot", F.col("_h").alias("cut"))

@@ -503,7 +503,10 @@ def jn7_totals(spark, sf):
     return dd.duplicate_pair_totals(prints, dd.near_pairs(prints))
 
 
-@query("set2_greedy_near_dedup")
+@query("set2_greedy_near_dedup", "WITH RECURSIVE " + NEAR + """, o AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, hi, lo FROM sh),
+g(i, ks) AS (SELECT 0::BIGINT, []::STRUCT(h BIGINT, l BIGINT)[] UNION ALL SELECT g.i + 1, CASE WHEN len(list_filter(g.ks, lambda k: bit_count(xor(k.h, o.hi)) + bit_count(xor(k.l, o.lo)) < 8)) > 0
+ THEN g.ks ELSE list_append(g.ks, {'h': o.hi, 'l': o.lo}) END FROM g JOIN o ON o.i = g.i + 1),
+n AS (SELECT i, len(ks) - lag(len(ks), 1, 0) OVER (ORDER BY i) AS grew FROM g) SELECT d.doc_id, coalesce(grew, 1) = 1 AS kept FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN n USING (i)""")
 def set2(spark, sf):
     return dd.near_dedup(table(spark, sf, "documents"), "doc_id", "text")
 

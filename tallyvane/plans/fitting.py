@@ -166,8 +166,9 @@ def fit10(spark, sf):
 @query("fit11_best_method", WB + "," + class_sql("bpr") + f""", o AS (SELECT 'default' AS method, avg(f1) AS score FROM cf UNION ALL SELECT 'zero', 0.0 UNION ALL SELECT 'also_default', avg(f1) FROM cf)
 SELECT method, {rq('score')} AS score FROM o ORDER BY o.score DESC, method LIMIT 1""")
 def fit11(spark, sf):
-    f1 = mt.summary(mt.confusion(big(spark, sf))).select("macro_f1").scalar()
-    scored = big(spark, sf).limit(1).select(F.inline(F.array(*[F.struct(F.lit(m).alias("method"), s.alias("score")) for m, s in (("default", f1), ("zero", F.lit(0.0)), ("also_default", f1))])))
+    got = mt.summary(mt.confusion(big(spark, sf)))
+    methods = (("default", F.col("macro_f1")), ("zero", F.lit(0.0)), ("also_default", F.col("macro_f1")))
+    scored = got.select(F.inline(F.array(*[F.struct(F.lit(m).alias("method"), s.alias("score")) for m, s in methods])))
     return rounded(fit.best_method(scored, "method", "score"), "score")
 
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyvane.functions import scores as sc
 from tallyvane.schema import CLASSES
@@ -82,17 +81,17 @@ vl AS (SELECT row_id, y, m.model, v.view, k, z + 0.01 * ((row_id * 7 + m.model *
 # ---- predictions over line items ------------------------------------------------
 
 def pred_big(spark: SparkSession, sf: str) -> DataFrame:
+    """row_id is the line's full key as text: unique without numbering the lines of an order."""
     li = table(spark, sf, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
     return li.select(
-        (F.col("l_orderkey") * 100000 + F.row_number().over(w)).alias("row_id"), F.col("l_orderkey").alias("grp"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), F.col("l_orderkey").alias("grp"),
         (F.array_position(F.array(*[F.lit(f) for f in FLAGS]), F.col("l_returnflag")) - 1).cast("int").alias("y"),
         F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50).alias("z"),
     )
 
 
 BIG = """
-bz AS (SELECT l_orderkey * 100000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS row_id,
+bz AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id,
               l_orderkey AS grp, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS INTEGER) AS y,
               l_discount * 10 AS z0, l_tax * 10 AS z1, l_quantity / 50 AS z2 FROM lineitem),
 bm AS (SELECT *, greatest(z0, z1, z2) AS zm FROM bz),

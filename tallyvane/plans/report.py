@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyvane.functions import clinical as cl, normalize as nz, scores as sc, text as tx
-from tallyvane.operators import casebook as cb, joins as jn, quality as qg
+from tallyvane.operators import casebook as cb, joins as jn, quality as qg, ranking as rk
 from tallyvane.plans.curate import INTAKE_SQL, intake
 from tallyvane.plans.fixtures import CASE, HISTORY, META, cases, flagged_cases, heat_sql, history, meta_raw, table
 from tallyvane.plans.registry import query, r, rq
@@ -183,17 +183,17 @@ def cnd9(spark, sf):
     return c.select("row_id", F.inline(checks)).select("row_id", "id", "status")
 
 
-@query("str5_fallback_report", WC + "," + _HINTS + """, o AS (SELECT row_id, k, p, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, k) AS pos FROM cp), al AS (SELECT o.row_id, n.label AS alt, round(round(p, 4) * 100, 1) AS altp FROM o JOIN names n USING (k) WHERE pos = 2),
-f AS (SELECT hn.*, alt, altp, round(conf * 100, 1) AS cp1 FROM hn JOIN al USING (row_id))
+@query("str5_fallback_report", WC + "," + _HINTS + """, o AS (SELECT row_id, k, p, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, k) AS pos FROM cp), al AS (SELECT o.row_id, n.label AS alt, CAST(round(CAST(CAST(round(p, 4) * 100 AS VARCHAR) AS DECIMAL(30, 20)), 1) AS DOUBLE) AS altp FROM o JOIN names n USING (k) WHERE pos = 2),
+f AS (SELECT hn.*, alt, altp, CAST(round(CAST(CAST(conf * 100 AS VARCHAR) AS DECIMAL(30, 20)), 1) AS DOUBLE) AS cp1 FROM hn JOIN al USING (row_id))
 SELECT row_id, """ + f"""'{_RULE}' || chr(10) || 'CLINICAL EXPLAINABILITY REPORT' || chr(10) || '{_RULE}' || chr(10) || chr(10) || 'PREDICTION' || chr(10) || '  Diagnosis   : ' || label || ' (' || code || ')' || chr(10)
  || '  Confidence  : ' || printf('%.1f', cp1) || '% (' || CASE WHEN conf >= 0.75 THEN 'high' WHEN conf >= 0.5 THEN 'moderate' ELSE 'low' END || ' confidence)' || chr(10) || '  Threshold   : ' || printf('%.2f', thr) || ' (tuned — default 0.50)' || chr(10) || chr(10) || 'EVIDENCE' || chr(10) || '  ' ||
  concat_ws(' ', 'The model favours ' || label || ' because Grad-CAM++ activation concentrates on the ' || g_region || CASE WHEN g_area_pct > 0 THEN ' (' || printf('%.1f', g_area_pct) || '% coverage)' ELSE '' END || ', suggesting the key discriminative signal is ' || prim || '.',
  CASE alignment WHEN 'aligned' THEN 'Both EfficientNet (Grad-CAM++) and SwinV2 (attention) branches converge on the ' || g_region || ', providing corroborative spatial support for the predicted class.'
   WHEN 'discordant' THEN 'The EfficientNet branch highlights the ' || g_region || ' while SwinV2 attention peaks at the ' || a_region || ' — this discordance reduces diagnostic certainty and warrants closer dermoscopic inspection.'
   ELSE 'The two branches show partial overlap: Grad-CAM++ peaks at the ' || g_region || ' and SwinV2 at the ' || a_region || '; the evidence is not fully convergent.' END,
- CASE WHEN cp1 - altp < 15 THEN 'The closest differential is ' || alt || ' at ' || printf('%.1f', altp) || '% — only ' || printf('%.1f', round(cp1 - altp, 1)) || ' pts below the primary prediction. This narrow separation means clinical correlation is especially important.'
-  ELSE 'The nearest alternative, ' || alt || ' (' || printf('%.1f', altp) || '%), trails by ' || printf('%.1f', round(cp1 - altp, 1)) || ' pts, providing reasonable separation from the primary prediction.' END,
- CASE WHEN malignant THEN 'The lesion classifies as malignant with a combined malignant probability of ' || printf('%.1f', round(round(mal, 4) * 100, 1)) || '%.' || CASE WHEN context <> 'metadata non-contributory' THEN ' Metadata context: ' || context || '.' ELSE '' END
+ CASE WHEN cp1 - altp < 15 THEN 'The closest differential is ' || alt || ' at ' || printf('%.1f', altp) || '% — only ' || printf('%.1f', CAST(round(CAST(CAST(cp1 - altp AS VARCHAR) AS DECIMAL(30, 20)), 1) AS DOUBLE)) || ' pts below the primary prediction. This narrow separation means clinical correlation is especially important.'
+  ELSE 'The nearest alternative, ' || alt || ' (' || printf('%.1f', altp) || '%), trails by ' || printf('%.1f', CAST(round(CAST(CAST(cp1 - altp AS VARCHAR) AS DECIMAL(30, 20)), 1) AS DOUBLE)) || ' pts, providing reasonable separation from the primary prediction.' END,
+ CASE WHEN malignant THEN 'The lesion classifies as malignant with a combined malignant probability of ' || printf('%.1f', CAST(round(CAST(CAST(round(mal, 4) * 100 AS VARCHAR) AS DECIMAL(30, 20)), 1) AS DOUBLE)) || '%.' || CASE WHEN context <> 'metadata non-contributory' THEN ' Metadata context: ' || context || '.' ELSE '' END
   WHEN context <> 'metadata non-contributory' THEN 'Clinical context: ' || context || '.' END,
  CASE WHEN flags <> '' THEN 'Uncertainty flags raised: ' || replace(replace(flags, '|', ', '), '_', ' ') || '. Clinician should verify with direct dermoscopic examination of structural features (pigment network, vascular patterns, symmetry) that the model cannot reliably assess.'
   ELSE 'No specific uncertainty flags were raised, but clinician verification remains required — the model does not assess dermoscopic structures such as pigment network regularity, vascular patterns, or ulceration directly.' END) AS report FROM f""")
@@ -233,10 +233,22 @@ _SEV = "CASE status WHEN 'Senior review' THEN 3 WHEN 'In review' THEN 2 WHEN 'Ne
 
 @query("srt6_review_order", "WITH " + HISTORY + f", o AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC NULLS LAST, {_SEV} DESC, confidence DESC, id) AS pos FROM hi) SELECT user_id, id, CAST(pos AS INTEGER) AS pos FROM o")
 def srt6(spark, sf):
-    """Entries of one patient's case sorted inside their array (a case is one bounded record)."""
-    h = history(spark, sf)
-    packed = h.groupBy("user_id").agg(F.collect_list(F.struct("id", "date", "status", "confidence")).alias("entries"))
-    return packed.select("user_id", F.posexplode_outer(jn.review_array(F.col("entries"))).alias("pos", "e")).select("user_id", F.col("e.id").alias("id"), (F.col("pos") + 1).alias("pos"))
+    h = history(spark, sf).withColumn("one", F.lit(1))
+    order = jn.review_order(F.col("date"), F.col("status"), F.col("confidence"), F.col("id"))
+    ranked = rk.prefix_sums(h, ["user_id"], order, ["one"])
+    return ranked.select("user_id", "id", F.col("cum_one").cast("int").alias("pos"))
+
+
+@query("srt6_case_entries", WC + """, et AS (SELECT row_id, i, row_id * 10 + i AS id, CASE WHEN (row_id + i) % 4 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * ((row_id * i) % 3) END AS date,
+ (['Reviewed', 'Needs review', 'In review', 'Senior review'])[(row_id + i) % 4 + 1] AS status, conf AS confidence FROM fl, (SELECT unnest(range(1, 6)) AS i)),
+o AS (SELECT row_id, id, row_number() OVER (PARTITION BY row_id ORDER BY date DESC NULLS LAST, """ + _SEV + """ DESC, confidence DESC, id) AS pos FROM et) SELECT row_id, id, CAST(pos AS INTEGER) AS pos FROM o""")
+def srt6_case(spark, sf):
+    """The entries array of one case record, sorted inside the record."""
+    status = lambda n: F.get(F.array(*[F.lit(x) for x in ("Reviewed", "Needs review", "In review", "Senior review")]), ((F.col("row_id") + n) % 4).cast("int"))
+    day = lambda n: F.when((F.col("row_id") + n) % 4 != 0, F.timestamp_add("DAY", ((F.col("row_id") * n) % 3).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+    entries = F.array(*[F.struct((F.col("row_id") * 10 + n).alias("id"), day(n).alias("date"), status(n).alias("status"), F.col("conf").alias("confidence")) for n in range(1, 6)])
+    rows = cases(spark, sf).select("row_id", entries.alias("entries"))
+    return rows.select("row_id", F.posexplode_outer(jn.review_array(F.col("entries"))).alias("pos", "e")).select("row_id", F.col("e.id").alias("id"), (F.col("pos") + 1).alias("pos"))
 
 
 @query("srt6_review_queue", "WITH " + HISTORY + f" SELECT id, status, confidence FROM hi ORDER BY date DESC NULLS LAST, {_SEV} DESC, confidence DESC, id LIMIT 100")
