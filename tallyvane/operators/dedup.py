@@ -65,25 +65,22 @@ def first_by_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """QG6. 64-bit simhash of the whole text as two 32-bit halves (hi, lo).
 
-    Tokens are counted per document first; each distinct token then votes with its count.
+    A document's tokens sit in one task, so its votes are summed there and one row per document
+    is shuffled, not one per token. Bit i of both halves is counted in one long, 32 bits each;
+    a bit is set when more than half of the tokens set it.
     """
     words = df.select(key, F.explode(F.split(F.lower(text), "\\s+")).alias("tok")).filter("tok <> ''")
-    counted = words.groupBy(key, "tok").agg(F.count("*").alias("c"))
-    digest = F.md5("tok")
-    voted = counted.select(
-        key, "c",
-        F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").alias("hi"),
-        F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint").alias("lo"),
+    digest = words.select(key, F.md5("tok").alias("d"))
+    halves = digest.select(
+        key, F.conv(F.substring("d", 1, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring("d", 9, 8), 16, 10).cast("bigint").alias("lo")
     )
-    # one running vote per bit: sum over tokens of ±count
-    sign = lambda half, i: F.sum(F.when(F.getbit(F.col(half), F.lit(i)) == 1, F.col("c")).otherwise(-F.col("c")))
-    votes = voted.groupBy(key).agg(
-        *[sign("hi", i).alias(f"h{i}") for i in range(HALF)], *[sign("lo", i).alias(f"l{i}") for i in range(HALF)]
-    )
-    pack = lambda p: reduce(
-        lambda a, b: a + b, [F.when(F.col(f"{p}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(HALF)]
-    )
-    return votes.select(key, pack("h").alias("hi"), pack("l").alias("lo"))
+    one = F.lit(1).cast("bigint")
+    lane = lambda i: F.shiftright("hi", i).bitwiseAND(one) + F.shiftleft(F.shiftright("lo", i).bitwiseAND(one), HALF)
+    votes = halves.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"v{i}") for i in range(HALF)])
+    low = F.lit((1 << HALF) - 1)
+    bit = lambda count, i: F.when(2 * count > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+    pack = lambda take: reduce(lambda a, b: a + b, [bit(take(F.col(f"v{i}")), i) for i in range(HALF)])
+    return votes.select(key, pack(lambda v: v.bitwiseAND(low)).alias("hi"), pack(lambda v: F.shiftright(v, HALF)).alias("lo"))
 
 
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:

@@ -36,9 +36,12 @@ def temperature_grid(df: DataFrame, k: int, candidates: Sequence[float] | None =
     shuffled is one partial sum per candidate and task.
     """
     ts = list(candidates or grid(0.5, 5.0, 0.05))
-    tried = df.select("y", "z", F.explode(F.array(*[F.lit(t) for t in [1.0] + [t for t in ts if t != 1.0]])).alias("t"))
-    scaled = F.array(*[F.col("z")[i] / F.col("t") for i in range(k)])
-    return tried.groupBy("t").agg(F.avg(sc.nll(scaled, F.col("y"), k)).alias("nll"))
+    # log-sum-exp(z/t) − z_y/t = m/t + log Σ exp((d − m)/t) with d = z − z_y and m = max d
+    gap = [(F.col("z")[i] - F.array_max("z")).alias(f"_e{i}") for i in range(k)]
+    flat = df.select(*gap, (F.array_max("z") - F.col("z")[F.col("y")]).alias("_m"))
+    tried = flat.select("*", F.explode(F.array(*[F.lit(t) for t in [1.0] + [t for t in ts if t != 1.0]])).alias("t"))
+    loss = F.col("_m") / F.col("t") + F.log(sc.fold_sum([F.exp(F.col(f"_e{i}") / F.col("t")) for i in range(k)]))
+    return tried.groupBy("t").agg(F.avg(loss).alias("nll"))
 
 
 def best_temperature(by_t: DataFrame) -> DataFrame:
@@ -48,54 +51,38 @@ def best_temperature(by_t: DataFrame) -> DataFrame:
     ).select(F.round("t", 2).alias("t"), "nll")
 
 
-def fit_temperature(df: DataFrame, k: int, floor: float = 0.05, tol: float = 1e-8, max_iter: int = 50) -> tuple[float, float]:
-    """FIT2. Newton on u = 1/T, in which the NLL is convex. Returns (T, nll)."""
-    u = 1.0
-    step = None
-    best = (u, float("inf"))
-    for _ in range(max_iter):
-        p = sc.softmax(F.array(*[F.col("z")[i] * F.lit(u) for i in range(k)]), k)
-        moments = df.select("y", "z", p.alias("p")).select(
-            (-F.log(F.greatest(F.col("p")[F.col("y")], F.lit(1e-300)))).alias("l"),
-            F.col("z")[F.col("y")].alias("zy"),
-            sc.fold_sum([F.col("p")[i] * F.col("z")[i] for i in range(k)]).alias("m1"),
-            sc.fold_sum([F.col("p")[i] * F.col("z")[i] * F.col("z")[i] for i in range(k)]).alias("m2"),
-        ).agg(F.avg("l").alias("l"), F.avg(F.col("m1") - F.col("zy")).alias("g"), F.avg(F.col("m2") - F.col("m1") * F.col("m1")).alias("h")).first()
-        if moments.l > best[1] and step is not None:
-            step /= 2.0  # overshoot: halve back towards the best point
-            u = best[0] + step
-        else:
-            best = (u, moments.l)
-            step = -moments.g / max(moments.h, 1e-12)
-            u = min(max(best[0] + step, 1e-3), 1.0 / floor)
-            step = u - best[0]
-        if abs(step) < tol:
-            break
-    return 1.0 / best[0], best[1]
-
+# ---- softmax fits (temperatures, Dirichlet) -------------------------------------
 
-# ---- softmax-linear fits (per-class temperature, Dirichlet) --------------------
-
-def _batched(df: DataFrame, columns: Sequence[str], kernel) -> np.ndarray:
+def _batched(df: DataFrame, shapes: dict[str, tuple[int, ...]], kernel) -> np.ndarray:
     """Sum a numpy statistic over all rows. ``kernel(*arrays)`` returns one flat vector per batch.
 
-    Tasks emit one vector per task as (pos, value) rows; Spark adds them up by position. The
-    parameters live in the kernel, so no stage is compiled again between steps.
+    Array columns travel as plain numeric columns, so Arrow hands numpy contiguous blocks. Tasks
+    emit one vector per task as (pos, value) rows; Spark adds them up by position. Parameters
+    live in the kernel, so no stage is compiled again between steps.
     """
-    def stack(s: pd.Series) -> np.ndarray:
-        first = s.iloc[0]
-        return s.to_numpy() if np.isscalar(first) else np.stack([np.stack(v) if v.dtype == object else v for v in s]).astype(float)
+    flat, layout, at = [], [], 0
+    for name, shape in shapes.items():
+        cells = [(i,) for i in range(shape[0])] if len(shape) == 1 else [(i, j) for i in range(shape[0]) for j in range(shape[1])] if shape else [()]
+        for cell in cells:
+            c = F.col(name)
+            for i in cell:
+                c = c[i]
+            flat.append(c.alias(f"c{len(flat)}"))
+        layout.append((at, at + len(cells), shape))
+        at += len(cells)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
             if len(pdf):
-                part = kernel(*[stack(pdf[c]) for c in columns])
+                cols = [pdf[c].to_numpy() for c in pdf.columns]
+                args = [np.column_stack(cols[a:b]).astype(float).reshape(len(pdf), *shape) if shape else cols[a] for a, b, shape in layout]
+                part = kernel(*args)
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
 
-    sums = df.select(*columns).mapInPandas(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("v"))
+    sums = df.select(*flat).mapInPandas(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("v"))
     rows = sums.collect()  # one number per statistic
     if not rows:
         raise ValueError("nothing to fit: the table is empty")
@@ -125,6 +112,26 @@ def _newton(evaluate, x: np.ndarray, clip=None, tol: float = 1e-7, max_iter: int
     return x, loss
 
 
+def fit_temperature(df: DataFrame, k: int, floor: float = 0.05) -> tuple[float, float]:
+    """FIT2. One temperature, clamped at 0.05: Newton on u = 1/T, in which the NLL is convex.
+
+    Returns (T, nll).
+    """
+    def evaluate(u: np.ndarray):
+        def kernel(z, y):
+            s = z * u[0]
+            s = s - s.max(axis=1, keepdims=True)
+            lse = np.log(np.exp(s).sum(axis=1))
+            p = np.exp(s - lse[:, None])
+            rows = np.arange(len(y))
+            mean = (p * z).sum(axis=1)
+            return np.array([len(y), (lse - s[rows, y]).sum(), (mean - z[rows, y]).sum(), ((p * z * z).sum(axis=1) - mean**2).sum()])
+        n, loss, g, h = _batched(df, {"z": (k,), "y": ()}, kernel)
+        return loss / n, np.array([g / n]), np.array([[h / n]])
+    u, loss = _newton(evaluate, np.ones(1), clip=lambda x: np.clip(x, 1e-3, 1.0 / floor))
+    return float(1.0 / u[0]), float(loss)
+
+
 def fit_class_temperatures(df: DataFrame, k: int, floor: float = 0.1) -> tuple[list[float], float]:
     """FIT3. One temperature per class, clamped at 0.1. Convex in u = 1/T, so Newton on u."""
     def evaluate(u: np.ndarray):
@@ -138,7 +145,7 @@ def fit_class_temperatures(df: DataFrame, k: int, floor: float = 0.1) -> tuple[l
             pz = p * z
             h = np.diag((pz * z).sum(axis=0)) - pz.T @ pz
             return np.concatenate([[len(y), (lse - s[np.arange(len(y)), y]).sum()], g, h.ravel()])
-        v = _batched(df, ["z", "y"], kernel)
+        v = _batched(df, {"z": (k,), "y": ()}, kernel)
         n = v[0]
         return v[1] / n, v[2:2 + k] / n, v[2 + k:].reshape(k, k) / n
     u, loss = _newton(evaluate, np.ones(k), clip=lambda x: np.clip(x, 1e-3, 1.0 / floor))
@@ -171,7 +178,7 @@ def fit_dirichlet(df: DataFrame, k: int, l2_off: float = 0.01, l2_bias: float =
             for c in range(k):
                 h[c * d:(c + 1) * d, c * d:(c + 1) * d] += f.T @ (p[:, c:c + 1] * f)
             return np.concatenate([[n, (lse - s[np.arange(n), y]).sum()], g.ravel(), h.ravel()])
-        v = _batched(df, ["z", "y"], kernel)
+        v = _batched(df, {"z": (k,), "y": ()}, kernel)
         n, m = v[0], k * d
         loss = v[1] / n + (reg * wb**2).sum()
         return loss, v[2:2 + m] / n + (2 * reg * wb).ravel(), v[2 + m:].reshape(m, m) / n + np.diag(2 * reg.ravel())
@@ -222,7 +229,7 @@ def fit_ensemble_weights(stacked: DataFrame, n_models: int, k: int, max_iter: in
             g = (mean - zs[rows, :, y]).sum(axis=0)
             h = np.einsum("nk,nmk,nlk->ml", p, zs, zs) - mean.T @ mean
             return np.concatenate([[n, (lse - z[rows, y]).sum()], g, h.ravel()])
-        v = _batched(stacked, ["zs", "y"], kernel)
+        v = _batched(stacked, {"zs": (n_models, k), "y": ()}, kernel)
         return v[1] / v[0], v[2:2 + n_models] / v[0], v[2 + n_models:].reshape(n_models, n_models) / v[0]
     w = np.full(n_models, 1.0 / n_models)
     loss, g, h = evaluate(w)
@@ -259,7 +266,7 @@ def sld_step(probs: DataFrame, ratio: Sequence[float]) -> np.ndarray:
         moved = p * ratio
         moved = moved / np.maximum(moved.sum(axis=1, keepdims=True), sc.FLOOR)
         return np.concatenate([[len(p)], moved.sum(axis=0)])
-    v = _batched(probs, ["p"], kernel)
+    v = _batched(probs, {"p": (len(ratio),)}, kernel)
     return v[1:] / v[0]
 
 

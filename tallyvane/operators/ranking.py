@@ -167,19 +167,21 @@ def nearest_value(
     )
     line = cut_lineage(line)
     edges = line.groupBy("_pid").agg(F.max("_ref").alias("_hi"), F.min("_ref").alias("_lo"))
-    span = Window.orderBy("_pid")  # one row per range
+    # one row per range
     edges = edges.select(
         "_pid",
-        F.max("_hi").over(span.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("_lo").over(span.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.max("_hi").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_lo").over(Window.orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
-    local = Window.partitionBy("_pid").orderBy("_v")
+    # both directions look back: a frame that reaches forward is rescanned for every row
+    upward = Window.partitionBy("_pid").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy("_pid").orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, 0)
     found = (
         line.join(edges, "_pid")
         .select(
             "_v", "_ref",
-            F.coalesce(F.max("_ref").over(local.rangeBetween(Window.unboundedPreceding, 0)), F.col("_before")).alias("_p"),
-            F.coalesce(F.min("_ref").over(local.rangeBetween(0, Window.unboundedFollowing)), F.col("_after")).alias("_q"),
+            F.coalesce(F.max("_ref").over(upward), F.col("_before")).alias("_p"),
+            F.coalesce(F.min("_ref").over(downward), F.col("_after")).alias("_q"),
         )
         .filter(F.col("_ref").isNull())
     )

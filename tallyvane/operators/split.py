@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions.encode import order_key, uniform
 from tallyvane.functions.text import json_fingerprint
+from tallyvane.storage import cut_lineage
 from tallyvane.operators.ranking import cut_array, cut_map, hash_cuts, slot_of
 
 SPLITS = ["test", "val_calibrate", "val_select", "train"]
@@ -89,7 +90,8 @@ def group_kfold(df: DataFrame, group: str, by: str, k: int, seed: int | str, cal
     Groups are dealt to folds within their dominant class. For each fold its own groups are the
     test split; the others are carved into calibrate, select and train by a fold-specific hash.
     """
-    dealt = stratified_folds(group_class(df, group, by), "_cls", group, k, seed).select(group, F.col("fold").alias("_home"))
+    # one row per group, read several times below
+    dealt = cut_lineage(stratified_folds(cut_lineage(group_class(df, group, by)), "_cls", group, k, seed).select(group, F.col("fold").alias("_home")))
     dealt = dealt.select(group, "_home", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
     rest = dealt.filter(F.col("fold") != F.col("_home")).withColumn("_key", F.concat_ws("|", "fold", group))
     def targets(n: Column) -> list[Column]:

@@ -12,7 +12,7 @@ from tallyvane.plans.fixtures import (
 from tallyvane.plans.registry import query, r, rounded, rq
 from tallyvane.schema import CLASSES, MANIFEST_FEATURES, META_FEATURES, SITES
 from tallyvane.sources import adapters as ad, catalogue as cg, sinks as sk
-from tallyvane.storage import scratch_path
+from tallyvane.storage import scratch_path, spread
 
 WM = "WITH " + META
 SITE8 = SITES[:-1]
@@ -476,9 +476,13 @@ def set1_summary(spark, sf):
     return dd.duplicate_summary(content(spark, sf), "sha1", "dataset")
 
 
+def documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("qg6_simhash", "WITH " + NEAR + " SELECT doc_id, hi, lo FROM sh")
 def qg6(spark, sf):
-    return dd.simhash(table(spark, sf, "documents"), "doc_id", "text")
+    return dd.simhash(documents(spark, sf), "doc_id", "text")
 
 
 _PAIRS = """fp AS (SELECT hi, lo, min(doc_id) AS id, count(*) AS n FROM sh GROUP BY 1, 2),
@@ -488,7 +492,7 @@ pp AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, CAST(bit_count
 
 def fingerprints(spark, sf):
     from tallyvane.storage import cut_lineage
-    return cut_lineage(dd.copies(dd.simhash(table(spark, sf, "documents"), "doc_id", "text"), "doc_id"))
+    return cut_lineage(dd.copies(dd.simhash(documents(spark, sf), "doc_id", "text"), "doc_id"))
 
 
 @query("jn7_near_pairs", "WITH " + NEAR + "," + _PAIRS + " SELECT id_a, id_b, n_a, n_b, distance FROM pp")
@@ -508,7 +512,7 @@ g(i, ks) AS (SELECT 0::BIGINT, []::STRUCT(h BIGINT, l BIGINT)[] UNION ALL SELECT
  THEN g.ks ELSE list_append(g.ks, {'h': o.hi, 'l': o.lo}) END FROM g JOIN o ON o.i = g.i + 1),
 n AS (SELECT i, len(ks) - lag(len(ks), 1, 0) OVER (ORDER BY i) AS grew FROM g) SELECT d.doc_id, coalesce(grew, 1) = 1 AS kept FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN n USING (i)""")
 def set2(spark, sf):
-    return dd.near_dedup(table(spark, sf, "documents"), "doc_id", "text")
+    return dd.near_dedup(documents(spark, sf), "doc_id", "text")
 
 
 @query("set3_union_all", "SELECT 'd' AS kind, doc_id AS id, lang FROM documents UNION ALL SELECT 'b', item_id, NULL FROM benchmark")

@@ -6,13 +6,24 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions import scores as sc
 from tallyvane.operators import ensemble as es, fit, metrics as mt, split as sp
-from tallyvane.plans.evaluate import big, class_sql
-from tallyvane.plans.fixtures import BIG, K, KB, PRED, VIEWS, pred, pred_big, pred_views, predictions
+from tallyvane.plans.evaluate import class_sql
+from tallyvane.plans import fixtures as fx
+from tallyvane.plans.fixtures import BIG, K, KB, PRED, VIEWS, pred, pred_views, predictions
+from tallyvane.storage import spread
 from tallyvane.plans.registry import query, r, rounded, rq
 
 W = "WITH " + PRED
 WB = "WITH " + BIG
 
+
+def pred_big(spark, sf):
+    return spread(fx.pred_big(spark, sf))
+
+
+def big(spark, sf):
+    return fx.scored(pred_big(spark, sf), KB)
+
+
 _TG = """tg AS (SELECT round(0.5::DOUBLE + range * 0.05::DOUBLE, 10) AS t FROM range(91)),
 tl AS (SELECT t, ln(exp(z0/t - zm/t) + exp(z1/t - zm/t) + exp(z2/t - zm/t)) + zm/t - CASE y WHEN 0 THEN z0/t WHEN 1 THEN z1/t ELSE z2/t END AS l FROM bm, tg)"""
 

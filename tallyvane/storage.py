@@ -50,3 +50,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     target = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     return target.getFileSystem(conf).exists(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that a scan cannot split (one small file, one row group).
+
+    An input that already has at least one partition per core passes through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
