@@ -19,7 +19,7 @@ def write_table(df: DataFrame, path: str, partitions: Sequence[str] = (), fmt: s
     """SNK1. Split tables and manifests; CSV keeps a missing value distinct from an empty string."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("nullValue", "\\N").option("emptyValue", "")
+        writer = writer.option("header", True).option("nullValue", "\\N")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.save(path)
