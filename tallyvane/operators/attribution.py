@@ -53,13 +53,14 @@ def perturbation(df: DataFrame, key: str, features: str, names: Sequence[str], s
 
     All variants of a row are scored in one projection; returns (key, pred, attribution map).
     """
-    rows = df.select(key, F.col(features).alias("x")).withColumn("p", sc.softmax(scorer(F.col("x")), k))
+    # logits are named columns before the softmax, which refers to each of them many times
+    rows = df.select(key, F.col(features).alias("x")).withColumn("z", scorer(F.col("x"))).withColumn("p", sc.softmax(F.col("z"), k))
     rows = rows.withColumn("pred", sc.argmax(F.col("p")))
     long = rows.select(
         key, "pred", F.col("p")[F.col("pred")].alias("base"), "x",
         F.posexplode(F.array(*[F.lit(n) for n in names])).alias("j", "feature"),
     ).withColumn("xv", F.transform("x", lambda v, i: F.when(i == F.col("j"), 0.0).otherwise(v)))
-    scored = long.select(key, "pred", "feature", "base", sc.softmax(scorer(F.col("xv")), k).alias("pv"))
+    scored = long.withColumn("zv", scorer(F.col("xv"))).select(key, "pred", "feature", "base", sc.softmax(F.col("zv"), k).alias("pv"))
     delta = F.round(F.col("base") - F.col("pv")[F.col("pred")], 6)
     return scored.groupBy(key, "pred").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", delta.alias("v"))))).alias("attribution")

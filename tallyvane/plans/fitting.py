@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tallyvane.functions import scores as sc
@@ -44,6 +46,17 @@ def jn10(spark, sf):
     return rounded(fit.temperature_grid(pred(spark, sf), K, [0.5, 2.0]), "nll")
 
 
+@contextmanager
+def held(df):
+    """Persist a fit's input for its loop only."""
+    source = df
+    with held(source) as rows:
+        try:
+            yield rows
+        finally:
+            rows.unpersist()
+
+
 def as_rows(df, values: dict[str, list[float]], digits: int = 4):
     """Fitted parameters as rows beside the number of rows they were fitted on."""
     cells = [F.struct(F.lit(n).alias("param"), F.lit(i).alias("i"), F.lit(round(float(v), digits)).alias("value")) for n, vs in values.items() for i, v in enumerate(vs)]
@@ -52,24 +65,27 @@ def as_rows(df, values: dict[str, list[float]], digits: int = 4):
 
 @query("fit2_temperature_continuous")
 def fit2(spark, sf):
-    rows = pred_big(spark, sf).select("y", "z").persist()
-    t, nll = fit.fit_temperature(rows, KB)
-    out = as_rows(rows, {"temperature": [t], "nll": [nll]})
+    source = pred_big(spark, sf).select("y", "z")
+    with held(source) as rows:
+        t, nll = fit.fit_temperature(rows, KB)
+    out = as_rows(source, {"temperature": [t], "nll": [nll]})
     return out
 
 
 @query("fit3_class_temperatures")
 def fit3(spark, sf):
-    rows = pred_big(spark, sf).select("y", "z").persist()
-    ts, nll = fit.fit_class_temperatures(rows, KB)
-    return as_rows(rows, {"temperature": ts, "nll": [nll]})
+    source = pred_big(spark, sf).select("y", "z")
+    with held(source) as rows:
+        ts, nll = fit.fit_class_temperatures(rows, KB)
+    return as_rows(source, {"temperature": ts, "nll": [nll]})
 
 
 @query("fit4_dirichlet")
 def fit4(spark, sf):
-    rows = pred_big(spark, sf).select("y", "z").persist()
-    w, b, loss = fit.fit_dirichlet(rows, KB)
-    return as_rows(rows, {"weight": [v for row in w for v in row], "bias": b, "loss": [loss]})
+    source = pred_big(spark, sf).select("y", "z")
+    with held(source) as rows:
+        w, b, loss = fit.fit_dirichlet(rows, KB)
+    return as_rows(source, {"weight": [v for row in w for v in row], "bias": b, "loss": [loss]})
 
 
 def stacked(spark, sf):
@@ -78,9 +94,10 @@ def stacked(spark, sf):
 
 @query("fit5_ensemble_weights")
 def fit5(spark, sf):
-    rows = stacked(spark, sf).persist()
-    w, nll = fit.fit_ensemble_weights(rows, 3, K)
-    return as_rows(rows, {"weight": w, "nll": [nll]})
+    source = stacked(spark, sf)
+    with held(source) as rows:
+        w, nll = fit.fit_ensemble_weights(rows, 3, K)
+    return as_rows(source, {"weight": w, "nll": [nll]})
 
 
 WEIGHT_TRIALS = [[1, 1, 1], [1, 0, 0], [0, 1, 0], [0, 0, 1], [2, -1, 1]]
@@ -108,18 +125,20 @@ n{i} AS (SELECT k, a / greatest(sum(a) OVER (PARTITION BY row_id), 1e-12) AS a F
 
 @query("fit6_sld_prior_four_steps", W + "," + _sld_sql(4) + f" SELECT CAST(k AS INTEGER) AS cls, {rq('q')} AS prior FROM q4")
 def fit6(spark, sf):
-    rows = predictions(spark, sf).select("p").persist()
-    prior, _ = fit.sld_prior(rows, _PRIOR0, K, max_iter=4, tol=0.0)
+    source = predictions(spark, sf).select("p")
+    with held(source) as rows:
+        prior, _ = fit.sld_prior(rows, _PRIOR0, K, max_iter=4, tol=0.0)
     table = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(v).alias("prior")) for i, v in enumerate(prior)])
-    return rounded(rows.agg(F.count("*")).select(F.inline(table)), "prior")
+    return rounded(source.agg(F.count("*")).select(F.inline(table)), "prior")
 
 
 @query("fit6_sld_prior_variants")
 def fit6_variants(spark, sf):
-    rows = big(spark, sf).select("p").persist()
-    prior, steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=20)
-    alt, alt_steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=10, finalize=False)
-    return as_rows(rows, {"prior": prior, "prior_unfinalised": alt, "steps": [steps, alt_steps]})
+    source = big(spark, sf).select("p")
+    with held(source) as rows:
+        prior, steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=20)
+        alt, alt_steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=10, finalize=False)
+    return as_rows(source, {"prior": prior, "prior_unfinalised": alt, "steps": [steps, alt_steps]})
 
 
 _GRID7 = """sg AS (SELECT CAST(range AS INTEGER) AS point, round(0.3::DOUBLE + range * 0.05::DOUBLE, 10) AS s FROM range(75)),
@@ -134,17 +153,19 @@ def fit7_curve(spark, sf):
 
 @query("fit7_greedy_scales")
 def fit7(spark, sf):
-    rows = big(spark, sf).select("y", "p").persist()
-    scales, f1 = fit.greedy_scales(rows, KB)[None]
-    return as_rows(rows, {"scale": scales, "macro_f1": [f1]})
+    source = big(spark, sf).select("y", "p")
+    with held(source) as rows:
+        scales, f1 = fit.greedy_scales(rows, KB)[None]
+    return as_rows(source, {"scale": scales, "macro_f1": [f1]})
 
 
 @query("fit8_kfold_scales")
 def fit8(spark, sf):
-    rows = sp.stratified_folds(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", 5, 42).select("fold", "y", "p").persist()
-    scales, report = fit.kfold_scales(rows, KB, 5)
-    gains = {v: [x["macro_f1"] for x in report if x["variant"] == v] for v in ("baseline", "tuned")}
-    return as_rows(rows, {"scale": scales, **gains})
+    source = sp.stratified_folds(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", 5, 42).select("fold", "y", "p")
+    with held(source) as rows:
+        scales, report = fit.kfold_scales(rows, KB, 5)
+        gains = {v: [x["macro_f1"] for x in report if x["variant"] == v] for v in ("baseline", "tuned")}
+    return as_rows(source, {"scale": scales, **gains})
 
 
 _CAND = [[1.0, 1.0, 1.0], [2.0, 1.0, 0.5], [0.5, 1.5, 1.2], [1.1, 0.9, 1.0]]
@@ -162,16 +183,18 @@ def fit9_eval(spark, sf):
 
 @query("fit9_evolved_scales")
 def fit9(spark, sf):
-    rows = big(spark, sf).select("y", "p").persist()
-    scales, best = fit.evolve_scales(rows, [(0.3, 4.0)] * KB, population=16, generations=4)
-    return as_rows(rows, {"scale": scales, "macro_f1": [best]})
+    source = big(spark, sf).select("y", "p")
+    with held(source) as rows:
+        scales, best = fit.evolve_scales(rows, [(0.3, 4.0)] * KB, population=16, generations=4)
+    return as_rows(source, {"scale": scales, "macro_f1": [best]})
 
 
 @query("fit10_guarded_scales")
 def fit10(spark, sf):
-    rows = sp.stratified_split(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", [0.8], ["tune", "check"], 42).persist()
-    got = fit.guarded_scales(rows.filter("split = 'tune'"), rows.filter("split = 'check'"), KB, passes=1)
-    return as_rows(rows, {"scale": got["scales"], "delta": [got["delta"]]}).withColumn("policy", F.lit(got["policy"]))
+    source = sp.stratified_split(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", [0.8], ["tune", "check"], 42)
+    with held(source) as rows:
+        got = fit.guarded_scales(rows.filter("split = 'tune'"), rows.filter("split = 'check'"), KB, passes=1)
+    return as_rows(source, {"scale": got["scales"], "delta": [got["delta"]]}).withColumn("policy", F.lit(got["policy"]))
 
 
 @query("fit11_best_method", WB + "," + class_sql("bpr") + f""", o AS (SELECT 'default' AS method, avg(f1) AS score FROM cf UNION ALL SELECT 'zero', 0.0 UNION ALL SELECT 'also_default', avg(f1) FROM cf)
@@ -185,11 +208,12 @@ def fit11(spark, sf):
 
 @query("fit12_calibration_report")
 def fit12(spark, sf):
-    rows = pred_big(spark, sf).select("y", "z").persist()
-    t, _ = fit.fit_temperature(rows, KB)
-    ts, _ = fit.fit_class_temperatures(rows, KB)
-    w, b, _ = fit.fit_dirichlet(rows, KB)
-    return rounded(fit.calibration_report(rows, KB, t, ts, w, b), "nll", "brier", "ece", "mce", "accuracy", digits=5)
+    source = pred_big(spark, sf).select("y", "z")
+    with held(source) as rows:
+        t, _ = fit.fit_temperature(rows, KB)
+        ts, _ = fit.fit_class_temperatures(rows, KB)
+        w, b, _ = fit.fit_dirichlet(rows, KB)
+    return rounded(fit.calibration_report(source, KB, t, ts, w, b), "nll", "brier", "ece", "mce", "accuracy", digits=5)
 
 
 @query("fit12_report_fixed_parameters", WB + """, v AS (SELECT 'raw' AS method, y, z0, z1, z2 FROM bz UNION ALL SELECT 'global', y, z0/0.8, z1/0.8, z2/0.8 FROM bz UNION ALL SELECT 'per_class', y, z0/0.9, z1/1.1, z2/2.0 FROM bz
