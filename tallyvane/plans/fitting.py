@@ -49,12 +49,11 @@ def jn10(spark, sf):
 @contextmanager
 def held(df):
     """Persist a fit's input for its loop only."""
-    source = df
-    with held(source) as rows:
-        try:
-            yield rows
-        finally:
-            rows.unpersist()
+    rows = df.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
 
 
 def as_rows(df, values: dict[str, list[float]], digits: int = 4):
@@ -68,8 +67,7 @@ def fit2(spark, sf):
     source = pred_big(spark, sf).select("y", "z")
     with held(source) as rows:
         t, nll = fit.fit_temperature(rows, KB)
-    out = as_rows(source, {"temperature": [t], "nll": [nll]})
-    return out
+    return as_rows(source, {"temperature": [t], "nll": [nll]})
 
 
 @query("fit3_class_temperatures")
