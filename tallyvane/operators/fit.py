@@ -101,7 +101,7 @@ def _newton(evaluate, x: np.ndarray, clip=None, tol: float = 1e-7, max_iter: int
         trial = x + step if clip is None else clip(x + step)
         t_loss, t_g, t_h = evaluate(trial)
         if t_loss <= loss + 1e-12:
-            small = np.abs(trial - x).max() < tol or loss - t_loss < tol * 1e-3
+            small = np.abs(trial - x).max() < tol or loss - t_loss < 1e-9
             x, loss, g, h, damping = trial, t_loss, t_g, t_h, max(damping / 10, 1e-8)
             if small:
                 break
