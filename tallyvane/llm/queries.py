@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import packing
+from tallyvane.llm import packing, pii, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,13 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op10_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_quality_fm")
+def op1_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_fm.classify(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query("op6_pii_bootstrap")
+def op6_pii_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(load(spark, sf, "documents"))
