@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import packing, pii, quality_fm
+from tallyvane.llm import divergence, packing, pii, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,61 @@ def op1_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_pii_bootstrap")
 def op6_pii_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(load(spark, sf, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
+chars AS (
+  SELECT rid, lang, length(text) AS n, length(a) AS after_lower, length(b) AS after_space, length(c) AS after_upper, length(e) AS after_digit, length(f) AS after_beyond,
+    length(regexp_replace(f, '[.,;:!?''"()-]+', '', 'g')) AS after_stop
+  FROM (SELECT *, regexp_replace(e, '[^\x00-\x7F]+', '', 'g') AS f FROM (SELECT *, regexp_replace(c, '[0-9]+', '', 'g') AS e FROM (SELECT *, regexp_replace(b, '[A-Z]+', '', 'g') AS c
+    FROM (SELECT *, regexp_replace(a, '[ \t-\r]+', '', 'g') AS b FROM (SELECT *, regexp_replace(text, '[a-z]+', '', 'g') AS a FROM d)))))
+),
+classes AS (
+  SELECT rid, lang, n, unnest([0, 1, 2, 3, 4, 5, 6]) AS k,
+    unnest([n - after_lower, after_lower - after_space, after_space - after_upper, after_upper - after_digit, after_digit - after_beyond, after_beyond - after_stop, after_stop]) AS c
+  FROM chars
+),
+tokens AS (SELECT rid, lang, unnest(words) AS word FROM w),
+totals AS (SELECT lang, count(*) AS n FROM tokens GROUP BY lang),
+big AS (SELECT lang, n FROM totals WHERE n >= 0.01 * (SELECT sum(n) FROM totals) UNION ALL SELECT '*', sum(n) FROM totals),
+counts AS (SELECT lang, word, count(*) AS n FROM tokens GROUP BY ALL UNION ALL SELECT '*', word, count(*) FROM tokens GROUP BY word),
+common AS (SELECT c.lang, word, c.n / b.n AS q FROM counts c JOIN big b USING (lang) WHERE c.n >= 0.005 * b.n AND length(word) <= 64),
+ref AS (SELECT rid, CASE WHEN lang IN (SELECT lang FROM big) THEN lang ELSE '*' END AS lang, len(words) AS n FROM w),
+shapes AS (
+  SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q
+  FROM (SELECT lang, k, c FROM classes UNION ALL SELECT '*', k, c FROM classes) GROUP BY lang, k
+),
+class_terms AS (SELECT rid, c / greatest(classes.n, 1) AS p, q FROM classes JOIN ref USING (rid) JOIN shapes ON shapes.lang = ref.lang AND shapes.k = classes.k),
+hits AS (SELECT t.rid, t.word, count(*) AS c FROM tokens t JOIN ref USING (rid) JOIN common c ON c.lang = ref.lang AND c.word = t.word GROUP BY ALL),
+word_terms AS (
+  SELECT r.rid, coalesce(c, 0) / greatest(r.n, 1) AS p, q FROM ref r JOIN common USING (lang) LEFT JOIN hits h ON h.rid = r.rid AND h.word = common.word
+  UNION ALL
+  SELECT r.rid, 1 - coalesce((SELECT sum(c) FROM hits h WHERE h.rid = r.rid), 0) / greatest(r.n, 1), 1 - coalesce((SELECT sum(q) FROM common c WHERE c.lang = r.lang), 0) FROM ref r
+),
+class_far AS (
+  SELECT rid, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM class_terms GROUP BY rid
+),
+word_far AS (
+  SELECT rid, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM word_terms GROUP BY rid
+),
+win AS (SELECT rid, i, words[i : i + 4] AS key FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, key) > 1),
+covered AS (SELECT rid, sum(g) AS n FROM (SELECT rid, least(5, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), 5)) AS g FROM again) GROUP BY rid),
+base AS (
+  SELECT rid, doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(list_filter(lines, lambda x: regexp_matches(x, '[^ \t-\r]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ \t-\r]')))))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(text) AS size
+  FROM w LEFT JOIN covered c USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (size < 200 OR class_far.far <= 0.25) AND (n_words < 40 OR word_far.far <= 0.35) AS kept
+FROM base LEFT JOIN class_far USING (rid) LEFT JOIN word_far USING (rid)
+"""
+
+
+@query("op2_divergence", OP2_SQL)
+def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.judge(load(spark, sf, "documents")).drop("class_distance", "word_distance")
