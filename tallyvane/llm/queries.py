@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import divergence, packing, pii, quality_fm
+from tallyvane.llm import divergence, minhash, packing, pii, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ FROM base LEFT JOIN class_far USING (rid) LEFT JOIN word_far USING (rid)
 @query("op2_divergence", OP2_SQL)
 def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.judge(load(spark, sf, "documents")).drop("class_distance", "word_distance")
+
+
+@query("op8_super_minhash")
+def op8_super_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf, "documents"))
