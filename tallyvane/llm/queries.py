@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import divergence, minhash, packing, pii, quality_fm
+from tallyvane.llm import divergence, minhash, packing, phrases, pii, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op2_divergence(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_super_minhash")
 def op8_super_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf, "documents"))
+
+
+@query("op9_phrase_automata")
+def op9_phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.repeated_passages(load(spark, sf, "documents"))
