@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import divergence, minhash, packing, phrases, pii, quality_fm
+from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op8_super_minhash(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_phrase_automata")
 def op9_phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.repeated_passages(load(spark, sf, "documents"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
