@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm
+from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,49 @@ def op9_phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+  SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(verdict, rule_host, rule_path)),
+targets AS (
+  SELECT url AS u, unnest(
+    list_transform(regexp_extract_all(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*>'), lambda t: regexp_extract(t, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) ||
+    list_transform(regexp_extract_all(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), lambda t: regexp_extract(t, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1))) AS t
+  FROM pages WHERE contains(url, '://')
+),
+absolute AS (
+  SELECT split_part(u, '#', 1) AS a, split_part(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN split_part(u, '://', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(u, '^([^:]*://[^/?#]*)', 1) || t
+    WHEN regexp_matches(u, '^[^:]*://[^/?#]*[^?#]*/') THEN regexp_extract(u, '^([^:]*://[^/?#]*[^?#]*/)', 1) || t ELSE regexp_extract(u, '^([^:]*://[^/?#]*)', 1) || '/' || t END, '#', 1) AS b
+  FROM targets WHERE t <> ''
+),
+links AS (SELECT a, b FROM absolute WHERE a <> b UNION SELECT b, a FROM absolute WHERE a <> b),
+reach AS (SELECT a AS x, a AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON links.a = reach.y),
+ends AS (SELECT DISTINCT y AS node, CASE WHEN contains(y, '://') THEN substr(y, instr(y, '://') + 3) ELSE '' END AS rest FROM reach),
+end_parts AS (
+  SELECT node, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM ends
+),
+end_rule AS (
+  SELECT node, verdict FROM end_parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rule_host || rule_path) DESC) = 1
+),
+carried AS (SELECT x AS node, min(verdict) AS verdict FROM reach JOIN end_rule ON end_rule.node = reach.y GROUP BY x),
+numbered AS (SELECT row_number() OVER () AS rid, * FROM parts),
+fits AS (
+  SELECT rid, rule_host || rule_path AS rule, verdict FROM numbered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule_host || rule_path) DESC) = 1
+)
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, c.verdict, 'allow') AS verdict
+FROM numbered n LEFT JOIN fits f USING (rid) LEFT JOIN carried c ON contains(n.url, '://') AND c.node = split_part(n.url, '#', 1)
+"""
+
+
+@query("op4_redirect_equivalence", OP4_SQL)
+def op4_redirect_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge(load(spark, sf, "pages"))
