@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, url_rules
+from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, subspace, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,22 @@ FROM numbered n LEFT JOIN fits f USING (rid) LEFT JOIN carried c ON contains(n.u
 @query("op4_redirect_equivalence", OP4_SQL)
 def op4_redirect_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge(load(spark, sf, "pages"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+pairs AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS x, b AS y FROM pairs UNION SELECT reach.x, p.b FROM reach JOIN pairs p ON p.a = reach.y),
+low AS (SELECT x, min(vec_id) AS m FROM reach JOIN v ON v.rid = reach.y GROUP BY x),
+deg AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id, coalesce(least(m, vec_id), vec_id) = vec_id AS kept
+FROM v LEFT JOIN low ON low.x = v.rid LEFT JOIN deg ON deg.a = v.rid
+"""
+
+
+@query("op5_subspace_join", OP5_SQL)
+def op5_subspace_join(spark: SparkSession, sf: str) -> DataFrame:
+    return subspace.near_duplicates(load(spark, sf, "embeddings"))
