@@ -116,49 +116,121 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).filter(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b")
 
 
-def link(classes: DataFrame, sets_for, percent: int, rounds: int = 2) -> DataFrame:
+def _joined(comp: DataFrame, linked: DataFrame) -> DataFrame:
+    """(cls, comp) after the components that ``linked`` (a, b) connects became one."""
+    ends = linked.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
+    moved = table(components(ends.select("ca", "cb"), "ca", "cb").select(F.col("id").alias("comp"), F.col("comp").alias("to")), "moved")
+    return table(comp.join(moved, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "comp")
+
+
+def _led(state: DataFrame, percent: int, seeds: range) -> DataFrame:
+    """Pairs (a, b) of a class and the leaders, one per seed, that stand first among its buckets'."""
+    lead = lambda i: F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), "cls", "comp", "n")).alias(f"l{i}")
+    mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[lead(i) for i in seeds]).filter(F.col("lo") != F.col("hi"))
+    met = state.join(table(mixed.drop("lo", "hi"), "mixed"), "key")
+    fits = lambda i: (F.col("comp") != F.col(f"l{i}.comp")) & (100 * F.least("n", f"l{i}.n") >= percent * F.greatest("n", f"l{i}.n"))
+    best = met.groupBy("cls").agg(*[F.min(F.when(fits(i), F.struct(f"l{i}.o", f"l{i}.cls"))).alias(f"l{i}") for i in seeds])
+    pairs = best.select("cls", F.explode(F.array(*[F.col(f"l{i}.cls") for i in seeds])).alias("other")).filter("other is not null")
+    return table(pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), "pairs")
+
+
+def _bucket_links(key: int, x: list[int], y: list[int], rows: dict, percent: int) -> list[tuple[int, int]]:
+    """Links between the members ``x`` and ``y`` of a bucket that lie in different components.
+
+    A pair is taken only in the first bucket it shares, and of the links of one member to one
+    component a single one is given.
+    """
+    comp, stray, order, bands, items = rows["comp"], rows["stray"], rows["order"], rows["bands"], rows["items"]
+    vocabulary, codes = np.unique(np.concatenate([items[i] for i in y]), return_inverse=True)
+    size = np.array([len(items[i]) for i in y])
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    comp_y, stray_y, order_y, bands_y = comp[y], stray[y], order[y], bands[y]
+    out = []
+    for i in x:
+        may = (comp_y != comp[i]) & (~stray_y | (order_y > order[i]))
+        may &= (100 * np.minimum(size, len(items[i])) >= percent * np.maximum(size, len(items[i])))
+        if not may.any():
+            continue
+        shared = bands_y == bands[i]
+        may &= bands[i][shared.argmax(axis=1)] == key
+        if not may.any():
+            continue
+        have = np.zeros(len(vocabulary), dtype=np.int64)
+        have[np.searchsorted(vocabulary, np.intersect1d(vocabulary, items[i], assume_unique=True))] = 1
+        both = np.add.reduceat(have[codes], starts)
+        good = np.flatnonzero(may & (100 * both >= percent * (size + len(items[i]) - both)))
+        out += [(i, y[j]) for j in good[np.unique(comp_y[good], return_index=True)[1]]]
+    return out
+
+
+def _rest(state: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, part_items: int) -> DataFrame:
+    """Links (a, b) among members of one bucket that are still in different components.
+
+    The members outside a bucket's largest component are compared with all its members, inside
+    tasks. Both sides are cut into parts of about ``part_items`` shingles, and each pair of parts
+    is one unit of work, so no unit grows with its bucket.
+    """
+    mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+    open_ones = table(state.join(mixed, "key"), "open")
+    weights = open_ones.groupBy("key", "comp").agg(F.sum("n").alias("w"))
+    parts = lambda w: F.greatest(F.lit(1), F.ceil(w / part_items)).cast("int")
+    buckets = weights.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("w"))
+    buckets = table(buckets.select("key", F.col("top.comp").alias("major"), parts(F.col("w")).alias("all_parts"), parts(F.col("w") - F.col("top.w")).alias("stray_parts"), "w"), "buckets")
+    placed = open_ones.join(buckets.drop("w"), "key").withColumn("stray", F.col("comp") != F.col("major"))
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = placed.filter("stray").withColumn("i", own("stray_parts")).select("key", "cls", "comp", "stray", F.lit(True).alias("asks"), "i", each("all_parts").alias("j"))
+    y = placed.withColumn("j", own("all_parts")).select("key", "cls", "comp", "stray", F.lit(False).alias("asks"), each("stray_parts").alias("i"), "j")
+    total = buckets.agg(F.coalesce(F.sum(F.col("w") * F.col("stray_parts")), F.lit(0))).first()[0]
+    units = x.unionByName(y).withColumn("unit", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-int(total) // part_items)))))
+    full = units.join(sets.join(classes.select("cls", "bands"), "cls"), "cls")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("cls", "ascending")])
+        cls = group["cls"].to_pylist()
+        code = {c: k for k, c in enumerate(sorted({*cls}))}
+        comps = {c: k for k, c in enumerate(sorted({*group["comp"].to_pylist()}))}
+        flat = group["items"].combine_chunks()
+        values, offsets = np.asarray(flat.values), np.asarray(flat.offsets)
+        rows = {
+            "comp": np.array([comps[c] for c in group["comp"].to_pylist()]), "stray": group["stray"].to_numpy().astype(bool), "order": np.array([code[c] for c in cls]),
+            "bands": np.stack([np.asarray(v.values) for v in group["bands"]]), "items": [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])],
+        }
+        asks = group["asks"].to_numpy().astype(bool)
+        spot = np.stack([group[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+        cuts = np.flatnonzero((np.diff(spot, axis=0) != 0).any(axis=1)) + 1
+        found = []
+        for a, b in zip([0, *cuts], [*cuts, len(spot)]):
+            at = np.arange(a, b)
+            x, y = at[asks[a:b]].tolist(), at[~asks[a:b]].tolist()
+            if x and y:
+                found += _bucket_links(spot[a, 0], x, y, rows, percent)
+        return pa.table({"a": pa.array([cls[i] for i, _ in found], pa.binary()), "b": pa.array([cls[j] for _, j in found], pa.binary())})
+
+    return table(full.groupBy("unit").applyInArrow(run, "a binary, b binary"), "rest")
+
+
+def link(classes: DataFrame, sets_for, percent: int, rounds: int = 2, leaders: int = 4, part_items: int = 500_000) -> DataFrame:
     """Component of every class that shares a band key with another: (cls, comp).
 
     ``classes`` has cls, id, n and bands; ``sets_for(wanted)`` gives the sets to verify with. A
     bucket never becomes all its pairs. In each of ``rounds`` leader rounds a class is compared
-    with one other at most: among its buckets' leaders outside its own component, the first in a
-    pseudo-random order. Groups of near copies collapse into one component by that. What is left
-    are members of one bucket in different components: these pairs, less those already found
-    unlike, are verified one by one, so two classes in a bucket either end in one component or
-    have been compared, and no link among candidates is lost.
+    with ``leaders`` others at most: among its buckets' leaders outside its own component, the
+    first in as many pseudo-random orders. Groups of near copies collapse by that. Then the members
+    of a bucket outside its largest component are compared with the others inside tasks. So two
+    classes in a bucket end in one component or have been compared: no link among candidates is
+    lost.
     """
     keyed = classes.select("cls", "id", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = table(keyed.join(shared, "key").select("key", "cls", "id", "n"), "live")
     sets = sets_for(live.select("cls", "id").distinct())
+    live = live.drop("id")
     comp = table(live.select("cls", F.col("cls").alias("comp")).distinct(), "comp")
-    unlike = None
-    size_ok = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    for i in range(rounds + 1):
-        state = table(live.join(comp, "cls"), "state")
-        mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), "cls", "comp", "n")).alias("lead")).filter(F.col("lo") != F.col("hi"))
-        mixed = table(mixed.select("key", F.col("lead.o").alias("o"), F.col("lead.cls").alias("cls2"), F.col("lead.comp").alias("comp2"), F.col("lead.n").alias("n2")), "mixed")
-        if mixed.isEmpty():
-            break
-        if i < rounds:
-            met = state.join(mixed, "key").filter((F.col("comp") != F.col("comp2")) & size_ok)
-            pairs = met.groupBy("cls").agg(F.min(F.struct("o", "cls2")).alias("p")).select("cls", F.col("p.cls2").alias("cls2"))
-        else:
-            open_ones = table(state.join(mixed.select("key"), "key"), "open")
-            other = open_ones.select("key", F.col("cls").alias("cls2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            pairs = open_ones.join(other, "key").filter((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")) & size_ok).select("cls", "cls2")
-        pairs = pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-        if unlike is not None:
-            pairs = pairs.join(unlike, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        linked = table(_verified(pairs, sets, percent), "linked")
-        if i < rounds:
-            failed = pairs.join(linked, ["a", "b"], "left_anti")
-            unlike = table(failed if unlike is None else failed.unionByName(unlike), "unlike")
-        ends = linked.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
-        moved = table(components(ends.select("ca", "cb"), "ca", "cb").select(F.col("id").alias("comp"), F.col("comp").alias("to")), "moved")
-        comp = table(comp.join(moved, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "comp")
-    return comp
+    for i in range(rounds):
+        pairs = _led(live.join(comp, "cls"), percent, range(i * leaders, (i + 1) * leaders))
+        comp = _joined(comp, table(_verified(pairs, sets, percent), "linked"))
+    return _joined(comp, _rest(live.join(comp, "cls"), classes, sets, percent, part_items))
 
 
 def near_duplicates(

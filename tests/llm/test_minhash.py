@@ -69,6 +69,29 @@ def test_chains_big_groups_and_odd_rows(spark):
     assert m.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_small_parts_and_no_leaders(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    rows = []
+    for i in range(80):  # many pairs on either side of the limit
+        w = list(base)
+        for p in rng.integers(0, 60, rng.integers(1, 5)):
+            w[p] = f"v{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = m.read_sets(df, "doc_id", "text", 4, 120, 2)  # short keys: all candidates
+    classes = sets.groupBy("cls").agg(m.F.min("id").alias("id"), m.F.any_value("n").alias("n"), m.F.any_value("bands").alias("bands"))
+    want = {d: c for d, _, c, _ in brute(rows)}
+    for rounds, leaders, items in ((0, 1, 150), (1, 1, 400), (2, 4, 500_000)):
+        comp = m.link(classes, lambda w: m._sets_of(df, "doc_id", "text", 4, w), 80, rounds, leaders, items)
+        got = classes.join(comp, "cls").select("id", "comp").collect()
+        low = {}
+        for r in got:
+            low[bytes(r.comp)] = min(low.get(bytes(r.comp), r.id), r.id)
+        assert {r.id: low[bytes(r.comp)] for r in got} == want
+    assert len(set(want.values())) > 3
+
+
 def test_estimate(spark):
     rng = np.random.default_rng(5)
     for same, n in ((800, 1000), (40, 50), (9, 10)):
