@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, subspace, url_rules
+from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, subspace, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,18 @@ FROM v LEFT JOIN low ON low.x = v.rid LEFT JOIN deg ON deg.a = v.rid
 @query("op5_subspace_join", OP5_SQL)
 def op5_subspace_join(spark: SparkSession, sf: str) -> DataFrame:
     return subspace.near_duplicates(load(spark, sf, "embeddings"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.digest = p.digest AND strlen(html) >= 100
+"""
+
+
+@query("op3_warc_capture_index", OP3_SQL)
+def op3_warc_capture_index(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf, "pages"))
