@@ -104,11 +104,13 @@ def _newton(evaluate, x: np.ndarray, clip=None, tol: float = 1e-7, max_iter: int
             small = np.abs(trial - x).max() < tol or loss - t_loss < 1e-9
             x, loss, g, h, damping = trial, t_loss, t_g, t_h, max(damping / 10, 1e-8)
             if small:
-                break
+                return x, loss
         else:
             damping = max(damping * 10, 1e-4)
             if damping > 1e8:
                 break
+    if np.abs(g).max() > 1e-4:
+        raise RuntimeError(f"Newton steps ended at a gradient of {np.abs(g).max():.3g}")
     return x, loss
 
 
@@ -271,17 +273,21 @@ def sld_step(probs: DataFrame, ratio: Sequence[float]) -> np.ndarray:
 
 
 def sld_prior(
-    probs: DataFrame, train_prior: Sequence[float], k: int, max_iter: int = 200, tol: float = 1e-6, finalize: bool = True
+    probs: DataFrame, train_prior: Sequence[float], k: int, max_iter: int = 500, tol: float = 1e-6, finalize: bool = True,
+    init: str = "uniform", unfinished: bool = False,
 ) -> tuple[list[float], int]:
     """FIT6. EM estimate of the target prior; returns (prior, steps).
 
     ``finalize=False`` keeps the other historical rule: no clipping, and the iterate that met the
-    tolerance is not adopted.
+    tolerance is not adopted. ``init="train"`` starts from the training prior. Without reaching
+    ``tol`` within ``max_iter`` steps it fails, unless ``unfinished`` asks for the last iterate.
     """
     train = np.maximum(np.asarray(train_prior, dtype=float), sc.FLOOR)
     if finalize:
         train = train / train.sum()
-    prior, steps = np.full(k, 1.0 / k), 0
+    if init not in ("uniform", "train"):
+        raise ValueError("init is 'uniform' or 'train'")
+    prior, steps = train.copy() if init == "train" else np.full(k, 1.0 / k), 0
     for steps in range(1, max_iter + 1):
         new = sld_step(probs, prior / train)
         if finalize:
@@ -293,6 +299,9 @@ def sld_prior(
         prior = new
         if moved < tol:
             break
+    else:
+        if not unfinished:
+            raise RuntimeError(f"the prior has not converged in {max_iter} steps")
     return [float(x) for x in prior], steps
 
 
@@ -404,14 +413,18 @@ def evaluate_candidates(df: DataFrame, candidates: Sequence[Sequence[float]], k:
 
 def evolve_scales(
     df: DataFrame, bounds: Sequence[tuple[float, float]], weights: Sequence[float] | None = None,
-    population: int = 24, generations: int = 10, seed: int = 42, labels: int | None = None,
+    population: int | None = None, generations: int = 500, tol: float = 0.01, seed: int = 42, labels: int | None = None,
 ) -> tuple[list[float], float]:
     """FIT9. Seeded population search under per-class bounds; one job per generation.
 
+    Thirty vectors per class by default. The search ends when the spread of the objective over
+    the population is within ``tol`` of its mean, and after ``generations`` at the latest.
+
     The all-ones vector is in the first generation when the bounds allow it, so the result is
     never worse than no scaling there.
     """
     k, rng = len(bounds), random.Random(seed)
+    population = population or 30 * k
     clip = lambda v: [min(max(x, lo), hi) for x, (lo, hi) in zip(v, bounds)]
     pool = [clip([1.0] * k)] + [[rng.uniform(lo, hi) for lo, hi in bounds] for _ in range(population - 1)]
     judge = lambda vs: {r.cand: r.objective for r in evaluate_candidates(df, vs, k, weights, labels).collect()}
@@ -429,6 +442,8 @@ def evolve_scales(
         for i in range(population):
             if got[i] >= value[i]:
                 pool[i], value[i] = trial[i], got[i]
+        if np.std(value) <= tol * abs(np.mean(value)):
+            break
     best = max(range(population), key=lambda i: value[i])
     return pool[best], value[best]
 

@@ -87,8 +87,29 @@ def verdict(fid: Column, pass_rate: Column) -> Column:
     )
 
 
-def quality_summary(graded: DataFrame, real: DataFrame, fid: float | None, near_duplicates: int = 0) -> DataFrame:
-    """AGG33. One row: counts, pass rate, distance, verdict."""
+def metric_distance(real: DataFrame, synth: DataFrame, metrics: Sequence[str], by: str | None = None) -> DataFrame:
+    """AGG30. Diagonal Frechet distance of two row sets over metrics in units of the real deviation: (by, fid).
+
+    Means and variances per metric, side and class come from one aggregate, folded map-side.
+    """
+    keys = [by] if by else []
+    rows = real.select(*keys, *metrics, F.lit("a").alias("_side")).unionByName(synth.select(*keys, *metrics, F.lit("b").alias("_side")))
+    of = lambda t, m: F.when(F.col("_side") == t, F.col(m))
+    both = rows.groupBy(*keys).agg(*[x for t in "ab" for m in metrics for x in (F.avg(of(t, m)).alias(f"{t}m_{m}"), F.var_samp(of(t, m)).alias(f"{t}v_{m}"))])
+    term = lambda m: (F.pow(F.col(f"am_{m}") - F.col(f"bm_{m}"), F.lit(2.0)) + F.col(f"av_{m}") + F.col(f"bv_{m}") - 2 * F.sqrt(F.col(f"av_{m}") * F.col(f"bv_{m}"))) / F.nullif(F.col(f"av_{m}"), F.lit(0.0))
+    total = term(metrics[0])
+    for m in metrics[1:]:
+        total = total + term(m)
+    return both.select(*keys, total.alias("fid"))
+
+
+def surplus_copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """AGG33. One row: how many rows repeat an earlier one in all ``columns``."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("near_duplicates"))
+
+
+def quality_summary(graded: DataFrame, real: DataFrame, fid: Column | float | None, near_duplicates: Column | int = 0) -> DataFrame:
+    """AGG33. One row: counts, pass rate, distance, verdict. Distance and copies may be scalars of tables."""
     return graded.agg(
         F.count("*").alias("candidate_count"), F.count_if(F.col("grade") == "PASS").alias("pass_count"),
         F.count_if(F.col("grade") == "FAIL").alias("fail_count"),
@@ -100,17 +121,14 @@ def quality_summary(graded: DataFrame, real: DataFrame, fid: float | None, near_
     )
 
 
-def class_manifest(real: DataFrame, synth: DataFrame, by: str, gate: DataFrame, fid_by_class: dict[object, float]) -> DataFrame:
-    """AGG29. Per class: real, synthetic and total counts, ratio, distance and pass rate."""
+def class_manifest(real: DataFrame, synth: DataFrame, by: str, gate: DataFrame, distances: DataFrame) -> DataFrame:
+    """AGG29. Per class: real, synthetic and total counts, ratio, distance and pass rate. ``distances``: (by, fid)."""
     both = real.select(by, F.lit(1).alias("r")).unionByName(synth.select(by, F.lit(0).alias("r")))
     counts = both.groupBy(by).agg(F.sum("r").cast("long").alias("real_images"), F.count_if(F.col("r") == 0).alias("synthetic_images"))
-    fid = F.lit(None).cast("double")
-    for c, v in fid_by_class.items():
-        fid = F.when(F.col(by) == c, F.lit(float(v))).otherwise(fid)
-    return counts.join(gate.select(by, "pass_rate_pct"), by, "left").select(
+    return counts.join(gate.select(by, "pass_rate_pct"), by, "left").join(distances.select(by, "fid"), by, "left").select(
         by, "real_images", "synthetic_images", (F.col("real_images") + F.col("synthetic_images")).alias("total_images"),
         F.when(F.col("real_images") > 0, F.round(F.col("synthetic_images") / F.col("real_images"), 2)).otherwise(0.0).alias("synth_ratio"),
-        F.round(fid, 2).alias("fid"), "pass_rate_pct",
+        F.round("fid", 2).alias("fid"), "pass_rate_pct",
     )
 
 
@@ -294,10 +312,13 @@ def summarize_heat(df: DataFrame, key: str, cells: str, width: int, size: int =
     the percentile interpolates linearly. A grid is one bounded row, so it stays in its row.
     """
     from tallyvane.functions.clinical import region, zone_family
+    from tallyvane.functions.scores import let
     raw = F.transform(F.col(cells), lambda v: F.when(F.isnan(v) | v.isNull() | (F.abs(v) == float("inf")), 0.0).otherwise(v.cast("double")))
     rows = df.filter(F.size(cells) > 0).select(key, raw.alias("a"), (F.size(cells) / width).cast("int").alias("height"))
-    rows = rows.select(key, "height", F.transform("a", lambda v: v - F.array_min("a")).alias("a"))
-    rows = rows.select(key, "height", F.when(F.array_max("a") > 0, F.transform("a", lambda v: v / F.array_max("a"))).otherwise(F.col("a")).alias("a"))
+    shifted = let(F.array_min("a"), lambda least: F.transform("a", lambda v: v - least))
+    rows = rows.select(key, "height", shifted.alias("a"))
+    scaled = let(F.array_max("a"), lambda most: F.when(most > 0, F.transform("a", lambda v: v / most)).otherwise(F.col("a")))
+    rows = rows.select(key, "height", scaled.alias("a"))
     at = (F.size("a") - 1) * 0.85
     ordered = F.array_sort("a")
     lo, hi = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
@@ -308,7 +329,7 @@ def summarize_heat(df: DataFrame, key: str, cells: str, width: int, size: int =
     rows = rows.select(
         key, ((F.col("pos") % width) / max(width - 1, 1)).alias("x"),
         (F.floor(F.col("pos") / width) / F.greatest(F.col("height") - 1, F.lit(1))).alias("y"),
-        F.round(100.0 * F.size(F.filter("a", lambda v: v >= F.col("cut"))) / F.size("a"), 1).alias("area_pct"),
+        F.round(100.0 * F.size(let(F.col("cut"), lambda cut: F.filter("a", lambda v: v >= cut))) / F.size("a"), 1).alias("area_pct"),
     )
     named = rows.withColumn("region", region(F.col("x"), F.col("y")))
     return named.select(

@@ -26,6 +26,13 @@ SYNTH_SITES = {
 }
 
 
+def required(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` that fails as soon as a row has no value in one of the columns."""
+    kinds = dict(df.dtypes)
+    stop = lambda c: F.raise_error(F.lit(f"{c} is null: fill or quarantine such rows before splitting")).cast(kinds[c])
+    return df.withColumns({c: F.coalesce(F.col(c), stop(c)) for c in names})
+
+
 def stratified_split(df: DataFrame, by: str, key: str, fracs: Sequence[float], names: Sequence[str], seed: int | str) -> DataFrame:
     """SPL1/SPL6. Exact per-class split: the first round(f·n) hashes of a class, then the next.
 
@@ -37,6 +44,7 @@ def stratified_split(df: DataFrame, by: str, key: str, fracs: Sequence[float], n
             edge += f
             out.append(F.round(n * F.lit(round(edge, 10))))
         return out
+    df = required(df, by)
     cuts = hash_cuts(df, [by], [key], seed, targets)
     h = order_key(seed, F.col(key))
     mine = F.try_element_at(cut_map(cuts, by), F.col(by))
@@ -46,6 +54,7 @@ def stratified_split(df: DataFrame, by: str, key: str, fracs: Sequence[float], n
 
 def stratified_folds(df: DataFrame, by: str, key: str, k: int, seed: int | str) -> DataFrame:
     """SPL5. Fold number floor((rank − 1)·k / n) within each class."""
+    df = required(df, by)
     cuts = hash_cuts(df, [by], [key], seed, lambda n: [F.ceil(F.lit(j) * n / F.lit(k)) for j in range(1, k)])
     mine = F.try_element_at(cut_map(cuts, by), F.col(by))
     return df.withColumn("fold", slot_of(order_key(seed, F.col(key)), mine, k - 1))
@@ -72,6 +81,7 @@ def group_split(
     what remains. The split is a function of the group id alone, so a giant group needs no
     shuffle and cannot leak.
     """
+    df = required(df, group)
     groups = df.select(group).distinct()
     cuts = hash_cuts(groups, [], [group], seed, _group_targets([test, calibrate, select]))
     block = slot_of(order_key(seed, F.col(group)), cut_array(cuts), 3)
@@ -90,6 +100,7 @@ def group_kfold(df: DataFrame, group: str, by: str, k: int, seed: int | str, cal
     Groups are dealt to folds within their dominant class. For each fold its own groups are the
     test split; the others are carved into calibrate, select and train by a fold-specific hash.
     """
+    df = required(df, group, by)
     # one row per group, read several times below
     dealt = cut_lineage(stratified_folds(cut_lineage(group_class(df, group, by)), "_cls", group, k, seed).select(group, F.col("fold").alias("_home")))
     dealt = dealt.select(group, "_home", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
@@ -103,7 +114,10 @@ def group_kfold(df: DataFrame, group: str, by: str, k: int, seed: int | str, cal
     named = F.when(F.col("fold") == F.col("_home"), "test").otherwise(
         F.get(F.array(F.lit("val_calibrate"), F.lit("val_select"), F.lit("train")), block)
     )
-    return df.join(dealt.select(group, "fold", named.alias("split")), group)
+    # a row meets one row of its group, with all folds in it, and is copied only after that
+    folds = cut_lineage(dealt.select(group, "fold", named.alias("split")).groupBy(group).agg(F.collect_list(F.struct("fold", "split")).alias("_folds")))
+    rest = [c for c in df.columns if c != group]
+    return df.join(folds, group).select(group, *rest, F.inline("_folds"))
 
 
 def leaking_groups(df: DataFrame, group: str, fold: str | None = None) -> DataFrame:

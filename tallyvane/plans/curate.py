@@ -257,7 +257,7 @@ def prj8(spark, sf):
 
 def _long19(df, *cols):
     cells = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(n).alias("feature"), *[F.col(c)[i].alias(c) for c in cols]) for i, n in enumerate(META_FEATURES)])
-    return df.select("image", F.inline(cells)).filter(" OR ".join(f"{c} <> 0" for c in cols))
+    return df.select("image", F.inline(cells))
 
 
 _VEC = "[CASE WHEN age IS NOT NULL THEN age / 100 ELSE 0 END, CASE WHEN sex = 'female' THEN 1 ELSE 0 END, CASE WHEN sex = 'male' THEN 1 ELSE 0 END, 0, " + \
@@ -267,7 +267,7 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in META_FEATURES) + "]"
 
 
 @query("prj9_metadata_19_and_mask", WM + f""", v AS (SELECT image, unnest(range(19)) AS j, unnest({_NAMES}) AS feature, unnest({_VEC}) AS vec, unnest({_MASK}) AS mask FROM mn)
-SELECT image, CAST(j AS INTEGER) AS j, feature, vec, mask FROM v WHERE vec <> 0 OR mask <> 0""")
+SELECT image, CAST(j AS INTEGER) AS j, feature, vec, mask FROM v""")
 def prj9(spark, sf):
     cols = [F.col(c) for c in ("age", "sex", "site", "fitzpatrick")]
     return _long19(meta(spark, sf).withColumns({"vec": en.meta_vector(*cols), "mask": en.meta_mask(*cols)}), "vec", "mask")
@@ -275,7 +275,7 @@ def prj9(spark, sf):
 
 @query("prj10_absent_blend", WM + f""", v AS (SELECT image, unnest(range(19)) AS j, unnest({_NAMES}) AS feature, unnest({_VEC}) AS vec, unnest({_MASK}) AS mask FROM mn),
 b AS (SELECT image, j, feature, vec * mask + (0.01 * (j + 1)) * (1 - mask) AS x FROM v)
-SELECT image, CAST(j AS INTEGER) AS j, feature, {rq('x')} AS x FROM b WHERE x <> 0""")
+SELECT image, CAST(j AS INTEGER) AS j, feature, {rq('x')} AS x FROM b""")
 def prj10(spark, sf):
     cols = [F.col(c) for c in ("age", "sex", "site", "fitzpatrick")]
     absent = [0.01 * (j + 1) for j in range(19)]
@@ -402,7 +402,7 @@ def jn3(spark, sf):
 
 
 _VERS = """tk AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS a,
- list_distinct(list_filter(string_split_regex(lower(regexp_replace(substr(text, 2), '\\s+', ' ', 'g')), '\\s+'), lambda x: x <> '')) AS b FROM documents),
+ list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+'), lambda x: x <> '')) AS b FROM documents),
 vs AS (SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS score FROM tk)"""
 
 
@@ -410,7 +410,7 @@ def versions(spark, sf):
     """JN4: two versions of every text joined on their id, scored by token overlap."""
     d = table(spark, sf, "documents")
     a = d.select("doc_id", F.array_distinct(tx.tokens(F.col("text"))).alias("a"))
-    b = d.select("doc_id", F.array_distinct(tx.tokens(F.regexp_replace(F.expr("substr(text, 2)"), "\\s+", " "))).alias("b"))
+    b = d.select("doc_id", F.array_distinct(tx.tokens(F.lower(F.regexp_replace("text", "\\s+", " ")))).alias("b"))
     return a.join(b, "doc_id").select("doc_id", sc.jaccard(F.col("a"), F.col("b")).alias("score"))
 
 
@@ -551,26 +551,26 @@ def agg5(spark, sf):
     return qg.class_medians(rows, "l_returnflag", ["l_quantity", "l_extendedprice"], ["deep"])
 
 
-_GATE = """rs AS (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS em, stddev_pop(l_extendedprice) AS es, avg(l_discount) AS dm, stddev_pop(l_discount) AS ds FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 30),
-gd AS (SELECT l.*, qm, qs, em, es, l_quantity < qm - 2*qs OR l_quantity > qm + 3*qs AS bq, l_extendedprice < em - 2*es OR l_extendedprice > em + 2*es AS be, l_discount < dm - 2*ds OR l_discount > dm + 2*ds AS bd FROM lineitem l, rs WHERE l_linestatus = 'F')"""
+_GATE = """rs AS (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS em, stddev_pop(l_extendedprice) AS es, avg(l_discount) AS dm, stddev_pop(l_discount) AS ds FROM lineitem WHERE l_linestatus = 'O'),
+gd AS (SELECT l.*, qm, qs, em, es, dm, ds, l_quantity < qm - 2*qs OR l_quantity > qm + 3*qs AS bq, l_extendedprice < em - 2*es OR l_extendedprice > em + 2*es AS be, l_discount < dm - 2*ds OR l_discount > dm + 2*ds AS bd FROM lineitem l, rs WHERE l_linestatus = 'F')"""
 
 
 def gate_sides(spark, sf):
     rows = gate_rows(spark, sf)
-    return rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O' AND l_quantity < 30")
+    return rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O'")
 
 
 @query("qg2_grade", "WITH " + _GATE + """ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN bq OR be OR bd THEN 'FAIL' ELSE 'PASS' END AS grade,
  concat_ws('; ', CASE WHEN bq THEN 'l_quantity=' || printf('%.1f', round(l_quantity, 1)) || ' outside [' || printf('%.1f', round(qm - 2*qs, 1)) || ', ' || printf('%.1f', round(qm + 3*qs, 1)) || ']' END,
   CASE WHEN be THEN 'l_extendedprice=' || printf('%.1f', round(l_extendedprice, 1)) || ' outside [' || printf('%.1f', round(em - 2*es, 1)) || ', ' || printf('%.1f', round(em + 2*es, 1)) || ']' END,
-  CASE WHEN bd THEN 'l_discount' END) AS fail_reasons FROM gd""")
+  CASE WHEN bd THEN 'l_discount=' || printf('%.1f', round(l_discount, 1)) || ' outside [' || printf('%.1f', round(dm - 2*ds, 1)) || ', ' || printf('%.1f', round(dm + 2*ds, 1)) || ']' END) AS fail_reasons FROM gd""")
 def qg2(spark, sf):
     cand, real = gate_sides(spark, sf)
     out = qg.grade(cand, real, METRICS, wide="l_quantity")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "grade", "fail_reasons")
 
 
-@query("qg3_gate_by_class", f"""WITH rs AS (SELECT l_returnflag, avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS em, stddev_pop(l_extendedprice) AS es FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 30 GROUP BY 1)
+@query("qg3_gate_by_class", f"""WITH rs AS (SELECT l_returnflag, avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS em, stddev_pop(l_extendedprice) AS es FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
 SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE l_quantity BETWEEN qm - 2*qs AND qm + 3*qs AND l_extendedprice BETWEEN em - 2*es AND em + 2*es) AS passed,
  round(100.0 * count(*) FILTER (WHERE l_quantity BETWEEN qm - 2*qs AND qm + 3*qs AND l_extendedprice BETWEEN em - 2*es AND em + 2*es) / count(*), 2) AS pass_rate_pct
 FROM lineitem JOIN rs USING (l_returnflag) WHERE l_linestatus = 'F' GROUP BY 1""")
@@ -579,12 +579,20 @@ def qg3(spark, sf):
     return qg.gate_by_class(cand, real, "l_returnflag", METRICS[:2], wide="l_quantity")
 
 
-@query("agg33_quality_summary", "WITH " + _GATE + """ SELECT count(*) AS candidate_count, count(*) FILTER (WHERE NOT (bq OR be OR bd)) AS pass_count, count(*) FILTER (WHERE bq OR be OR bd) AS fail_count,
- (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 30) AS real_count, round(100.0 * count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*), 2) AS pass_rate_pct, 42.0::DOUBLE AS fid, 3::BIGINT AS near_duplicates,
- CASE WHEN count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.85 THEN 'PASS' WHEN count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.7 THEN 'MARGINAL' ELSE 'REVIEW' END AS verdict FROM gd""")
+def _fid_sql(metrics, by=""):
+    """CTE ``fd``: diagonal distance of candidates from real rows in units of the real deviation."""
+    side = lambda m, s, f: f"{f}({m}) FILTER (WHERE l_linestatus = '{s}')"
+    term = lambda m: f"(pow({side(m, 'O', 'avg')} - {side(m, 'F', 'avg')}, 2) + {side(m, 'O', 'var_samp')} + {side(m, 'F', 'var_samp')} - 2 * sqrt({side(m, 'O', 'var_samp')} * {side(m, 'F', 'var_samp')})) / {side(m, 'O', 'var_samp')}"
+    return f"fd AS (SELECT {by + ', ' if by else ''}{' + '.join(map(term, metrics))} AS fid FROM lineitem{' GROUP BY ' + by if by else ''})"
+
+
+@query("agg33_quality_summary", "WITH " + _GATE + ", " + _fid_sql(METRICS) + """ SELECT count(*) AS candidate_count, count(*) FILTER (WHERE NOT (bq OR be OR bd)) AS pass_count, count(*) FILTER (WHERE bq OR be OR bd) AS fail_count,
+ (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS real_count, round(100.0 * count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*), 2) AS pass_rate_pct, round((SELECT fid FROM fd), 6) AS fid, (SELECT (count(*) - count(DISTINCT (l_quantity, l_extendedprice, l_discount)))::BIGINT FROM lineitem WHERE l_linestatus = 'F') AS near_duplicates,
+ CASE WHEN (SELECT fid FROM fd) < 50 AND count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.85 THEN 'PASS' WHEN (SELECT fid FROM fd) < 100 AND count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.7 THEN 'MARGINAL' ELSE 'REVIEW' END AS verdict FROM gd""")
 def agg33(spark, sf):
     cand, real = gate_sides(spark, sf)
-    return qg.quality_summary(qg.grade(cand, real, METRICS, wide="l_quantity"), real, 42.0, 3)
+    fid, copies = qg.metric_distance(real, cand, METRICS).scalar(), qg.surplus_copies(cand, METRICS).scalar()
+    return rounded(qg.quality_summary(qg.grade(cand, real, METRICS, wide="l_quantity"), real, fid, copies), "fid")
 
 
 @query("agg30_fid_diagonal", f"""WITH e AS (SELECT vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
@@ -602,14 +610,14 @@ def agg30(spark, sf):
     return e.groupBy("side").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.round(F.lit(fid), 6).alias("fid"))
 
 
-@query("agg29_class_manifest", f"""WITH rl AS (SELECT l_returnflag, count(*) AS r FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 30 GROUP BY 1), sy AS (SELECT l_returnflag, count(*) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
-rs AS (SELECT l_returnflag, avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 30 GROUP BY 1),
+@query("agg29_class_manifest", f"""WITH {_fid_sql(METRICS, "l_returnflag")}, rl AS (SELECT l_returnflag, count(*) AS r FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), sy AS (SELECT l_returnflag, count(*) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+rs AS (SELECT l_returnflag, avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
 pr AS (SELECT l_returnflag, round(100.0 * count(*) FILTER (WHERE l_quantity BETWEEN qm - 2*qs AND qm + 2*qs) / count(*), 2) AS p FROM lineitem JOIN rs USING (l_returnflag) WHERE l_linestatus = 'F' GROUP BY 1)
-SELECT l_returnflag, r AS real_images, s AS synthetic_images, r + s AS total_images, round(s / r, 2) AS synth_ratio, CASE l_returnflag WHEN 'A' THEN 12.35 WHEN 'N' THEN 60.0 END::DOUBLE AS fid, p AS pass_rate_pct FROM rl JOIN sy USING (l_returnflag) JOIN pr USING (l_returnflag)""")
+SELECT l_returnflag, r AS real_images, s AS synthetic_images, r + s AS total_images, round(s / r, 2) AS synth_ratio, round(fid, 2) AS fid, p AS pass_rate_pct FROM rl JOIN sy USING (l_returnflag) JOIN pr USING (l_returnflag) JOIN fd USING (l_returnflag)""")
 def agg29(spark, sf):
     cand, real = gate_sides(spark, sf)
     gate = qg.gate_by_class(cand, real, "l_returnflag", ["l_quantity"])
-    return qg.class_manifest(real, cand, "l_returnflag", gate, {"A": 12.345678, "N": 60.0})
+    return qg.class_manifest(real, cand, "l_returnflag", gate, qg.metric_distance(real, cand, METRICS, "l_returnflag"))
 
 
 # ---- image statistics and record jobs -------------------------------------------------------

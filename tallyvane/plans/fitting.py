@@ -125,7 +125,7 @@ n{i} AS (SELECT k, a / greatest(sum(a) OVER (PARTITION BY row_id), 1e-12) AS a F
 def fit6(spark, sf):
     source = predictions(spark, sf).select("p")
     with held(source) as rows:
-        prior, _ = fit.sld_prior(rows, _PRIOR0, K, max_iter=4, tol=0.0)
+        prior, _ = fit.sld_prior(rows, _PRIOR0, K, max_iter=4, tol=0.0, unfinished=True)
     table = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(v).alias("prior")) for i, v in enumerate(prior)])
     return rounded(source.agg(F.count("*")).select(F.inline(table)), "prior")
 
@@ -134,8 +134,8 @@ def fit6(spark, sf):
 def fit6_variants(spark, sf):
     source = big(spark, sf).select("p")
     with held(source) as rows:
-        prior, steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=20)
-        alt, alt_steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, max_iter=10, finalize=False)
+        prior, steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB)
+        alt, alt_steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, init="train", finalize=False)
     return as_rows(source, {"prior": prior, "prior_unfinalised": alt, "steps": [steps, alt_steps]})
 
 
@@ -183,7 +183,7 @@ def fit9_eval(spark, sf):
 def fit9(spark, sf):
     source = big(spark, sf).select("y", "p")
     with held(source) as rows:
-        scales, best = fit.evolve_scales(rows, [(0.3, 4.0)] * KB, population=16, generations=4)
+        scales, best = fit.evolve_scales(rows, [(0.3, 4.0)] * KB)
     return as_rows(source, {"scale": scales, "macro_f1": [best]})
 
 
@@ -191,7 +191,7 @@ def fit9(spark, sf):
 def fit10(spark, sf):
     source = sp.stratified_split(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", [0.8], ["tune", "check"], 42)
     with held(source) as rows:
-        got = fit.guarded_scales(rows.filter("split = 'tune'"), rows.filter("split = 'check'"), KB, passes=1)
+        got = fit.guarded_scales(rows.filter("split = 'tune'"), rows.filter("split = 'check'"), KB)
     return as_rows(source, {"scale": got["scales"], "delta": [got["delta"]]}).withColumn("policy", F.lit(got["policy"]))
 
 

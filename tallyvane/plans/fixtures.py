@@ -241,11 +241,11 @@ CASE_SITES = ["head/neck", "anterior torso", "upper extremity", "lower extremity
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """One row per prediction: class code from the predicted index, metadata and two heat-map summaries.
 
-    Probabilities are those of the first eight classes, renormalised.
+    The probabilities of all ten labels are folded into the eight codes by ``label % 8``.
     """
     from tallyvane.operators.quality import summarize_heat
-    p8 = sc.softmax(F.slice("z", 1, 8), 8)
-    rows = cohort_columns(pred(spark, sf)).withColumn("p", p8)
+    rows = cohort_columns(pred(spark, sf)).withColumn("_p", sc.softmax(F.col("z"), K))
+    rows = rows.withColumn("p", F.array(*[sc.fold_sum([F.col("_p")[j] for j in range(i, K, len(CLASSES))]) for i in range(len(CLASSES))])).drop("_p")
     rows = rows.withColumns({"cls": sc.argmax(F.col("p")), "conf": F.round(F.array_max("p"), 4)})
     rows = rows.withColumns({
         "code": F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("cls")),
@@ -287,8 +287,9 @@ def heat_sql(tag: str, pos: str) -> str:
 
 
 CASE = PRED + "," + heat_sql("g", "d - 1") + "," + heat_sql("a", "64 - d") + """,
-c8 AS (SELECT row_id, y, k, z, max(z) OVER (PARTITION BY row_id) AS m FROM zl WHERE k < 8),
-cp AS (SELECT row_id, y, k, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row_id) AS p FROM c8),
+c8 AS (SELECT row_id, y, k, z, max(z) OVER (PARTITION BY row_id) AS m FROM zl),
+c9 AS (SELECT row_id, y, k, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row_id) AS p FROM c8),
+cp AS (SELECT row_id, any_value(y) AS y, k % 8 AS k, sum(p) AS p FROM c9 GROUP BY row_id, k % 8),
 cw AS (SELECT *, max(p) OVER (PARTITION BY row_id) AS pm FROM cp),
 names AS (SELECT * FROM (VALUES (0,'MEL','Melanoma',0.57),(1,'NV','Melanocytic Nevus',0.48),(2,'BCC','Basal Cell Carcinoma',0.42),
   (3,'AK','Actinic Keratosis',0.31),(4,'BKL','Benign Keratosis',0.39),(5,'DF','Dermatofibroma',0.24),(6,'VASC','Vascular Lesion',0.22),

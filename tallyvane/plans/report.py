@@ -251,11 +251,11 @@ def srt6_case(spark, sf):
     return rows.select("row_id", F.posexplode_outer(jn.review_array(F.col("entries"))).alias("pos", "e")).select("row_id", F.col("e.id").alias("id"), (F.col("pos") + 1).alias("pos"))
 
 
-@query("srt6_review_queue", "WITH " + HISTORY + f" SELECT id, status, confidence FROM hi ORDER BY date DESC NULLS LAST, {_SEV} DESC, confidence DESC, id LIMIT 100")
+@query("srt6_review_queue", "WITH " + HISTORY + f" SELECT id, status, confidence FROM hi ORDER BY date DESC NULLS LAST, {_SEV} DESC, confidence DESC, id")
 def srt6_queue(spark, sf):
     h = history(spark, sf)
     order = jn.review_order(F.col("date"), F.col("status"), F.col("confidence"), F.col("id"))
-    return h.orderBy(*order).limit(100).select("id", "status", "confidence")
+    return h.orderBy(*order).select("id", "status", "confidence")
 
 
 @query("cse1_case_record", WC + """ SELECT row_id, 'CASE-' || row_id AS id, code AS predicted, urg AS urgency, CASE WHEN age IS NOT NULL AND sex IS NOT NULL AND site IS NOT NULL THEN 'Complete' ELSE 'Partial' END AS completeness,

@@ -205,12 +205,12 @@ def srt4(spark, sf):
 
 @query("srt5_class_candidates", W + f""", f AS (SELECT row_id, y, round(py, 9) AS py, row_id % 4 = 0 AS downsampled FROM pr),
 pool AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY downsampled, row_id) AS a FROM f),
-best AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY py DESC, row_id) AS rank FROM pool WHERE a <= 30)
+best AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY py DESC, row_id) AS rank FROM pool WHERE a <= 50)
 SELECT y, row_id, downsampled, {rq('py')} AS true_prob, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5""")
 def srt5(spark, sf):
     rows = predictions(spark, sf).select(
         "row_id", "y", F.round(F.col("p")[F.col("y")], 9).alias("py"), (F.col("row_id") % 4 == 0).alias("downsampled"))
-    out = jn.top_per_class(rows, "y", [F.col("py").desc(), F.col("row_id")], 5, pool=30, pool_order=[F.col("downsampled"), F.col("row_id")])
+    out = jn.top_per_class(rows, "y", [F.col("py").desc(), F.col("row_id")], 5, pool=50, pool_order=[F.col("downsampled"), F.col("row_id")])
     return out.select("y", "row_id", "downsampled", r("py").alias("true_prob"), "rank")
 
 
