@@ -45,7 +45,7 @@ def stm3(spark, sf):
     target = scratch_path(spark, "latest")
     q = st.upsert_latest(stream, "user_id", ["ts", "event_id"], target, scratch_path(spark, "latest-state"))
     q.awaitTermination()
-    return st.read_latest(spark, q, target).select("user_id", "ts", "event_id")
+    return st.read_latest(spark, target).select("user_id", "ts", "event_id")
 
 
 @query("stm4_score_monitor", "WITH " + PRED + f""", ev AS (SELECT event_id AS row_id, ts FROM events), j AS (SELECT date_trunc('day', ts) AS w, conf, pred, row_id FROM pr JOIN ev USING (row_id)),
@@ -57,8 +57,6 @@ def stm4(spark, sf):
     stream, _ = replay(rows, "scores")
     monitor = st.score_monitor(stream, "ts", K, "1 day", "400 days", threshold=0.2)
     target = scratch_path(spark, "monitor")
-    q = (monitor.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{target}/v={i}"))
-         .option("checkpointLocation", scratch_path(spark, "monitor-state")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = st.read_latest(spark, q, target)
+    st.keep_windows(monitor, target, scratch_path(spark, "monitor-state")).awaitTermination()
+    out = st.read_latest(spark, target)
     return rounded(out.select("window_start", "n", "uncertain_rate", F.col("prior")[0].alias("prior_0"), F.col("pred_share")[0].alias("share_0")), "uncertain_rate", "prior_0", "share_0")

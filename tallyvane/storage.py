@@ -52,6 +52,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).exists(target)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; empty when it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input that a scan cannot split (one small file, one row group).
 

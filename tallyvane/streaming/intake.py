@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from tallyvane.functions import scores as sc
 from tallyvane.operators.dedup import latest_by_key
 from tallyvane.operators.joins import intake_errors
-from tallyvane.storage import path_exists
+from tallyvane.storage import child_names, path_exists, remove
 
 
 def ingest_directory(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
@@ -39,24 +39,58 @@ def validate_stream(rows: DataFrame, js: str, good: str, rejects: str, checkpoin
 def upsert_latest(rows: DataFrame, key: str, order: list[str], table: str, checkpoint: str) -> StreamingQuery:
     """STM3. Table with the newest row per key.
 
-    Version v+1 is merged from version v and the batch, then named; repeating a batch rebuilds the
-    same version from the same predecessor.
+    See ``_versions`` for what a repeated or a missing batch does.
     """
-    spark = rows.sparkSession
+    merge = lambda old, batch: latest_by_key(batch if old is None else old.unionByName(batch), key, order)
+    return rows.writeStream.foreachBatch(_versions(rows.sparkSession, table, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+
+def _versions(spark: SparkSession, table: str, merge):
+    """Batch sink that makes version v of a table from version v - 1 and batch v.
+
+    Repeating a batch rebuilds the same version from the same predecessor. Without a complete
+    predecessor, or with versions of another run in the folder, it fails rather than start anew.
+    Of older versions only the predecessor is kept.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        old = f"{table}/v={batch_id - 1}"
-        merged = batch
-        if path_exists(spark, f"{old}/_SUCCESS"):
-            merged = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
-        latest_by_key(merged, key, order).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        have = versions(spark, table)
+        if batch_id - 1 not in have and (batch_id > 0 or any(v > 0 for v in have)):
+            raise RuntimeError(f"{table} has no complete version {batch_id - 1} to build on")
+        old = spark.read.schema(batch.schema).parquet(f"{table}/v={batch_id - 1}") if batch_id > 0 else None
+        batch.persist()  # read more than once, and it may stand on a state store
+        merge(old, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        batch.unpersist()
+        for v in have:
+            if v < batch_id - 1:
+                remove(spark, f"{table}/v={v}")
 
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return sink
+
+
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Complete versions of a table, oldest first."""
+    found = [int(n[2:]) for n in child_names(spark, table) if n.startswith("v=")]
+    return sorted(v for v in found if path_exists(spark, f"{table}/v={v}/_SUCCESS"))
 
 
-def read_latest(spark: SparkSession, query: StreamingQuery, table: str) -> DataFrame:
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    return spark.read.parquet(f"{table}/v={max(done)}")
+def read_latest(spark: SparkSession, table: str) -> DataFrame:
+    """The newest complete version, whether or not the last run found anything new."""
+    have = versions(spark, table)
+    if not have:
+        raise FileNotFoundError(f"{table} has no complete version")
+    return spark.read.parquet(f"{table}/v={have[-1]}")
+
+
+def keep_windows(monitor: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """STM4. Monitor windows in a versioned table: each batch replaces the windows it changed.
+
+    In update mode the watermark lets finished windows leave the state.
+    """
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return batch if old is None else old.join(batch.select("window_start"), "window_start", "left_anti").unionByName(batch)
+
+    sink = _versions(monitor.sparkSession, table, merge)
+    return monitor.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def score_monitor(rows: DataFrame, ts: str, k: int, window: str, late: str, threshold: float = 0.7) -> DataFrame:

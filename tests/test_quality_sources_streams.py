@@ -1,5 +1,6 @@
 """Gates, image statistics, record jobs, distance, sources, sinks and streams."""
 
+import os
 import struct
 import uuid
 
@@ -196,4 +197,9 @@ def test_upsert_keeps_the_newest_across_runs(spark):
     q = run(); q.awaitTermination()
     spark.createDataFrame([(1, 3, "c"), (2, 0, "old")], schema).coalesce(1).write.mode("append").parquet(src)
     q = run(); q.awaitTermination()
-    assert sorted(map(tuple, st.read_latest(spark, q, table).collect())) == [(1, 3, "c"), (2, 1, "b")]
+    assert sorted(map(tuple, st.read_latest(spark, table).collect())) == [(1, 3, "c"), (2, 1, "b")]
+    assert st.versions(spark, table) == [0, 1]
+    os.remove(f"{table}/v=1/_SUCCESS")
+    spark.createDataFrame([(1, 9, "z")], schema).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="no complete version 1"):
+        run().awaitTermination()
