@@ -10,6 +10,8 @@ from tallyvane.llm.encoders import read_ranks
 
 BUCKETS = 1 << 15
 NONE = 2**31 - 1
+#: Around each token while merging; no byte has these numbers.
+OPEN, CLOSE = "\u0100", "\u0101"
 
 
 def let(value: Column, body) -> Column:
@@ -34,59 +36,56 @@ def _find(maps: Column, key: Column) -> Column:
     return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.size(maps)).cast("int")), key)
 
 
-def rank(maps: Column, token: Column) -> Column:
-    return F.coalesce(_find(maps, token), F.lit(NONE))
+def _parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two tokens whose merge makes ``token``; None for one byte."""
+    parts, top = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        low, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if low >= top:
+            raise ValueError(f"token {token!r} is not made by merges of lower rank")
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
 class Vocabulary:
-    """Ranks of a file as scalars: rank by bytes, and bytes and little-endian id by rank, in hex.
+    """Ranks of a file as one scalar: by a token's bytes its rank, its merge, and its id and bytes in hex.
 
-    Their size is that of the file, whatever the input.
+    Bytes are characters of the same number here, so that Spark's string functions work on them.
+    Its size is that of the file, whatever the input.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
-        tokens = table(spark.createDataFrame([(bytearray(t), r) for t, r in ranks.items()], "token binary, rank int"), "vocabulary")
-        self.maps = _literal(tokens, "token", F.col("rank"), BUCKETS)
-        by_rank = spark.range(max(ranks.values(), default=-1) + 1).select(F.col("id").cast("int").alias("rank")).join(tokens, "rank", "left")
-        in_order = lambda value: table(by_rank.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda x: x["v"]).alias("v")), "literal").scalar()
-        byte = lambda shift: F.lpad(F.hex(F.shiftright("rank", shift).bitwiseAND(F.lit(255))), 2, "0")
-        self.token_hex = in_order(F.coalesce(F.hex("token"), F.lit("")))
-        self.id_hex = in_order(F.concat(byte(0), byte(8), byte(16), byte(24)))
-
-
-def merge(piece: Column, maps: Column) -> Column:
-    """Ids of one piece (a string): its bytes, with the pair of lowest rank merged until none is left.
-
-    The fold runs once per byte at most. Its state is the byte arrays and, beside each, the rank
-    of it and its right neighbour joined; a merge ranks two pairs anew. Leftmost pairs go first.
+        self.longest = max(map(len, ranks), default=1)
+        rows = []
+        for token, r in ranks.items():
+            both = _parts(token, ranks)
+            text = lambda x: x.decode("latin-1")
+            merge = (OPEN + text(both[0]) + CLOSE + OPEN + text(both[1]) + CLOSE, OPEN + text(token) + CLOSE) if both else (None, None)
+            rows.append((text(token), r, *merge, r.to_bytes(4, "little").hex(), token.hex()))
+        tokens = table(spark.createDataFrame(rows, "token string, rank int, pair string, joined string, id_hex string, token_hex string"), "vocabulary")
+        self.maps = _literal(tokens, "token", F.struct("rank", "pair", "joined", "id_hex", "token_hex"), BUCKETS)
+
+
+def merge(piece: Column, maps: Column, longest: int) -> Column:
+    """Ids and bytes of one piece (a string), in hex: a fold of ranked merges over its bytes.
+
+    The tokens that occur in the piece are looked up and sorted by rank, and the fold applies the
+    merge of each to all places at once, from left to right. A merge only makes pairs of higher
+    rank, so this is what merging the lowest pair again and again gives.
     """
-    raw = F.encode(piece, "UTF-8")
-    n = F.octet_length(piece)
-    none = F.array().cast("array<int>")
-    start = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, i, F.lit(1)))
-    joined = lambda parts: F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: rank(maps, F.concat(a, b)))
-    state = let(start, lambda parts: F.struct(parts.alias("parts"), joined(parts).alias("ranks")))
-
-    def step(s: Column, _: Column) -> Column:
-        parts, ranks = s["parts"], s["ranks"]
-
-        def merged(at: Column) -> Column:  # at: place of the pair, from 1
-            m = F.size(parts)
-            return let(F.concat(parts[at - 1], parts[at]), lambda one: F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(one), F.slice(parts, at + 2, m)).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                    F.when(at > 1, F.array(rank(maps, F.concat(parts[at - 2], one)))).otherwise(none),
-                    F.when(at + 1 < m, F.array(rank(maps, F.concat(one, parts[at + 1])))).otherwise(none),
-                    F.slice(ranks, at + 2, m),
-                ).alias("ranks"),
-            ))
-
-        return let(F.array_min(ranks), lambda low: F.when(low < NONE, let(F.array_position(ranks, low).cast("int"), merged)).otherwise(s))
-
-    folded = F.aggregate(F.sequence(F.lit(2), n), state, step, lambda s: F.transform(s["parts"], lambda p: rank(maps, p)))
-    return let(_find(maps, raw), lambda r: F.when(r.isNotNull(), F.array(r)).when(n > 1, folded).otherwise(none))
+    def of_bytes(raw: Column) -> Column:
+        n = F.length(raw)
+        inside = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+            F.sequence(F.lit(2), F.least(F.lit(longest), n - i + 1)), lambda k: _find(maps, F.substring(raw, i, k)))))
+        ranked = F.array_sort(F.filter(inside, lambda t: t.isNotNull()))
+        start = F.regexp_replace(raw, "(?s)(.)", f"{OPEN}$1{CLOSE}")
+        folded = F.aggregate(ranked, start, lambda s, t: F.replace(s, t["pair"], t["joined"]))
+        return F.transform(F.regexp_extract_all(folded, F.lit(f"(?s){OPEN}([^{CLOSE}]+){CLOSE}"), F.lit(1)), lambda t: _find(maps, t))
+
+    joined = lambda tokens: F.struct(F.array_join(F.transform(tokens, lambda t: t["id_hex"]), "").alias("ids"), F.array_join(F.transform(tokens, lambda t: t["token_hex"]), "").alias("bytes"))
+    whole = lambda raw: let(_find(maps, raw), lambda t: F.when(t.isNotNull(), F.struct(t["id_hex"].alias("ids"), t["token_hex"].alias("bytes"))).otherwise(let(of_bytes(raw), joined)))
+    return let(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), whole)
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -103,18 +102,18 @@ def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
     return df.select("*", *[v.alias(k) for k, v in scalars.items()])
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000) -> tuple[DataFrame, Vocabulary]:
-    """(id, ids array<int>) of every text, and the vocabulary."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000) -> DataFrame:
+    """(doc_id, words): per match of every text its ids and the bytes they stand for, in hex."""
     vocabulary = Vocabulary(df.sparkSession, path)
     rows = df.select(col(id_col).alias("doc_id"), pieces(F.coalesce(col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
     seen = rows.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     top = table(seen.filter(F.octet_length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(frequent).select("piece"), "frequent")
     dealt = with_scalars(top.repartition(32, "piece"), _maps=vocabulary.maps)
-    known = table(dealt.select("piece", let(F.col("_maps"), lambda m: merge(F.col("piece"), m)).alias("ids")), "known")
-    words = _literal(known, "piece", F.col("ids"), max(1, frequent // 2))
-    one = lambda p, m, w: let(_find(w, p), lambda ids: F.coalesce(ids, merge(p, m)))
-    all_ids = let(F.col("_maps"), lambda m: let(F.col("_words"), lambda w: F.flatten(F.transform("pieces", lambda p: one(p, m, w)))))
-    return with_scalars(rows, _maps=vocabulary.maps, _words=words).select("doc_id", all_ids.alias("ids")), vocabulary
+    known = table(dealt.select("piece", let(F.col("_maps"), lambda m: merge(F.col("piece"), m, vocabulary.longest)).alias("word")), "known")
+    words = _literal(known, "piece", F.col("word"), max(1, frequent // 2))
+    one = lambda p, m, w: let(_find(w, p), lambda word: F.coalesce(word, merge(p, m, vocabulary.longest)))
+    all_words = let(F.col("_maps"), lambda m: let(F.col("_words"), lambda w: F.transform("pieces", lambda p: one(p, m, w))))
+    return with_scalars(rows, _maps=vocabulary.maps, _words=words).select("doc_id", all_words.alias("words"))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000) -> DataFrame:
@@ -128,11 +127,12 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     Defined cases: null and empty texts have no ids; a null or repeated id changes nothing; pieces
     of equal count are taken in their own order, which changes no result; long texts and long
     pieces are encoded whole; an empty table gives an empty result; columns other than the two
-    named are not read. The file must rank all 256 single bytes, as byte-level vocabularies do.
+    named are not read. The file must rank all 256 single bytes, and each longer token after the
+    two it is merged from, as byte-level vocabularies do; else it is refused.
     """
-    ids, vocabulary = encode(df, path, pattern, id_col, text_col, frequent)
-    hexes = with_scalars(ids, _ids=vocabulary.id_hex, _tokens=vocabulary.token_hex)
-    joined = lambda name: F.unhex(F.array_join(let(F.col(name), lambda by_rank: F.transform("ids", lambda i: F.get(by_rank, i))), ""))
-    return hexes.select(
-        F.col("doc_id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined("_ids"), 256).alias("ids_sha256"), F.sha2(joined("_tokens"), 256).alias("decoded_sha256")
+    encoded = encode(df, path, pattern, id_col, text_col, frequent)
+    whole = lambda name: F.unhex(F.array_join(F.transform("words", lambda w: w[name]), "")).alias(name)
+    both = encoded.select("doc_id", whole("ids"), whole("bytes"))
+    return both.select(
+        F.col("doc_id").alias(id_col), F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )

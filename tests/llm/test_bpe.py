@@ -42,3 +42,12 @@ def test_odd_texts(spark):
         check(got, texts)
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
     assert bpe.round_trip(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), PATH, P.PATTERN).first().n_tokens == 2
+
+
+def test_refuses_ranks_that_are_no_merges():
+    import pytest
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 299}
+    assert bpe._parts(b"ab", ranks) == (b"a", b"b")
+    with pytest.raises(ValueError):
+        bpe._parts(b"abc", ranks)
