@@ -194,3 +194,12 @@ def test_variant_report_counts_each_variant(spark):
     got = {r.variant: r.delta for r in fit.variant_report(df, "a").collect()}
     assert got["a"] == 0.0 and got["b"] == pytest.approx(1 - 1 / 3)
     assert mt.summary(mt.confusion(df, by=["variant"]), ["variant"]).count() == 2
+
+
+def test_prior_search_says_when_it_has_not_converged(spark):
+    df = spark.createDataFrame([([0.6, 0.4],), ([0.3, 0.7],), ([0.55, 0.45],)], "p array<double>")
+    with pytest.raises(RuntimeError, match="not converged in 2 steps"):
+        fit.sld_prior(df, [0.5, 0.5], 2, max_iter=2)
+    assert fit.sld_prior(df, [0.5, 0.5], 2, max_iter=2, unfinished=True)[1] == 2
+    a, b = fit.sld_prior(df, [0.5, 0.5], 2), fit.sld_prior(df, [0.5, 0.5], 2, init="train")
+    assert a[0] == pytest.approx(b[0], abs=1e-4)

@@ -203,3 +203,15 @@ def test_upsert_keeps_the_newest_across_runs(spark):
     spark.createDataFrame([(1, 9, "z")], schema).write.mode("append").parquet(src)
     with pytest.raises(Exception, match="no complete version 1"):
         run().awaitTermination()
+
+
+def test_heat_map_time_grows_with_the_cells(spark):
+    import time
+
+    took = {}
+    for side in (96, 384):
+        grid = spark.range(2).select("id", F.transform(F.sequence(F.lit(1), F.lit(side * side)), lambda i: F.sin(i.cast("double"))).alias("a"))
+        began = time.perf_counter()
+        assert len(qg.summarize_heat(grid, "id", "a", side).collect()) == 2
+        took[side] = time.perf_counter() - began
+    assert took[384] < 30 * took[96] + 5

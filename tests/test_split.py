@@ -90,3 +90,15 @@ def test_balance_lists_absent_classes(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "split string, cls string")
     got = {(r.split, r.cls): (r.n, r.drifts) for r in sp.class_balance(df, "cls").collect()}
     assert got["b", "y"] == (0, True) and len(got) == 4
+
+
+@pytest.mark.parametrize("cut", [
+    lambda d: sp.stratified_split(d, "cls", "id", [0.8], ["a", "b"], 1), lambda d: sp.stratified_folds(d, "cls", "id", 3, 1),
+    lambda d: sp.group_split(d, "grp", 1), lambda d: sp.group_kfold(d, "grp", "cls", 3, 1),
+])
+def test_null_keys_fail_instead_of_falling_into_a_split(spark, cut):
+    full = spark.createDataFrame([(i, f"c{i % 2}", f"g{i % 9}") for i in range(60)], "id int, cls string, grp string")
+    assert cut(full).count() in (60, 180)
+    holes = full.withColumn("cls", F.when(F.col("id") % 4 > 0, F.col("cls"))).withColumn("grp", F.when(F.col("id") % 4 > 0, F.col("grp")))
+    with pytest.raises(Exception, match="is null: fill or quarantine"):
+        cut(holes).collect()
