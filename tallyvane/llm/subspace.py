@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tallyvane.llm.common import col, components, table
 
-TILE = 512
+TILE, WIDE = 512, 4096
 #: Share of a tile's pairs from which on it is verified as one matrix product.
 DENSE = 0.02
 SLACK = 1e-6
+#: Far above the error of a squared distance in single precision.
+ROUGH = 1e-4
 
 
 def rotate(vectors: np.ndarray, seed: int) -> np.ndarray:
@@ -122,20 +124,24 @@ def compare(vecs: np.ndarray, home: np.ndarray, copies: np.ndarray, first: np.nd
     unit = vecs / np.sqrt(np.square(vecs).sum(axis=1))[:, None]
     part = [turned[:, edges[k] : edges[k + 1]] for k in range(block + 1)]
     norm = [np.square(p).sum(axis=1) for p in part]
+    # one product gives all squared distances of a tile; single precision only sorts out
+    one = np.ones(len(vecs))
+    left = np.column_stack([part[block], norm[block], one]).astype(np.float32)
+    right = np.column_stack([-2 * part[block], one, norm[block]]).astype(np.float32)
     degree, stars = np.zeros(len(vecs), dtype=np.int64), []
     same = first is second or np.array_equal(first, second)
-    for at in range(0, len(first), TILE):
-        a = first[at : at + TILE]
-        b = second[at:] if same else second
-        near = lambda k: norm[k][a][:, None] + norm[k][b][None, :] - 2 * (part[k][a] @ part[k][b].T) <= share[k]
-        mask = near(block)
-        mask &= home[a][:, None] | home[b][None, :]
-        if same:
-            mask &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+    tiles = [(first[s : s + TILE], second[t : t + WIDE]) for s in range(0, len(first), TILE) for t in range(s // WIDE * WIDE if same else 0, len(second), WIDE)]
+    for a, b in tiles:
+        mask = left[a] @ right[b].T <= share[block] + ROUGH
         n = np.count_nonzero(mask)
         if not n:
             continue
         if n > DENSE * mask.size:
+            near = lambda k: norm[k][a][:, None] + norm[k][b][None, :] - 2 * (part[k][a] @ part[k][b].T) <= share[k]
+            mask &= near(block)
+            mask &= home[a][:, None] | home[b][None, :]
+            if same:
+                mask &= a[:, None] < b[None, :]
             for k in range(block):
                 mask &= ~near(k)
             mask &= unit[a] @ unit[b].T >= cosine
@@ -145,9 +151,12 @@ def compare(vecs: np.ndarray, home: np.ndarray, copies: np.ndarray, first: np.nd
             keep = np.zeros(len(i), dtype=bool)
             for s in range(0, len(i), 1 << 16):
                 x, y = a[i[s : s + (1 << 16)]], b[j[s : s + (1 << 16)]]
-                good = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+                apart = lambda k: norm[k][x] + norm[k][y] - 2 * np.einsum("ij,ij->i", part[k][x], part[k][y])
+                good = (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine) & (home[x] | home[y]) & (apart(block) <= share[block])
+                if same:
+                    good &= x < y
                 for k in range(block):
-                    good &= norm[k][x] + norm[k][y] - 2 * np.einsum("ij,ij->i", part[k][x], part[k][y]) > share[k]
+                    good &= apart(k) > share[k]
                 keep[s : s + (1 << 16)] = good
             i, j = i[keep], j[keep]
         if not len(i):
