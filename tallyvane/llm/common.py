@@ -56,18 +56,34 @@ def word_hashes(words: Iterable[bytes]) -> np.ndarray:
     return np.fromiter((h(w) for w in words), dtype=np.uint64)
 
 
+FACTOR = 0xD6E8FEB86659FD93
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First ``n`` powers of FACTOR and of its inverse modulo 2**64, kept per worker."""
+    if len(_powers[0]) < n:
+        for i, f in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            steps = np.full(2 * n, f, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hash of each run of ``width`` consecutive words; order counts."""
+    """64-bit hash of each run of ``width`` consecutive words; order counts.
+
+    A polynomial in an odd factor: running sums give every window in a few passes of any width.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    factor = np.uint64(1)
+    up, down = _powers_of(len(hashes))
     with np.errstate(over="ignore"):
-        for i in range(width):
-            out += hashes[i : i + n] * factor
-            factor = np.uint64((int(factor) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-        return mix(out + GOLDEN)
+        sums = np.cumsum(hashes * up)
+        out = sums[width - 1 :].copy()
+        out[1:] -= sums[: n - 1]
+        return mix(out * down[:n] + GOLDEN)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

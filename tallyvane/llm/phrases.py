@@ -97,7 +97,7 @@ def route(df: DataFrame, classes: DataFrame, found: DataFrame, id_col: str, text
 
 
 def phrases_of(routed: DataFrame) -> DataFrame:
-    """Words of each recurring anchor as 32-bit hashes: (shard, anchor, phrase)."""
+    """Letters of each recurring anchor: (shard, anchor, phrase)."""
     wanted = F.filter("route", lambda r: r["seed"] == F.col("seed"))
     first = routed.select("text", F.transform(wanted, lambda r: F.struct(r["anchor"].alias("anchor"), r["shard"].alias("shard"))).alias("own")).filter(F.size("own") > 0)
 
@@ -108,23 +108,29 @@ def phrases_of(routed: DataFrame) -> DataFrame:
                 hashes = word_hashes(words_of(text))
                 grams = signed(window_hashes(hashes, ANCHOR))
                 value, at = np.unique(grams, return_index=True)
-                short = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+                short = letters(hashes)
                 for r in own:
                     p = at[np.searchsorted(value, r["anchor"])]
                     shard.append(r["shard"])
                     anchor.append(r["anchor"])
-                    phrase.append(short[p : p + ANCHOR].tobytes())
+                    phrase.append(short[2 * p : 2 * (p + ANCHOR)])
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(anchor, pa.int64()), pa.array(phrase, pa.binary())], ["shard", "anchor", "phrase"])
 
     return first.mapInArrow(run, "shard int, anchor long, phrase binary").dropDuplicates(["anchor"])
 
 
+def letters(hashes: np.ndarray) -> bytes:
+    """Two letters a word, from its hash: an alphabet of 256, as automata search their edges one by one."""
+    return (hashes & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
 def compiled(anchor: list[int], phrase: list[bytes]) -> ahocorasick.Automaton:
-    """Automaton over word hashes; a phrase's value is its anchor."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    """Automaton over the letters of phrases; a phrase's value is its anchor."""
+    out = ahocorasick.Automaton()
     for a, p in zip(anchor, phrase, strict=True):
-        key = tuple(np.frombuffer(p, dtype="<u4").tolist())
-        out.add_word(key, (*out.get(key, ()), a))  # phrases may share their 32-bit hashes
+        key = p.decode("latin-1")
+        if not out.add_word(key, (a,)):
+            out.add_word(key, (*out.get(key), a))  # phrases may share their letters
     out.make_automaton()
     return out
 
@@ -144,35 +150,31 @@ def locate(routed: DataFrame, per_group: int, window: int) -> DataFrame:
     words = table(phrases_of(routed), "phrases").join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "anchor", "phrase")
 
     def run(phrases: pa.Table, docs: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("cid", "copies", "anchor", "start", "wins", "run")}
+        rows, parts = [], []
         if docs.num_rows and phrases.num_rows:
             search = compiled(phrases["anchor"].to_pylist(), phrases["phrase"].to_pylist())
             for cid, copies, text in zip(docs["cid"].to_pylist(), docs["copies"].to_pylist(), as_bytes(docs["text"]), strict=True):
                 hashes = word_hashes(words_of(text))
-                grams = window_hashes(hashes, ANCHOR)
-                whole = signed(grams)
-                letters = tuple((hashes & np.uint64(0xFFFFFFFF)).tolist())
-                hits = {a for end, found in search.iter(letters) for a in found if whole[end - ANCHOR + 1] == a}
+                # letters may agree by chance; a window counts only if its own anchor was found
+                hits: set[int] = set()
+                for _, found in search.iter(letters(hashes).decode("latin-1")):
+                    hits.update(found)
                 if not hits:
                     continue
-                low = signed(sliding(grams, per_window))
-                at = np.flatnonzero(np.isin(low, np.fromiter(hits, dtype=np.int64, count=len(hits))))
-                if not len(at):
-                    continue
-                wins = signed(window_hashes(hashes, window))
-                fresh = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(low[at]) != 0)])
-                begins = np.flatnonzero(fresh)
-                for b, e in zip(begins, [*begins[1:], len(at)], strict=True):
-                    for s in range(b, e, RUN):
-                        own = wins[at[s] : at[min(s + RUN, e) - 1] + 1]
-                        out["cid"].append(cid)
-                        out["copies"].append(copies)
-                        out["anchor"].append(int(low[at[s]]))
-                        out["start"].append(int(at[s]))
-                        out["wins"].append(own)
-                        out["run"].append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+                low = signed(sliding(window_hashes(hashes, ANCHOR), per_window))
+                begins = [0, *(np.flatnonzero(low[1:] != low[:-1]) + 1).tolist()]
+                wins = None
+                for b, e, a in zip(begins, [*begins[1:], len(low)], low[begins].tolist(), strict=True):
+                    if a in hits:
+                        wins = signed(window_hashes(hashes, window)) if wins is None else wins
+                        for s in range(b, e, RUN):
+                            own = wins[s : min(s + RUN, e)]
+                            parts.append(own)
+                            rows.append((cid, copies, a, s, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)))
+        cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
+        return pa.table({"cid": cols[0], "copies": cols[1], "anchor": cols[2], "start": cols[3], "wins": lists, "run": cols[4]})
 
     both = words.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part"))
     return table(both.applyInArrow(run, "cid long, copies long, anchor long, start long, wins array<long>, run long"), "located")
@@ -237,7 +239,7 @@ def judged(df: DataFrame, id_col: str, text_col: str, window: int, per_shard: in
     return rows, table(partly.unionByName(whole), "judged")
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, per_shard: int = 50_000, per_group: int = 8 << 20) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, per_shard: int = 120_000, per_group: int = 8 << 20) -> DataFrame:
     """Operator 9. Per row: id, n_words, n_removed, kept_sha256.
 
     A word goes when a window of ``window`` words that covers it stands at a second place of any
@@ -262,7 +264,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, per_shard: int = 50_000, per_group: int = 8 << 20) -> DataFrame:
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, per_shard: int = 120_000, per_group: int = 8 << 20) -> DataFrame:
     """All rows and columns of ``df``; texts that lose words become the words left, joined by a space."""
     _, cut = judged(df, id_col, text_col, window, per_shard, per_group)
     keyed = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), F.md5(F.coalesce(col(text_col).cast("string"), F.lit(""))).alias("tkey"))
