@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tallyvane.llm.common import as_bytes, col, signed, table, window_hashes, word_hashes, words_of
 
 ANCHOR = 8  # words of a phrase
+BLOCKS = 256  # rows a shard's phrases travel in
 RUN = 28  # windows in one row at most, so that a 32-bit mask holds them
 
 
@@ -147,12 +148,16 @@ def locate(routed: DataFrame, per_group: int, window: int) -> DataFrame:
     shards = routed.select("cid", "copies", "text", F.explode(F.array_distinct(F.transform("route", lambda r: r["shard"]))).alias("shard"))
     sizes = table(shards.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("bytes")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("bytes") / per_group)).cast("int").alias("groups")), "groups")
     dealt = shards.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int").alias("part"), "cid", "copies", "text")
-    words = table(phrases_of(routed), "phrases").join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "anchor", "phrase")
+    # phrases travel in blocks, a few hundred a row, to every group of their shard
+    block = F.pmod(F.xxhash64("anchor"), F.lit(BLOCKS))
+    blocks = table(phrases_of(routed).groupBy("shard", block.alias("block")).agg(F.collect_list(F.struct("anchor", "phrase")).alias("items")), "phrases")
+    words = blocks.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "items")
 
     def run(phrases: pa.Table, docs: pa.Table) -> pa.Table:
         rows, parts = [], []
         if docs.num_rows and phrases.num_rows:
-            search = compiled(phrases["anchor"].to_pylist(), phrases["phrase"].to_pylist())
+            items = phrases["items"].combine_chunks().flatten()
+            search = compiled(items.field("anchor").to_pylist(), items.field("phrase").to_pylist())
             for cid, copies, text in zip(docs["cid"].to_pylist(), docs["copies"].to_pylist(), as_bytes(docs["text"]), strict=True):
                 hashes = word_hashes(words_of(text))
                 # letters may agree by chance; a window counts only if its own anchor was found
