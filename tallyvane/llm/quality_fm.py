@@ -135,9 +135,10 @@ def fit(
 ) -> Model:
     """Model learned from at most ``max_rows`` labelled documents that are not held out.
 
-    The sample is the labelled ids with the smallest hashes; only features of these documents
-    reach the driver. An id labelled more than once counts with its smallest label; null ids and
-    labels are ignored; an id that several documents share teaches with each of them.
+    The sample is the labelled ids with the smallest hashes, with one row each; only features of
+    these rows reach the driver. An id labelled more than once counts with its smallest label;
+    null ids and labels are ignored; of the rows that share an id the one whose text has the
+    smallest hash teaches, so no id weighs more than another.
     """
     known = (
         labels.filter(col(id_col).isNotNull() & col(label_col).isNotNull() & ~held_out(id_col))
@@ -146,6 +147,7 @@ def fit(
     )
     meta = col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")
     chosen = df.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text"), meta.alias("_meta")).join(F.broadcast(known), "_id")
+    chosen = chosen.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text", "_meta")).alias("row")).select("_id", "_y", "row._text", "row._meta")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

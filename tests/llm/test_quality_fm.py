@@ -52,3 +52,15 @@ def test_odd_rows(spark):
     assert {r.score for r in q.classify(docs, labels.limit(0)).collect()} == {0.5}
     with pytest.raises(ValueError):
         q.scored(docs.withColumn("n", F.lit(1)), q.train([], np.array([]), 512), score_col="score")
+
+
+def test_one_row_of_an_id_teaches(spark, monkeypatch):
+    rows = [(1, f"text {i % 7} of the first", i) for i in range(50)] + [(i, f"text of {i}", i) for i in (3, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in (1, 3, 4, 5, 6)], "doc_id long, quality int")
+    usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1, 3, 4, 5, 6))
+    seen, train = [], q.train
+    monkeypatch.setattr(q, "train", lambda rows, y, *a: seen.append((len(rows), int(sum(y)))) or train(rows, y, *a))
+    one, two = q.fit(docs, labels, max_rows=20), q.fit(docs.repartition(2), labels, max_rows=20)
+    assert zlib.crc32(b"1") % 4 != 2 and seen == [(usable, 1)] * 2
+    assert (one.linear == two.linear).all() and one.bias == two.bias
