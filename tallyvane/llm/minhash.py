@@ -68,7 +68,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def read_sets(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """Per row: id, size of its set, class key (128 bits of the whole set) and band keys."""
+    """Per row: id, place (64 bits of id and text), size of its set, class key (128 bits of the whole set) and band keys."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,27 +80,35 @@ def read_sets(df: DataFrame, id_col: str, text_col: str, width: int, bands: int,
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 found.append(signed(band_keys(super_minhash(own, bands * rows), rows)) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "cls", "bands"]
+                [b.column("id"), b.column("place"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "place", "n", "cls", "bands"]
             )
 
-    rows_in = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return table(rows_in.mapInArrow(run, f"id {kind}, n long, cls binary, bands array<long>"), "sets")
+    return table(_placed(df, id_col, text_col).mapInArrow(run, f"id {kind}, place long, n long, cls binary, bands array<long>"), "sets")
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and place of every row: the place is never null and differs for the texts of one id."""
+    rows = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("place"), "text")
 
 
 def _sets_of(df: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
     """Whole shingle sets of the classes in ``wanted`` (cls, id of a document that has it)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # rows that repeat id and text bring the same set again
         for b in batches:
-            sets = [shingle_set(t, width) for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cls"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
-                ["asked", "cls", "items"],
-            )
+            keys, sets = [], []
+            for cls, text in zip(b.column("cls").to_pylist(), as_bytes(b.column("text")), strict=True):
+                own = shingle_set(text, width) if cls not in done else None
+                # an id that several texts share may bring other sets along
+                if own is not None and xxhash.xxh3_128_digest(own.tobytes()) == cls:
+                    done.add(cls)
+                    keys.append(cls)
+                    sets.append(signed(own))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "items"])
 
     texts = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    made = texts.join(wanted, "id").mapInArrow(run, "asked binary, cls binary, items array<long>")
-    # an id that several texts share may bring other sets along, or the same one twice
-    right = table(made.filter("asked = cls").select("cls", "items"), "items")
+    right = table(texts.join(wanted, "id").mapInArrow(run, "cls binary, items array<long>"), "items")
     return right.groupBy("cls").agg(F.any_value("items").alias("items")) if _repeats(right) else right
 
 
@@ -254,9 +262,12 @@ def near_duplicates(
     """
     sets = read_sets(df, id_col, text_col, width, bands, rows)
     classes = table(
-        sets.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes"
+        sets.filter("cls is not null").groupBy("cls")
+        .agg(F.min("id").alias("id"), F.min("place").alias("place"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes"
     )
-    comp = link(classes.filter("id is not null"), lambda wanted: _sets_of(df, id_col, text_col, width, wanted), percent, rounds)
+    # sets are fetched by place: a null id has one too, and an id of many texts brings only the text asked for
+    texts = _placed(df, id_col, text_col)
+    comp = link(classes.select("cls", F.col("place").alias("id"), "n", "bands"), lambda wanted: _sets_of(texts, "place", "text", width, wanted), percent, rounds)
     named = classes.join(comp, "cls", "left").select("cls", "id", F.coalesce("comp", "cls").alias("comp"))
     lowest = table(named.groupBy("comp").agg(F.min("id").alias("component_id")), "lowest")
     by_class = table(named.join(lowest, "comp").select("cls", "component_id"), "by_class")

@@ -110,3 +110,35 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, t), (5, t), (None, "only here with five words")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df).collect()}
     assert got == {(None, 2, 5, False), (5, 2, 5, True), (None, 2, None, True)}
+
+
+def test_null_ids_link_near_copies(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*base[:-k], *[f"v{i}" for i in range(k)]]) if k else " ".join(base)
+    left, right = near(10), " ".join([f"u{i}" for i in range(10)] + base[10:])  # alike to the base, not to each other
+    lone = [f"z{i}" for i in range(60)]
+    rows = [(4, left), (None, near(0)), (9, right), (None, " ".join(lone)), (None, " ".join([*lone[:-2], "y", "x"]))]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("4", "4", True), ("9", "4", False), ("None", "4", False), ("None", "None", True), ("None", "None", True)]
+
+
+def test_sets_of_one_id_are_fetched_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(30):  # one id has thirty texts, each with a near copy under it
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+        rows += [(1, " ".join(w)), (1, " ".join([*w[:-1], f"v{i}"]))]
+    rows += rows[:1] * 20
+    tables, write = {}, m.table
+    monkeypatch.setattr(m, "table", lambda df, name: tables.setdefault(name, write(df, name)) if name == "items" else write(df, name))
+    asked, fetch = [], m._sets_of
+
+    def counted(df, id_col, text_col, width, wanted):
+        texts = df.select(m.col(id_col).alias("id"))
+        asked.append((texts.join(wanted, "id").count(), wanted.count()))
+        return fetch(df, id_col, text_col, width, wanted)
+
+    monkeypatch.setattr(m, "_sets_of", counted)
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == len(rows) and all(r.kept and r.component_id == 1 for r in got)
+    assert asked == [(80, 60)] and tables["items"].count() == 60
