@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Shingles of five words. A document is its id and text here, so of two texts under one id the
     one in a group with a smaller id goes alone; a row without id goes if its group has an id.
-    Rows that repeat id and text are one document. Texts without words are in no group.
+    Rows that repeat id and text are one document: here they stay or go together, and ``passages``
+    folds those that stay. Texts without words are in no group.
     """
     key = F.struct(F.isnull("doc_id").alias("none"), col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), width=5)
@@ -45,9 +46,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(stay, same, "left_semi").select("row.*")
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row, the first, of those that repeat id and text; nulls are equal to each other alone.
+
+    Only rows of repeated documents are numbered and written; without any, ``docs`` is returned.
+    """
+    keys = ["none", "id", "no_text", "text_key"]
+    key = F.struct(F.isnull("doc_id").alias("none"), col("doc_id").alias("id"), F.isnull("text").alias("no_text"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), key.alias("key"))
+    counts = rows.select("key.*").groupBy(keys).agg(F.count("*").alias("n"))
+    again = table(counts.filter("n > 1").select(F.struct(*keys).alias("key")), "again")
+    if again.isEmpty():
+        return docs
+    copies = table(rows.join(again, "key", "left_semi").select(F.monotonically_increasing_id().alias("at"), "key", "row"), "copies")
+    first = table(copies.groupBy("key").agg(F.min("at").alias("at")).select("at"), "first")
+    return rows.join(again, "key", "left_anti").select("row.*").unionByName(copies.join(first, "at", "left_semi").select("row.*"))
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: words in 35-word windows that recur are cut; every document stays."""
-    return _sized(phrases.without_passages(docs))
+    """Operator 9: words in 35-word windows that recur are cut; every document stays.
+
+    A document is its id and text, as in ``near_duplicates``: its repeated rows become one before,
+    as they would count as passages of each other and leave nothing of it.
+    """
+    return _sized(phrases.without_passages(one_row_each(docs)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

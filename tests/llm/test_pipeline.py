@@ -114,3 +114,15 @@ def test_odd_rows(spark):
             assert (n == 0) == docs.isEmpty() or stage is corpus_pipeline.quality
     kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "3", "3", "None", "None"]
+
+
+def test_a_repeated_clean_text_stays_once(spark):
+    text = " ".join(f"clean{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(7, text, "en"), (7, text, "de"), (7, text, "en"), (None, other, "en"), (None, other, "en"), (8, "short", "en"), (8, None, "en"), (8, "", "en")]
+    docs = spark.createDataFrame([(d, t, x, None, None) for d, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.passages):
+        docs = stage(spark, docs, SF)
+    got = docs.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("7", text), ("None", other), ("8", "short"), ("8", "None"), ("8", "")])
+    assert corpus_pipeline.one_row_each(spark.createDataFrame(got, docs.schema)).count() == 5
