@@ -60,15 +60,20 @@ def read_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, cls binary, vec binary")
 
 
-def deal(classes: DataFrame, blocks: int, reach: float, chunk: int, seed: int) -> DataFrame:
+def reach_of(dim: int, blocks: int, cosine: float) -> float:
+    """How far apart two linked vectors of ``dim`` components can lie in the block with the largest share."""
+    blocks = min(blocks, dim)
+    widest = -(-dim // blocks) / dim
+    return float(np.sqrt((2 - 2 * cosine) * widest * (1 + SLACK) + SLACK))
+
+
+def deal(classes: DataFrame, blocks: int, cosine: float, chunk: int, seed: int) -> DataFrame:
     """Rows of the range joins: (block, strip, c1, c2, chunk, home, cid, copies, vec).
 
     In each block a vector lives in the strip of its first coordinate and visits the next one if
     a partner may live there. A strip is compared in chunks, each pair of chunks in one group, so
     the size of a group does not depend on how many vectors fall in a strip.
     """
-    width = 2 * reach
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {k: [] for k in ("cid", "dim", "block", "strip", "home")}
@@ -78,6 +83,8 @@ def deal(classes: DataFrame, blocks: int, reach: float, chunk: int, seed: int) -
             cids = b.column("cid").to_pylist()
             for dim, at in by_dim.items():
                 turned = rotate(np.stack([np.frombuffer(b.column("vec")[i].as_py()) for i in at]), seed)
+                reach = reach_of(turned.shape[1], blocks, cosine)
+                width = 2 * reach
                 for k in range(min(blocks, turned.shape[1])):
                     first = turned[:, k * turned.shape[1] // min(blocks, turned.shape[1])]
                     strip = np.floor(first / width).astype(int)
@@ -192,7 +199,6 @@ def near_duplicates(
     rows = table(read_vectors(df, id_col, vector_col), "vectors")
     folded = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vec").alias("vec"))
     classes = table(folded.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-    reach = float(np.sqrt((2 - 2 * cosine) / blocks * (1 + SLACK) + SLACK))
 
     def run(group: pa.Table) -> pa.Table:
         block = group["block"][0].as_py()
@@ -205,7 +211,7 @@ def near_duplicates(
         a, b, d = np.concatenate([cid[at], cid[stars[:, 0]]]), np.concatenate([cid[at], cid[stars[:, 1]]]), np.concatenate([degree[at], np.zeros(len(stars), dtype=np.int64)])
         return pa.table({"a": a, "b": b, "links": d})
 
-    dealt = deal(classes, blocks, reach, chunk, seed).groupBy("dim", "block", "strip", "c1", "c2")
+    dealt = deal(classes, blocks, cosine, chunk, seed).groupBy("dim", "block", "strip", "c1", "c2")
     found = table(dealt.applyInArrow(run, "a long, b long, links long"), "found")
     comp = components(found.filter("a <> b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).filter("links > 0").select(F.col("a").alias("cid"), "links")

@@ -54,3 +54,11 @@ def test_rotation_keeps_distances():
     x = np.random.default_rng(0).normal(size=(20, 24))
     r, u = s.rotate(x, 3), x / np.linalg.norm(x, axis=1)[:, None]
     assert r.shape == (20, 32) and np.allclose(r @ r.T, u @ u.T)
+
+
+def test_two_components_equal_brute_force(spark):
+    angles = np.random.default_rng(2).uniform(0, 2 * np.pi, 80)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    assert sorted((tuple(r) for r in s.near_duplicates(df).collect()), key=str) == brute(rows)
+    assert s.reach_of(2, 4, 0.9) ** 2 > 0.1 and s.reach_of(32, 3, 0.9) ** 2 > 0.2 * 11 / 32
