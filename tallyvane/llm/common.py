@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.storage import scratch_path
@@ -122,3 +122,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
+
+
+def placed(df: DataFrame, group: Column, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their place in a group of any size, written once.
+
+    Adds ``_group`` (``group`` in a struct, so that null is a group like any other), ``_pos`` (from 0
+    along ``order``), ``_n`` (rows of the group), ``_part`` (the range the row lies in) and for each
+    of ``sums`` a ``_before_<name>``, its total over the rows of the group before this one. Rows are
+    dealt by range of (group, order), so a hot group is spread over many tasks; each range is summed
+    on its own and moved by what lies before it, from a table of one row per group and range. Rows
+    equal in all of ``order`` are told apart by where they were read and may swap places. ``order``
+    should be short values (a digest in place of a text), since bounds of ranges pass the driver.
+    """
+    keys = [group.asc_nulls_first(), *[o.asc_nulls_first() for o in order], F.col("_tie").asc()]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = table(
+        ranged.select(*df.columns, F.struct(group.alias("g")).alias("_group"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq")),
+        "placed",
+    )
+    per_part = laid.groupBy("_group", "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    whole = Window.partitionBy("_group")
+    above = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        "_group", "_part", "_first", F.sum("_rows").over(whole).alias("_n"), F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_shift"),
+        *[F.coalesce(F.sum(f"_sum_{s}").over(above), F.lit(0)).alias(f"_shift_{s}") for s in sums],
+    )
+    inside = Window.partitionBy("_group", "_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return laid.join(offsets, ["_group", "_part"]).select(
+        *df.columns, "_group", "_part", "_n", (F.col("_shift") + F.col("_seq") - F.col("_first")).alias("_pos"),
+        *[(F.col(f"_shift_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"_before_{s}") for s in sums],
+    )

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyvane.llm import bpe, divergence, minhash, packing, phrases, pii, quality_fm, subspace, url_rules, warc
+from tallyvane.llm import bpe, chat, divergence, merkle, minhash, packing, phrases, pii, quality_fm, subspace, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +194,110 @@ FROM p LEFT JOIN f ON f.digest = p.digest AND strlen(html) >= 100
 @query("op3_warc_capture_index", OP3_SQL)
 def op3_warc_capture_index(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(load(spark, sf, "pages"))
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+OP11_SQL = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+marked AS (
+  SELECT *, len(regexp_extract_all(text, '[^ \t-\r]{1,4}')) + 4 AS tokens, md5(text) AS digest,
+    23 + length(replace(replace(replace(replace(replace(replace(replace(replace(role || text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')) AS chars
+  FROM raw
+),
+line AS (
+  SELECT *, row_number() OVER o AS pos, sum(tokens) OVER o - tokens AS a
+  FROM marked WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest ROWS UNBOUNDED PRECEDING)
+),
+lead AS (SELECT conv_id, pos AS lead_pos, tokens AS lead_tokens, chars AS lead_chars FROM line WHERE role = 'system' QUALIFY pos = min(pos) OVER (PARTITION BY conv_id)),
+roomy AS (
+  SELECT l.*, lead_pos, lead_chars, greatest(greatest(2048 - 256 - coalesce(lead_tokens, 0), 512) // 2, 1) AS half
+  FROM line l LEFT JOIN lead ON l.conv_id IS NOT DISTINCT FROM lead.conv_id
+),
+cells AS (SELECT *, 2 * (a // half) + (tokens > half)::INT AS cell FROM roomy),
+spans AS (SELECT conv_id, cell, min(a) AS at, max(a + tokens) AS till, sum(chars) AS own, min(pos) AS first_pos, min(lead_pos) AS lead_pos, min(lead_chars) AS lead_chars FROM cells GROUP BY ALL),
+tails AS (
+  SELECT s.conv_id, s.till AS at, sum(chars) AS more, min(pos) AS first_pos
+  FROM spans s JOIN cells c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.cell = c.cell WHERE s.till - c.a <= 256 GROUP BY s.conv_id, s.cell, s.till
+),
+sizes AS (
+  SELECT s.conv_id, sum(own + coalesce(more, 0) + CASE WHEN lead_pos < coalesce(t.first_pos, s.first_pos) THEN lead_chars ELSE 0 END) AS n
+  FROM spans s LEFT JOIN tails t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.at = t.at GROUP BY s.conv_id
+),
+told AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss
+  FROM line GROUP BY conv_id
+)
+SELECT told.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars
+FROM told JOIN sizes ON told.conv_id IS NOT DISTINCT FROM sizes.conv_id
+"""
+
+
+@query("op11_budgeted_windows", OP11_SQL)
+def op11_budgeted_windows(spark: SparkSession, sf: str) -> DataFrame:
+    said = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digest(chat.windows(said.unionByName(control)))
+
+
+#: CRC-32 of the text of an integer, by the polynomial's table.
+CRC_TABLE_SQL = "SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(b))"
+OP12_SQL = r"""
+WITH RECURSIVE crcs AS (CRC_TABLE),
+f AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS code
+  FROM documents, crcs
+),
+leaves AS (
+  SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN code % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS used
+  FROM f
+),
+level AS (
+  SELECT source, 0 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, k + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (n + 2) // 3 FROM level WHERE n > 1 GROUP BY source, k, i // 3, n
+),
+subroots AS (SELECT source, node AS subroot, k AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM level WHERE n = 1),
+upper_level AS (
+  SELECT 0 AS k, place AS i, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (n + 2) // 3 FROM upper_level WHERE n > 1 GROUP BY k, i // 3, n
+),
+start AS (
+  SELECT rid, doc_id, l.source, leaf, used, row_number() OVER (PARTITION BY l.source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, s.subroot, s.place, s.height
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+),
+hung AS (
+  SELECT source, k, i, string_agg(node, '' ORDER BY i) OVER (PARTITION BY source, k, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft,
+    string_agg(node, '' ORDER BY i) OVER (PARTITION BY source, k, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rgt FROM level WHERE n > 1
+),
+upper_hung AS (
+  SELECT k, i, string_agg(node, '' ORDER BY i) OVER (PARTITION BY k, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft,
+    string_agg(node, '' ORDER BY i) OVER (PARTITION BY k, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rgt FROM upper_level WHERE n > 1
+),
+climb AS (
+  SELECT rid, source, i, place, height, 0 AS k, used AS node, '' AS proof FROM start
+  UNION ALL
+  SELECT c.rid, c.source, CASE WHEN c.k < c.height THEN c.i // 3 ELSE c.i END, CASE WHEN c.k < c.height THEN c.place ELSE c.place // 3 END, c.height, c.k + 1,
+    sha256(coalesce(h.lft, u.lft, '') || c.node || coalesce(h.rgt, u.rgt, '')), c.proof || coalesce(h.lft, u.lft, '') || coalesce(h.rgt, u.rgt, '')
+  FROM climb c
+  LEFT JOIN hung h ON c.k < c.height AND h.source IS NOT DISTINCT FROM c.source AND h.k = c.k AND h.i = c.i
+  LEFT JOIN upper_hung u ON c.k >= c.height AND u.k = c.k - c.height AND u.i = c.place
+  WHERE c.k < c.height + (SELECT max(k) FROM upper_level)
+),
+top AS (SELECT node AS root FROM upper_level WHERE n = 1)
+SELECT s.doc_id, s.leaf, s.subroot, top.root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = top.root AS verified
+FROM start s JOIN climb c ON c.rid = s.rid AND c.k = s.height + (SELECT max(k) FROM upper_level) CROSS JOIN top
+""".replace("CRC_TABLE", CRC_TABLE_SQL)
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(load(spark, sf, "documents")))
