@@ -126,7 +126,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     leaves = placed(own, F.col("source"), [F.col("id"), F.col("leaf")])
 
     def sources(tops: DataFrame) -> DataFrame:
-        laid = placed(tops.select(F.col("_group.g").alias("source"), F.col("_group").alias("own"), "top", "floor"), F.lit(0), [F.col("source")])
+        laid = placed(tops.select(F.col("_group.g").alias("source"), F.col("_group").alias("own"), "top", "floor"), F.lit("all"), [F.col("source")])
         nodes = laid.select("_group", "_pos", "_n", F.col("top").alias("node"), F.struct("own", "floor", "top").alias("payload"))
         return table(paths(nodes).select(F.col("payload.own").alias("_group"), "payload.floor", "payload.top", "segments", "root"), "sources")
 
