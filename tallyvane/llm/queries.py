@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvane.llm import bpe, chat, divergence, merkle, minhash, packing, phrases, pii, quality_fm, subspace, url_rules, warc
+from tallyvane.llm import bpe, chat, divergence, merkle, minhash, packing, phrases, pii, quality_fm, spelling, subspace, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,3 +301,34 @@ FROM start s JOIN climb c ON c.rid = s.rid AND c.k = s.height + (SELECT max(k) F
 @query("op12_merkle_manifest", OP12_SQL)
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify(merkle.manifest(load(spark, sf, "documents")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crcs AS (CRC_TABLE),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, sum(n) AS n FROM runs GROUP BY ALL),
+coded AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END))),
+    lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS h
+  FROM lowered, crcs
+),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM coded),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM gaps g JOIN v ON v.word = g.rest
+  UNION SELECT v.word, g.word, g.n FROM gaps g JOIN v ON v.word = g.rest
+),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+named AS (SELECT p.word, b.n_near, b.top, min(p.near) AS near FROM pairs p JOIN best b ON b.word = p.word AND p.near_n = b.top GROUP BY ALL),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * v.n THEN near END AS form, CASE WHEN top >= 2 * v.n THEN top END::BIGINT AS form_n FROM v LEFT JOIN named USING (word)),
+way AS (SELECT word, word AS root, form FROM forms UNION ALL SELECT w.word, f.word, f.form FROM way w JOIN forms f ON f.word = w.form)
+SELECT f.word, f.n, n_near, f.form, form_n, w.root FROM forms f JOIN way w ON w.word = f.word AND w.form IS NULL
+""".replace("CRC_TABLE", CRC_TABLE_SQL)
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(load(spark, sf, "documents"))
