@@ -50,7 +50,8 @@ def plain(docs):
 def corpus(seed, letters, n_words):
     rng = random.Random(seed)
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(n_words)]
-    return [(i, " ".join(rng.choices(words, k=200))) for i in range(60)]
+    weights = [1 / (k + 1) for k in range(n_words)]
+    return [(i, " ".join(rng.choices(words, weights, k=400))) for i in range(60)]
 
 
 def check(spark, docs, **kw):
@@ -63,7 +64,7 @@ def check(spark, docs, **kw):
 @pytest.mark.parametrize("shard_words", [32_768, 7])
 def test_equals_brute_force(spark, shard_words):
     """A small shard makes crowded buckets, which are cut in blocks."""
-    got = check(spark, corpus(1, "abÀÿ", 300), shard_words=shard_words)
+    got = check(spark, corpus(1, "abÀÿ", 1200), shard_words=shard_words)
     assert any(r[3] for r in got) and any(r[5] != (r[3] or r[0]) for r in got)
 
 
