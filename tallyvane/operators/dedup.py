@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyvane.storage import cut_lineage
 
 HALF = 32
+#: Tables that one table is refined to, at most; wider keys than these allow are not asked for.
+MOST_TABLES = 150
 
 
 # ---- exact copies -------------------------------------------------------------
@@ -92,91 +96,96 @@ def copies(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy("hi", "lo").agg(F.min(key).alias("id"), F.count("*").alias("n"))
 
 
-def _block(i: int, width: int) -> Column:
-    """Block ``i`` of ``width`` bits, counted from the top of (hi, lo)."""
-    per_half = HALF // width
-    half = "hi" if i < per_half else "lo"
-    shift = HALF - width * (i % per_half + 1)
-    return F.shiftright(F.col(half), shift).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _flips(width: int, radius: int) -> list[int]:
-    """Bit masks of at most ``radius`` set bits."""
-    masks = {0}
-    for _ in range(radius):
-        masks |= {m ^ (1 << b) for m in masks for b in range(width)}
-    return sorted(m for m in masks if bin(m).count("1") <= radius)
+class Tables:
+    """Bit masks of a multi-index: which bits two fingerprints must share to meet in a table.
 
+    The free bits are cut in b >= limit pieces. Of two fingerprints that differ in fewer than ``limit``
+    bits, at least b - limit + 1 pieces are equal, so they meet in the table of the first ones that
+    are. ``differ`` holds the pieces before these, which must differ for a table to be the first.
+    """
 
-def near_pairs(fingerprints: DataFrame, limit: int = 8, width: int = 16, hot: int = 20_000) -> DataFrame:
+    def __init__(self) -> None:
+        self.masks, self.differ = [0], [()]
+        self.last = [0]
+
+    def refine(self, limit: int, width: int) -> list[list[int]]:
+        """Replaces each of the last tables by tables on the bits it leaves free; the new ones per old one."""
+        made, fresh = [], []
+        for t in self.last:
+            free = [i for i in range(64) if not self.masks[t] >> i & 1]
+            own: list[int] = []
+            for b in range(limit, len(free) + 1):
+                edges = [len(free) * i // b for i in range(b + 1)]
+                if (b - limit + 1) * (len(free) // b) >= width or b == len(free) or comb(b + 1, limit - 1) > MOST_TABLES:
+                    pieces = [sum(1 << i for i in free[edges[i] : edges[i + 1]]) for i in range(b)]
+                    for chosen in combinations(range(b), b - limit + 1):
+                        own.append(len(self.masks))
+                        self.masks.append(self.masks[t] | sum(pieces[i] for i in chosen))
+                        self.differ.append((*self.differ[t], *(pieces[i] for i in range(chosen[-1]) if i not in chosen)))
+                    break
+            made.append(own)
+            fresh += own
+        self.last = fresh
+        return made
+
+
+def _signed(x: int) -> str:
+    return f"{x - (1 << 64) if x >> 63 else x}L" if x != 1 << 63 else "(-9223372036854775807L - 1L)"
+
+
+def _longs(rows: Sequence[Sequence[int]]) -> Column:
+    """Literal array of arrays of 64-bit masks."""
+    return F.expr("array(" + ", ".join("cast(array(" + ", ".join(map(_signed, r)) + ") as array<bigint>)" for r in rows) + ")")
+
+
+def near_pairs(fingerprints: DataFrame, limit: int = 8, width: int = 14, hot: int = 1024, depth: int = 2) -> DataFrame:
     """JN7. All pairs of *distinct* fingerprints that differ in fewer than ``limit`` bits.
 
     Input (hi, lo, id, n) as made by ``copies``; output (id_a < id_b, n_a, n_b, distance), each
     pair once. Equal fingerprints are never paired with each other: a row stands for its n copies.
 
-    Exact by pigeonhole: of the 64/width blocks one holds at most floor((limit-1)·width/64) of the
-    differing bits. Half of those bits are flipped on one side and the rest on the other, which
-    keeps the number of lookup rows low. A block value shared by more than ``hot`` rows is split
-    before the join by the same argument on the 8-bit pieces outside that block.
+    A multi-index: a fingerprint is keyed in every table (see ``Tables``) by the bits the table
+    compares, ``width`` of them at least, and rows of equal key are candidates. A key that more than
+    ``hot`` rows share is refined by tables on its free bits, ``depth`` levels deep, so what a row
+    meets does not grow with the number of rows; what is still crowded then (very many fingerprints
+    close to each other) is compared in blocks of ``hot`` rows. A pair counts only in the first
+    table that holds it, so no pair has to be folded afterwards, and none is dropped.
     """
-    blocks = 64 // width
-    radius = (limit - 1) // blocks
-    home_masks, probe_masks = _flips(width, radius // 2), _flips(width, radius - radius // 2)
-    pieces = (64 - width) // 8
-    piece_masks = _flips(8, (limit - 1) // pieces)
-    keyed = fingerprints.select(
-        "hi", "lo", "id", "n",
-        F.posexplode(F.array(*[_block(i, width) for i in range(blocks)])).alias("blk", "val"),
-    )
-
-    def flipped(rows: DataFrame, col: str, masks: list[int]) -> DataFrame:
-        if masks == [0]:
-            return rows
-        spread = rows.withColumn("_f", F.explode(F.array(*[F.lit(m) for m in masks])))
-        return spread.withColumn(col, F.col(col).bitwiseXOR(F.col("_f"))).drop("_f")
-
-    home = flipped(keyed, "val", home_masks)
-    crowded = (
-        home.groupBy("blk", "val").agg(F.count("*").alias("_m")).filter(F.col("_m") > hot)
-        .select("blk", "val", F.lit(True).alias("_hot"))
-    )
-    plain = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("bigint").alias("bits")))
-    outside = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("piece"), _block(i, 8).alias("bits")) for i in range(8)]),
-        lambda s: F.floor(s["piece"] / (width // 8)) != F.col("blk"),
-    )
-
-    def split_hot(rows: DataFrame) -> DataFrame:
-        return rows.join(crowded, ["blk", "val"], "left").select(
-            "blk", "val", "hi", "lo", "id", "n", F.inline(F.when(F.col("_hot"), outside).otherwise(plain))
-        )
-
-    a = split_hot(home)
-    b = split_hot(flipped(keyed, "val", probe_masks))
-    fan = F.when(F.col("piece") < 0, F.array(F.lit(0))).otherwise(F.array(*[F.lit(m) for m in piece_masks]))
-    b = b.withColumn("_g", F.explode(fan)).withColumn("bits", F.col("bits").bitwiseXOR(F.col("_g"))).drop("_g")
-
-    on = ["blk", "val", "piece", "bits"]
-    side = lambda rows, tag: rows.select(*on, *[F.col(c).alias(f"{c}_{tag}") for c in ("hi", "lo", "id", "n")])
-    dist = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    # flips are not symmetric between the sides, so either side may hold the lower id
-    swap = F.col("id_a") > F.col("id_b")
-    return (
-        side(a, "a").join(side(b, "b"), on)
-        .filter((F.col("id_a") != F.col("id_b")) & (dist < limit))
-        .select(
-            F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"),
-            F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
-            F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
-            dist.alias("distance"),
-        )
-        .distinct()
-    )
-
-
-def choose_width(n_distinct: int) -> int:
-    """Block width by volume: few, wide blocks keep candidates per block near constant."""
-    return 16 if n_distinct <= 4_000_000 else 32
+    tables = Tables()
+    bits = F.shiftleft("hi", HALF).bitwiseOR(F.col("lo"))
+    rows = fingerprints.select(bits.alias("bits"), "id", "n", F.lit(0).alias("t"))
+    found: list[DataFrame] = []
+    distance = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))).cast("int")
+
+    def pairs(keyed: DataFrame, on: list[str], apart: Column | None = None) -> DataFrame:
+        side = lambda tag: keyed.select(*on, *[F.col(c).alias(f"{c}_{tag}") for c in keyed.columns if c not in on])
+        both = side("a").join(side("b"), on).filter((F.col("id_a") < F.col("id_b")) & (distance < limit))
+        if apart is not None:
+            both = both.filter(apart)
+        earlier = F.get(_longs([tables.differ[t] for t in range(len(tables.differ))]), F.col("t"))
+        first = F.forall(earlier, lambda m: F.col("bits_a").bitwiseXOR(F.col("bits_b")).bitwiseAND(m) != 0)
+        return both.filter(first).select("id_a", "id_b", "n_a", "n_b", distance.alias("distance"))
+
+    for level in range(depth):
+        start = tables.last[0]
+        made = tables.refine(limit, width)
+        refined = F.get(_longs([[tables.masks[t] for t in own] for own in made]), F.col("t") - start)
+        number = F.get(F.expr("array(" + ", ".join(str(own[0] if own else 0) for own in made) + ")"), F.col("t") - start)
+        keyed = rows.select("bits", "id", "n", number.alias("_t"), F.posexplode(refined).alias("_i", "_m")).select(
+            "bits", "id", "n", (F.col("_t") + F.col("_i")).alias("t"), F.col("bits").bitwiseAND(F.col("_m")).alias("key"))
+        crowded = cut_lineage(keyed.groupBy("t", "key").agg(F.count("*").alias("m")).filter(F.col("m") > hot))
+        crowd = not crowded.isEmpty()
+        found.append(pairs(keyed.join(crowded.select("t", "key"), ["t", "key"], "left_anti") if crowd else keyed, ["t", "key"]))
+        if not crowd:
+            break
+        rows = keyed.join(crowded, ["t", "key"])
+    else:
+        parts = F.ceil(F.col("m") / hot).cast("int")
+        mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+        dealt = rows.select("t", "key", "bits", "id", "n", mine.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_o"))
+        dealt = dealt.select("t", "key", F.least("part", "_o").alias("x"), F.greatest("part", "_o").alias("y"), "bits", "id", "n", "part")
+        found.append(pairs(dealt, ["t", "key", "x", "y"], (F.col("x") == F.col("y")) | (F.col("part_a") != F.col("part_b"))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def duplicate_pair_totals(fingerprints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -213,15 +222,14 @@ def keep_lowest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(out, "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
-def near_dedup(df: DataFrame, key: str, text: str, limit: int = 8, width: int | None = None) -> DataFrame:
+def near_dedup(df: DataFrame, key: str, text: str, limit: int = 8) -> DataFrame:
     """SET2 end to end: every input key with its kept flag.
 
     Only the lowest key of each fingerprint can survive, so copies are settled without a pair.
     """
     prints = cut_lineage(simhash(df, key, text))
     groups = cut_lineage(copies(prints, key))
-    width = width or choose_width(groups.count())
-    verdict = keep_lowest(groups, near_pairs(groups, limit, width))
+    verdict = keep_lowest(groups, near_pairs(groups, limit))
     survivors = verdict.filter("kept").select(F.col("id").alias(key))
     flagged = df.select(key).join(survivors.withColumn("_k", F.lit(True)), key, "left")
     blank = df.select(key).join(prints.select(key), key, "left_anti").withColumn("_e", F.lit(True))
