@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from hashlib import md5
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyvane.storage import cut_lineage
 
 HALF = 32
 #: Tables that one table is refined to, at most; wider keys than these allow are not asked for.
 MOST_TABLES = 150
+#: Token digests that a task keeps.
+MOST_DIGESTS = 200_000
 
 
 # ---- exact copies -------------------------------------------------------------
@@ -67,24 +75,36 @@ def first_by_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
 # ---- fingerprints -------------------------------------------------------------
 
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """QG6. 64-bit simhash of the whole text as two 32-bit halves (hi, lo).
+    """QG6. 64-bit simhash of the whole text as two 32-bit halves (hi, lo), a row per text with a token.
 
-    A document's tokens sit in one task, so its votes are summed there and one row per document
-    is shuffled, not one per token. Bit i of both halves is counted in one long, 32 bits each;
-    a bit is set when more than half of the tokens set it.
+    A document's tokens sit in one row, so nothing is shuffled: the votes of a text are one product of
+    its token counts with the bits of the tokens' digests. A bit is set when more than half of the
+    tokens set it. Texts are lower-cased by Spark and cut at ASCII white space.
     """
-    words = df.select(key, F.explode(F.split(F.lower(text), "\\s+")).alias("tok")).filter("tok <> ''")
-    digest = words.select(key, F.md5("tok").alias("d"))
-    halves = digest.select(
-        key, F.conv(F.substring("d", 1, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring("d", 9, 8), 16, 10).cast("bigint").alias("lo")
-    )
-    one = F.lit(1).cast("bigint")
-    lane = lambda i: F.shiftright("hi", i).bitwiseAND(one) + F.shiftleft(F.shiftright("lo", i).bitwiseAND(one), HALF)
-    votes = halves.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(lane(i)).alias(f"v{i}") for i in range(HALF)])
-    low = F.lit((1 << HALF) - 1)
-    bit = lambda count, i: F.when(2 * count > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    pack = lambda take: reduce(lambda a, b: a + b, [bit(take(F.col(f"v{i}")), i) for i in range(HALF)])
-    return votes.select(key, pack(lambda v: v.bitwiseAND(low)).alias("hi"), pack(lambda v: F.shiftright(v, HALF)).alias("lo"))
+    kind = df.schema[key].dataType
+    arrow = to_arrow_type(kind)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            at, prints = [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                counts = Counter((text.as_py() or b"").split())
+                if not counts:
+                    continue
+                if len(known) > MOST_DIGESTS:
+                    known.clear()
+                for w in [w for w in counts if w not in known]:
+                    known[w] = md5(w).digest()[:8]
+                bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in counts]), dtype=np.uint8).reshape(-1, 8), axis=1)
+                n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                at.append(i)
+                prints.append(np.packbits(2 * (n @ bits) > n.sum()))
+            halves = np.concatenate(prints or [np.zeros(0, np.uint8)]).view(">u4").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())).cast(arrow), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], [key, "hi", "lo"])
+
+    texts = df.select(key, F.lower(text).alias("text"))
+    return texts.mapInArrow(votes, StructType([StructField(key, kind), StructField("hi", LongType()), StructField("lo", LongType())]))
 
 
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
@@ -162,8 +182,10 @@ def near_pairs(fingerprints: DataFrame, limit: int = 8, width: int = 14, hot: in
         both = side("a").join(side("b"), on).filter((F.col("id_a") < F.col("id_b")) & (distance < limit))
         if apart is not None:
             both = both.filter(apart)
-        earlier = F.get(_longs([tables.differ[t] for t in range(len(tables.differ))]), F.col("t"))
-        first = F.forall(earlier, lambda m: F.col("bits_a").bitwiseXOR(F.col("bits_b")).bitwiseAND(m) != 0)
+        # the j-th piece before a table's own, for every table; where there is none, all bits, which always differ
+        most = max(map(len, tables.differ))
+        earlier = [F.get(_longs([[d[j] if j < len(d) else (1 << 64) - 1 for d in tables.differ]])[0], F.col("t")) for j in range(most)]
+        first = reduce(lambda x, y: x & y, [F.col("bits_a").bitwiseXOR(F.col("bits_b")).bitwiseAND(m) != 0 for m in earlier], F.lit(True))
         return both.filter(first).select("id_a", "id_b", "n_a", "n_b", distance.alias("distance"))
 
     for level in range(depth):

@@ -6,6 +6,7 @@ aggregation over the predictions; what follows only touches the aggregated rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ from tallyvane.functions import scores as sc
 from tallyvane.operators.ranking import prefix_sums
 
 MIN_COHORT = 30
+#: Score prefixes: binary places per level, levels, and rows that one task may rank.
+SCORE_BITS, SCORE_LEVELS, FEW_ROWS = 12, 4, 50_000
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -302,16 +305,55 @@ def risk_coverage(df: DataFrame, conf: str = "conf", row_id: str = "row_id") ->
 
 
 def accuracy_at_coverage(df: DataFrame, points: Sequence[float] = (0.5, 0.7, 0.9, 1.0), conf: str = "conf", row_id: str = "row_id") -> DataFrame:
-    """WIN1. Accuracy over the most confident max(1, int(N·c)) rows."""
-    curve = risk_coverage(df, conf, row_id)
-    total = df.agg(F.count("*")).scalar()
-    at = [F.greatest(F.lit(1), F.floor(F.lit(float(c)) * total)) for c in points]
-    wanted = F.array(*[F.struct(F.lit(float(c)).alias("point"), a.alias("at")) for c, a in zip(points, at)])
-    # each point lies on one rank: the first filter leaves at most len(points) rows
-    few = curve.filter(F.array_contains(F.array(*at), F.col("rank")))
-    return few.select("rank", "accuracy", F.inline(wanted)).filter(F.col("rank") == F.col("at")).select(
-        "point", F.col("rank").alias("n"), "accuracy"
-    )
+    """WIN1. Accuracy over the most confident max(1, int(N·c)) rows; ties go to the smaller row id.
+
+    No order of all rows is made. Rows are counted by score prefix; whole prefixes above a point are
+    taken by their counts, and the one prefix that holds it is refined until few rows are left, which
+    alone are ranked. If equal scores leave more, those are ranked over ranges. Nulls come last.
+    """
+    # one integer per row, in the order of the score; its leading bits are the prefixes
+    edge = float(2 ** (62 - SCORE_BITS * SCORE_LEVELS))
+    key = F.floor(F.least(F.greatest(F.col(conf), F.lit(-edge)), F.lit(edge)) * float(2 ** (SCORE_BITS * SCORE_LEVELS))).cast("long")
+    rows = df.select(F.col(row_id).alias("_id"), F.col(conf).alias("_s"), key.alias("_k"), (F.col("y") == F.col("pred")).cast("long").alias("_hit"))
+    prefix = lambda level: F.shiftright("_k", SCORE_BITS * (SCORE_LEVELS - level))
+
+    class Point:
+        level, at, left, hits, size, wanted = 0, 0, 0, 0, FEW_ROWS + 1, 0
+    found = {float(p): Point() for p in points}
+    for level in range(1, SCORE_LEVELS + 1):
+        live = [p for p in found.values() if p.size > FEW_ROWS]
+        if not live:
+            break
+        part = rows if level == 1 else rows.filter(prefix(level - 1).isin(sorted({p.at for p in live})))
+        # at most 2**SCORE_BITS rows per point reach the driver
+        counts = part.groupBy((prefix(level - 1) if level > 1 else F.lit(0).cast("long")).alias("p"), prefix(level).alias("q")).agg(
+            F.count("*").alias("n"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("h")).orderBy(F.desc("q")).collect()
+        if level == 1:
+            total = sum(r["n"] for r in counts)
+            if not total:
+                return df.sparkSession.createDataFrame([], "point double, n bigint, accuracy double")
+            for share, p in found.items():
+                p.wanted = p.left = max(1, int(math.floor(share * total)))
+        for p in live:
+            for r in counts:
+                if r["p"] != p.at:
+                    continue
+                if p.left <= r["n"]:
+                    p.level, p.at, p.size = level, r["q"], r["n"]
+                    break
+                p.left, p.hits = p.left - r["n"], p.hits + r["h"]
+    cut = F.array_compact(F.array(*[
+        F.when(prefix(p.level) == p.at, F.struct(F.lit(share).alias("point"), F.lit(p.left).cast("long").alias("left"), F.lit(p.size > FEW_ROWS).alias("big"))) for share, p in found.items()]))
+    inside = rows.select("_id", "_s", "_hit", F.inline(cut))
+    best = [F.col("_s").desc(), F.col("_id")]
+    few = inside.filter(~F.col("big")).withColumn("_rank", F.row_number().over(Window.partitionBy("point").orderBy(*best)))
+    taken = few.filter(F.col("_rank") <= F.col("left")).select("point", "_hit")
+    if any(p.size > FEW_ROWS for p in found.values()):
+        ranked = prefix_sums(inside.filter("big").withColumn("one", F.lit(1).cast("long")), ["point"], best, ["one"])
+        taken = taken.unionByName(ranked.filter(F.col("cum_one") <= F.col("left")).select("point", "_hit"))
+    above = lambda of: F.element_at(F.create_map(*[F.lit(x) for share, p in found.items() for x in (share, of(p))]), F.col("point"))
+    return taken.groupBy("point").agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("h")).select(
+        "point", above(lambda p: p.wanted).cast("long").alias("n"), ((F.col("h") + above(lambda p: p.hits)) / above(lambda p: p.wanted)).alias("accuracy"))
 
 
 def miss_rates(df: DataFrame, cls: int, thresholds: Sequence[float] = (0.5, 0.7, 0.9)) -> DataFrame:

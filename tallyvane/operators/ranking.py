@@ -21,6 +21,9 @@ from tallyvane.storage import cut_lineage
 NOTHING = ""    # sorts before every md5
 EVERYTHING = "g"  # sorts after every md5
 PREFIX_DIGITS = 3
+MD5_DIGITS = 32
+#: Cuts that are broadcast at most: classes x cuts, some bytes each.
+MOST_CUTS = 100_000
 
 
 def hash_cuts(
@@ -34,13 +37,13 @@ def hash_cuts(
     """Per group, the hash at each target rank: columns (by..., slot, cut).
 
     ``by`` is empty or a class domain. ``targets`` maps the group's row count to 1-based ranks. ``hash <= cut`` then selects
-    exactly that many rows. Counting by hash prefix first means only the rows that share a
-    prefix with a cut are ranked: one bucket in 16**digits of a group, however hot.
+    exactly that many rows. Two histograms by hash prefix narrow each rank down to one bucket in
+    16**(2 digits) of its group; only that bucket's hashes are ranked, equal ones counted first, so
+    what one task sorts stays small at any size and however often a key repeats.
     """
     by = list(by)
     hashed = df.select(*by, order_key(seed, *[F.col(k) for k in key]).alias("_h"))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    counts = hashed.groupBy(*by, F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("_c"))
     # at most 16**digits rows per group reach this window
     whole = Window.partitionBy(*by)
     placed = counts.select(
@@ -49,17 +52,9 @@ def hash_cuts(
     slots = placed.select(
         "*", F.posexplode(F.array(*[t.cast("long") for t in targets(F.col("_n"))])).alias("slot", "_t")
     )
-    hit = slots.filter((F.col("_t") > F.col("_upto") - F.col("_c")) & (F.col("_t") <= F.col("_upto"))).select(
-        *by, "slot", "_b", (F.col("_t") - F.col("_upto") + F.col("_c")).alias("_r")
-    )
-    within = Window.partitionBy(*by, "slot", "_b").orderBy("_h")
-    # hit holds one row per class and cut, so the hashes of all other buckets are dropped unshuffled
-    exact = (
-        hashed.join(F.broadcast(hit), by + ["_b"])
-        .withColumn("_k", F.row_number().over(within))
-        .filter(F.col("_k") == F.col("_r"))
-        .select(*by, "slot", F.col("_h").alias("cut"))
-    )
+    first = _rank_holder(slots, by, "_b", F.col("_t"))
+    second = _narrow(hashed, first, by, digits, 2 * digits)
+    exact = _narrow(hashed, second, by, 2 * digits, MD5_DIGITS).select(*by, "slot", F.col("_b").alias("cut"))
     outside = (
         slots.filter((F.col("_t") <= 0) | (F.col("_t") > F.col("_n")))
         .select(*by, "slot", F.when(F.col("_t") <= 0, NOTHING).otherwise(EVERYTHING).alias("cut"))
@@ -68,6 +63,25 @@ def hash_cuts(
     return exact.unionByName(outside)
 
 
+def _rank_holder(upto: DataFrame, by: list[str], bucket: str, rank: Column) -> DataFrame:
+    """The bucket whose rows hold a rank, and the rank that is left inside it: one row per group and slot."""
+    return upto.filter((rank > F.col("_upto") - F.col("_c")) & (rank <= F.col("_upto"))).select(
+        *by, "slot", F.col(bucket).alias("_b"), (rank - F.col("_upto") + F.col("_c")).alias("_r")
+    )
+
+
+def _narrow(hashed: DataFrame, hit: DataFrame, by: list[str], digits: int, wider: int) -> DataFrame:
+    """From a bucket of ``digits`` hash digits per group and slot to one of ``wider`` digits."""
+    # one row per class and cut; a ``by`` that is no class domain is refused, not broadcast
+    many = F.count("*").over(Window.partitionBy(F.lit(1)))
+    checked = hit.withColumn("_r", F.when(many <= MOST_CUTS, F.col("_r")).otherwise(
+        F.raise_error(F.lit(f"more than {MOST_CUTS} cuts: group by a class domain")).cast("long")))
+    inside = hashed.withColumn("_b", F.substring("_h", 1, digits)).join(F.broadcast(checked), by + ["_b"])
+    counts = inside.groupBy(*by, "slot", "_r", F.substring("_h", 1, wider).alias("_b")).agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "slot").orderBy("_b")))
+    return _rank_holder(upto, by, "_b", F.col("_r"))
+
+
 def cut_array(cuts: DataFrame) -> Column:
     """Ungrouped cuts as one scalar array, slot order."""
     return cuts.agg(
@@ -100,6 +114,17 @@ def slot_of(hash_col: Column, cuts: Column, n_cuts: int) -> Column:
     return total
 
 
+def join_groups(rows: DataFrame, per_group: DataFrame, group: Sequence[str], exact: Sequence[str] = ()) -> DataFrame:
+    """Inner join on group columns in which null is a group like any other, and on ``exact`` columns."""
+    renamed = per_group.select(*[F.col(g).alias(f"_g_{g}") for g in group], *[F.col(e).alias(f"_e_{e}") for e in exact], *[c for c in per_group.columns if c not in (*group, *exact)])
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    for e in exact:
+        on = on & (F.col(e) == F.col(f"_e_{e}"))
+    return rows.join(renamed, on).drop(*[f"_g_{g}" for g in group], *[f"_e_{e}" for e in exact])
+
+
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], values: Sequence[str]) -> DataFrame:
     """Inclusive running totals ``cum_<v>`` within each group along ``order``.
 
@@ -118,7 +143,7 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], va
     )
     running = Window.partitionBy(*group, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(offsets, group + ["_pid"])
+        join_groups(ranged, offsets, group, ["_pid"])
         .select(
             *df.columns,
             *[(F.sum(v).over(running) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values],
@@ -139,7 +164,7 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "me
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     covers = lambda r: (F.col("cum_n") - F.col("n") < r) & (F.col("cum_n") >= r)
     return (
-        run.join(total, group)
+        join_groups(run, total, group)
         .filter(covers(low) | covers(high))
         .groupBy(*group)
         .agg(
