@@ -14,13 +14,18 @@ from tallyvane.operators import metrics as mt
 from tallyvane.schema import META_GROUPS
 
 
-def fit_tabular(df: DataFrame, features: str, label: str, weight: str | None = None, reg: float = 0.01, max_iter: int = 30) -> tuple[list[list[float]], list[float]]:
-    """SC14. Multinomial logistic regression on the vector; returns (K x d weights, K biases)."""
+def fit_tabular(df: DataFrame, features: str, label: str, weight: str | None = None, reg: float = 0.01, max_iter: int = 100, unfinished: bool = False) -> tuple[list[list[float]], list[float]]:
+    """SC14. Multinomial logistic regression on the vector; returns (K x d weights, K biases).
+
+    It fails when the optimiser used up ``max_iter`` steps, unless ``unfinished`` asks for the last iterate.
+    """
     ready = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"),
                       *([F.col(weight).alias("w")] if weight else []))
     lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=max_iter, standardization=False,
                             **({"weightCol": "w"} if weight else {}))
     model = lr.fit(ready)
+    if model.summary.totalIterations >= max_iter and not unfinished:
+        raise RuntimeError(f"the scorer has not converged in {max_iter} steps")
     return model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
 
 

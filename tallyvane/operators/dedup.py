@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tallyvane.functions import scores as sc
+from tallyvane.operators.ranking import prefix_sums
 from tallyvane.storage import cut_lineage
 
 HALF = 32
@@ -37,20 +39,19 @@ def content_dedup(df: DataFrame, hash_col: str, priority: str, seq: str, within:
     """SET1. Keep one row per content hash: best priority, then first seen.
 
     A row without a hash equals nothing and is kept. ``within`` names the dataset column when
-    copies inside one dataset must survive. Winners come from a map-side-combined minimum, so
+    copies inside one dataset must survive. Keys, hashes and priorities are written once, so a hash
+    made from a text is computed in one scan. Winners come from a map-side-combined minimum, so
     a hash shared by a third of all rows never meets in one task; the rows themselves are then
     matched to winners by their unique ``seq``.
     """
-    best = df.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(
-        F.min(F.struct(priority, seq, *([within] if within else []))).alias("_w")
-    )
+    keys = cut_lineage(df.select(hash_col, priority, seq, *([within] if within else [])))
+    hashed = keys.filter(F.col(hash_col).isNotNull())
+    best = hashed.groupBy(hash_col).agg(F.min(F.struct(priority, seq, *([within] if within else []))).alias("_w"))
     if within is None:
-        winners = best.select(F.col("_w")[seq].alias(seq))
-        return df.filter(F.col(hash_col).isNull()).unionByName(
-            df.filter(F.col(hash_col).isNotNull()).join(winners, seq, "left_semi")
-        )
+        kept = best.select(F.col("_w")[seq].alias(seq)).unionByName(keys.filter(F.col(hash_col).isNull()).select(seq))
+        return df.join(kept, seq, "left_semi")
     # few (hash, dataset) pairs lose; join those pairs, not the rows, with the winners
-    pairs = df.filter(F.col(hash_col).isNotNull()).groupBy(hash_col, within).agg(F.count("*").alias("_n"))
+    pairs = hashed.groupBy(hash_col, within).agg(F.count("*").alias("_n"))
     losing = (
         pairs.join(best.select(hash_col, F.col("_w")[within].alias("_d")), hash_col)
         .filter(F.col("_d") != F.col(within)).select(hash_col, within)
@@ -280,8 +281,20 @@ def latest_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def unused_ids(spark, used: DataFrame, col: str, start: int, n: int) -> DataFrame:
     """JN5. The first ``n`` integers from ``start`` on that ``used`` does not hold.
 
-    Within ``n + |used|`` candidates at least ``n`` are free; only ids in that span are joined.
+    A used id has as many free ids before it as it is further from ``start`` than its rank. The k-th
+    free id is therefore start + k + the used ids with at most k free ones before them: counts of
+    used ids by that number, at most ``n`` of them, are summed up along k. Nothing as long as the
+    used ids is generated, and both running sums are spread over ranges.
     """
     taken = used.select(F.col(col).cast("bigint").alias("id")).filter(F.col("id") >= start).distinct()
-    span = start + n + taken.count()
-    return spark.range(start, span).join(taken, "id", "left_anti").orderBy("id").limit(n)
+    ranked = prefix_sums(taken.withColumn("one", F.lit(1).cast("bigint")), [], [F.col("id")], ["one"])
+    free = F.col("id") - start - F.col("cum_one") + 1
+    before = ranked.select(free.alias("k")).filter(F.col("k") < n).groupBy("k").agg(F.count("*").alias("u"))
+    steps = spark.range(n).select(F.col("id").alias("k")).join(before, "k", "left").select("k", F.coalesce("u", F.lit(0).cast("bigint")).alias("u"))
+    return prefix_sums(steps, [], [F.col("k")], ["u"]).select((F.lit(start) + F.col("k") + F.col("cum_u")).alias("id")).orderBy("id")
+
+
+def version_pairs(a: DataFrame, b: DataFrame, key: str, items: str) -> DataFrame:
+    """JN4/QG7. Two versions of a folder matched on their key: (key, score), the overlap of their item sets."""
+    left = a.select(key, F.array_distinct(items).alias("_a"))
+    return left.join(b.select(key, F.array_distinct(items).alias("_b")), key).select(key, sc.jaccard(F.col("_a"), F.col("_b")).alias("score"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions import scores as sc
+from tallyvane.operators.vectors import add_vectors
 from tallyvane.operators import metrics as mt
 
 GRID_LO, GRID_HI, GRID_STEP = 0.3, 4.0, 0.05
@@ -56,8 +57,8 @@ def best_temperature(by_t: DataFrame) -> DataFrame:
 def _batched(df: DataFrame, shapes: dict[str, tuple[int, ...]], kernel) -> np.ndarray:
     """Sum a numpy statistic over all rows. ``kernel(*arrays)`` returns one flat vector per batch.
 
-    Array columns travel as plain numeric columns, so Arrow hands numpy contiguous blocks. Tasks
-    emit one vector per task as (pos, value) rows; Spark adds them up by position. Parameters
+    Array columns travel as plain numeric columns, so Arrow hands numpy contiguous blocks. A task
+    emits one vector as bytes; vectors are added in a tree and one reaches the driver. Parameters
     live in the kernel, so no stage is compiled again between steps.
     """
     flat, layout, at = [], [], 0
@@ -80,16 +81,12 @@ def _batched(df: DataFrame, shapes: dict[str, tuple[int, ...]], kernel) -> np.nd
                 part = kernel(*args)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
+            yield pd.DataFrame({"sums": [np.asarray(total, dtype=np.float64).tobytes()]})
 
-    sums = df.select(*flat).mapInPandas(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("v"))
-    rows = sums.collect()  # one number per statistic
+    rows = add_vectors(df.select(*flat).mapInPandas(run, "sums binary"), []).collect()  # one vector
     if not rows:
         raise ValueError("nothing to fit: the table is empty")
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r.pos] = r.v
-    return out
+    return np.frombuffer(rows[0]["sums"], dtype=np.float64)
 
 
 def _newton(evaluate, x: np.ndarray, clip=None, tol: float = 1e-7, max_iter: int = 40) -> tuple[np.ndarray, float]:
@@ -214,11 +211,19 @@ def _simplex_quadratic(w: np.ndarray, g: np.ndarray, h: np.ndarray, steps: int =
     return v
 
 
-def fit_ensemble_weights(stacked: DataFrame, n_models: int, k: int, max_iter: int = 25, tol: float = 1e-8) -> tuple[list[float], float]:
+def simplex_gap(w: np.ndarray, g: np.ndarray) -> float:
+    """How far a convex loss of gradient ``g`` at ``w`` can still fall over the simplex, at most."""
+    return float(g @ w - g.min())
+
+
+def fit_ensemble_weights(
+    stacked: DataFrame, n_models: int, k: int, max_iter: int = 25, tol: float = 1e-8, unfinished: bool = False, gap: float = 1e-4,
+) -> tuple[list[float], float]:
     """FIT5. Simplex weights minimising the NLL of Σ w·z, from uniform.
 
     The NLL is convex in w, so each step minimises its local quadratic over the simplex and halves
-    the move until the loss falls: a handful of scans. Returns (weights, nll).
+    the move until the loss falls: a handful of scans. Returns (weights, nll). It fails when the
+    loss could still fall by more than ``gap`` at the end, unless ``unfinished`` asks for the last iterate.
     """
     def evaluate(w: np.ndarray):
         def kernel(zs, y):
@@ -247,6 +252,8 @@ def fit_ensemble_weights(stacked: DataFrame, n_models: int, k: int, max_iter: in
         gain, w, loss, g, h = loss - t_loss, w + share * move, t_loss, t_g, t_h
         if gain < tol:
             break
+    if simplex_gap(w, g) > gap and not unfinished:
+        raise RuntimeError(f"ensemble weights have not converged: the loss may still fall by {simplex_gap(w, g):.3g}")
     return [float(x) for x in w], float(loss)
 
 
@@ -413,12 +420,13 @@ def evaluate_candidates(df: DataFrame, candidates: Sequence[Sequence[float]], k:
 
 def evolve_scales(
     df: DataFrame, bounds: Sequence[tuple[float, float]], weights: Sequence[float] | None = None,
-    population: int | None = None, generations: int = 500, tol: float = 0.01, seed: int = 42, labels: int | None = None,
+    population: int | None = None, generations: int = 500, tol: float = 0.01, seed: int = 42, labels: int | None = None, unfinished: bool = False,
 ) -> tuple[list[float], float]:
     """FIT9. Seeded population search under per-class bounds; one job per generation.
 
     Thirty vectors per class by default. The search ends when the spread of the objective over
-    the population is within ``tol`` of its mean, and after ``generations`` at the latest.
+    the population is within ``tol`` of its mean. After ``generations`` without that it fails,
+    unless ``unfinished`` asks for the best so far.
 
     The all-ones vector is in the first generation when the bounds allow it, so the result is
     never worse than no scaling there.
@@ -444,6 +452,9 @@ def evolve_scales(
                 pool[i], value[i] = trial[i], got[i]
         if np.std(value) <= tol * abs(np.mean(value)):
             break
+    else:
+        if not unfinished:
+            raise RuntimeError(f"the population has not converged in {generations} generations")
     best = max(range(population), key=lambda i: value[i])
     return pool[best], value[best]
 

@@ -26,6 +26,23 @@ def existing(df: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     return df.join(listing.select(key), key, "left_semi")
 
 
+def low_confidence(df: DataFrame, threshold: float = 0.7, conf: str = "conf") -> DataFrame:
+    """FLT5. Rows below a confidence; a row without one is not below it."""
+    return df.filter(F.col(conf) < threshold)
+
+
+def drop_invalid(df: DataFrame, *valid: Column) -> DataFrame:
+    """FLT6. Rows that meet every condition; an unknown condition is not met."""
+    for v in valid:
+        df = df.filter(F.coalesce(v, F.lit(False)))
+    return df
+
+
+def listed_rows(df: DataFrame, listed: DataFrame, key: str, cls: str, classes: Sequence[object]) -> DataFrame:
+    """FLT10. Rows of the chosen classes whose id is listed; an id listed twice brings a row once."""
+    return df.filter(F.col(cls).isin(list(classes))).join(listed.select(key), key, "left_semi")
+
+
 def check_sample(df: DataFrame, listing: DataFrame, key: str, n: int = 20, seed: int | str = 0, fail: bool = True) -> DataFrame:
     """FLT3. A seeded sample of ``n`` rows with ``exists``; optionally a missing file fails the query."""
     cut = cut_array(hash_cuts(df.select(key), [], [key], seed, lambda t: [F.lit(n).cast("long")]))

@@ -209,6 +209,23 @@ def average_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
 
 # ---- cohorts and groups -------------------------------------------------------
 
+def min_cohort(df: DataFrame, metrics: Sequence[str], least: int = MIN_COHORT, n: str = "n") -> DataFrame:
+    """FLT4. Metrics of cohorts under ``least`` rows become null; the cohort keeps its count."""
+    return df.withColumns({m: F.when(F.col(n) >= least, F.col(m)) for m in metrics})
+
+
+def group_counts(df: DataFrame, group: str) -> DataFrame:
+    """AGG3. Distinct groups and rows."""
+    return df.agg(F.count_distinct(group).alias("n_groups"), F.count("*").alias("n_rows"))
+
+
+def batch_summary(df: DataFrame, malignant: Sequence[int], pred: str = "pred") -> DataFrame:
+    """AGG32. Predictions per class of a batch, whether the class is malignant, and the malignant total."""
+    counts = df.groupBy(pred).agg(F.count("*").alias("n"))  # one row per class
+    bad = F.col(pred).isin(list(malignant))
+    return counts.select(pred, "n", bad.alias("malignant"), F.sum(F.when(bad, F.col("n")).otherwise(0)).over(Window.partitionBy()).alias("malignant_total"))
+
+
 def cohort_rows(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """One (dim, cohort) row per membership; null cohorts are in no stratum."""
     members = F.array_compact(F.array(*[

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.text import fixed
+from tallyvane.operators import dedup as dd
 from tallyvane.operators.ranking import exact_median
+from tallyvane.operators.vectors import add_vectors
 from tallyvane.schema import QUALITY, RECORD_JOB
+from tallyvane.storage import cut_lineage
 
 SIMILARITY_LIMIT = 0.65
 
@@ -105,18 +108,25 @@ def metric_distance(real: DataFrame, synth: DataFrame, metrics: Sequence[str], b
 
 def surplus_copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """AGG33. One row: how many rows repeat an earlier one in all ``columns``."""
-    return df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("near_duplicates"))
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("surplus_copies"))
 
 
-def quality_summary(graded: DataFrame, real: DataFrame, fid: Column | float | None, near_duplicates: Column | int = 0) -> DataFrame:
-    """AGG33. One row: counts, pass rate, distance, verdict. Distance and copies may be scalars of tables."""
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, limit: int = 8) -> DataFrame:
+    """AGG33. One row: pairs of rows whose fingerprints differ in fewer than ``limit`` bits, copies counted and not paired."""
+    prints = cut_lineage(dd.copies(dd.simhash(df, key, text), key))
+    totals = dd.duplicate_pair_totals(prints, dd.near_pairs(prints, limit))
+    return totals.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).cast("long").alias("near_duplicates"))
+
+
+def quality_summary(graded: DataFrame, real: DataFrame, fid: Column | float | None, near_duplicates: Column | int = 0, name: str = "near_duplicates") -> DataFrame:
+    """AGG33. One row: counts, pass rate, distance, verdict. Distance and duplicates may be scalars of tables; ``name`` says which duplicates."""
     return graded.agg(
         F.count("*").alias("candidate_count"), F.count_if(F.col("grade") == "PASS").alias("pass_count"),
         F.count_if(F.col("grade") == "FAIL").alias("fail_count"),
     ).select(
         "*", real.agg(F.count("*")).scalar().alias("real_count"),
         F.round(100.0 * F.col("pass_count") / F.nullif(F.col("candidate_count"), F.lit(0)), 2).alias("pass_rate_pct"),
-        F.lit(fid).cast("double").alias("fid"), F.lit(near_duplicates).cast("long").alias("near_duplicates"),
+        F.lit(fid).cast("double").alias("fid"), F.lit(near_duplicates).cast("long").alias(name),
         verdict(F.lit(fid).cast("double"), F.col("pass_count") / F.greatest("candidate_count", F.lit(1))).alias("verdict"),
     )
 
@@ -168,7 +178,7 @@ def throughput(manifest: DataFrame) -> DataFrame:
 # ---- distribution distance ----------------------------------------------------
 
 def gram_sums(df: DataFrame, features: str, by: str) -> DataFrame:
-    """n, Σx and Σx·xᵀ per group as (by, pos, value): one vector per task and group, added by Spark."""
+    """(by, sums) per group: n, Σx and the upper triangle of Σx·xᵀ as bytes; one vector per task and group, added in a tree."""
     kind = dict(df.dtypes)[by]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,21 +186,22 @@ def gram_sums(df: DataFrame, features: str, by: str) -> DataFrame:
         for pdf in batches:
             for g, part in pdf.groupby(by):
                 x = np.stack(part[features].to_numpy()).astype(float)
-                flat = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+                flat = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[np.triu_indices(x.shape[1])]])
                 sums[g] = flat if g not in sums else sums[g] + flat
-        for g, flat in sums.items():
-            yield pd.DataFrame({by: [g] * len(flat), "pos": np.arange(len(flat)), "value": flat})
+        yield pd.DataFrame({by: list(sums), "sums": [v.tobytes() for v in sums.values()]})
 
-    parts = df.select(by, features).mapInPandas(run, f"{by} {kind}, pos long, value double")
-    return parts.groupBy(by, "pos").agg(F.sum("value").alias("value"))
+    return add_vectors(df.select(by, features).mapInPandas(run, f"{by} {kind}, sums binary"), [by])
 
 
 def _moments(rows: list, group, by: str) -> tuple[int, np.ndarray, np.ndarray]:
-    flat = np.array([r.value for r in sorted((r for r in rows if r[by] == group), key=lambda r: r.pos)])
-    d = int((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2)
+    flat = np.frombuffer(next(r["sums"] for r in rows if r[by] == group), dtype=np.float64)
+    d = int((-3 + np.sqrt(9 + 8 * (len(flat) - 1))) / 2)  # 1 + d + d (d + 1) / 2 numbers
     n = flat[0]
     mean = flat[1:1 + d] / n
-    cov = (flat[1 + d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    gram = np.zeros((d, d))
+    gram[np.triu_indices(d)] = flat[1 + d:]
+    gram = gram + np.triu(gram, 1).T
+    cov = (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
     return int(n), mean, cov
 
 

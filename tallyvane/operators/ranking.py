@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.encode import order_key
+from tallyvane.operators.graph import join_hot
 from tallyvane.storage import cut_lineage
 
 NOTHING = ""    # sorts before every md5
@@ -218,4 +219,4 @@ def nearest_value(
         .when(F.col("_p")["_id"] <= F.col("_q")["_id"], F.col("_p")).otherwise(F.col("_q"))
     )
     answer = found.select(F.col("_v").alias(left_value), best["_id"].alias(out), best["_v"].alias(f"{out}_value")).distinct()
-    return left.join(answer, left_value, "left")
+    return join_hot(left, answer, left_value)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions.encode import order_key, uniform
 from tallyvane.functions.text import json_fingerprint
 from tallyvane.storage import cut_lineage
+from tallyvane.operators.graph import join_hot
 from tallyvane.operators.ranking import cut_array, cut_map, hash_cuts, slot_of
 
 SPLITS = ["test", "val_calibrate", "val_select", "train"]
@@ -117,7 +118,7 @@ def group_kfold(df: DataFrame, group: str, by: str, k: int, seed: int | str, cal
     # a row meets one row of its group, with all folds in it, and is copied only after that
     folds = cut_lineage(dealt.select(group, "fold", named.alias("split")).groupBy(group).agg(F.collect_list(F.struct("fold", "split")).alias("_folds")))
     rest = [c for c in df.columns if c != group]
-    return df.join(folds, group).select(group, *rest, F.inline("_folds"))
+    return join_hot(df, folds, group).select(group, *rest, F.inline("_folds"))
 
 
 def leaking_groups(df: DataFrame, group: str, fold: str | None = None) -> DataFrame:
@@ -152,14 +153,21 @@ def class_balance(df: DataFrame, by: str, tolerance_pp: float = 2.0) -> DataFram
     )
 
 
-def split_manifest(df: DataFrame, group: str, config: dict[str, object]) -> DataFrame:
-    """SPL4. One row per split with sizes, group counts, achieved share and a stable run id."""
+def split_manifest(df: DataFrame, group: str, config: dict[str, object], wanted: dict[str, float] | None = None, tolerance: float = 0.05) -> DataFrame:
+    """SPL4. One row per split with sizes, group counts, achieved share and a stable run id.
+
+    With ``wanted`` shares the query fails where a share of rows is further off than ``tolerance``,
+    as when one group is too large to be balanced.
+    """
     run = json_fingerprint({k: F.lit(str(v)) for k, v in config.items()})
     sizes = df.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"))
-    return sizes.select(
-        run.alias("run_id"), "split", "n_rows", "n_groups",
-        (F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy())).alias("achieved"),
-    )
+    achieved = F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy())  # one row per split
+    out = sizes.select(run.alias("run_id"), "split", "n_rows", "n_groups", achieved.alias("achieved"))
+    if wanted is None:
+        return out
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, float(v))]), F.col("split")), F.lit(0.0))
+    off = F.concat(F.lit("split "), F.col("split"), F.lit(" has a share of "), F.round("achieved", 4).cast("string"), F.lit(", wanted "), share.cast("string"))
+    return out.withColumn("achieved", F.when(F.abs(F.col("achieved") - share) <= tolerance, F.col("achieved")).otherwise(F.raise_error(off).cast("double")))
 
 
 def sample_without_replacement(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:

@@ -343,12 +343,13 @@ def flt3(spark, sf):
 
 @query("flt5_low_confidence", "WITH " + PRED + " SELECT count(*) FILTER (WHERE conf < 0.7) AS below_07, count(*) FILTER (WHERE conf < 0.2) AS below_02 FROM pr")
 def flt5(spark, sf):
-    return predictions(spark, sf).agg(F.count_if(F.col("conf") < 0.7).alias("below_07"), F.count_if(F.col("conf") < 0.2).alias("below_02"))
+    rows = predictions(spark, sf)
+    return jn.low_confidence(rows, 0.7).agg(F.count("*").alias("below_07"), F.count_if(F.col("conf") < 0.2).alias("below_02"))
 
 
 @query("flt6_drop_invalid", "WITH " + PAGES + " SELECT host, count(*) AS n FROM pg WHERE NOT missing AND length(html) > 0 GROUP BY 1")
 def flt6(spark, sf):
-    return files(spark, sf).filter(~F.col("missing") & (F.length("html") > 0)).groupBy("host").agg(F.count("*").alias("n"))
+    return jn.drop_invalid(files(spark, sf), ~F.col("missing"), F.length("html") > 0).groupBy("host").agg(F.count("*").alias("n"))
 
 
 @query("flt7_required_columns", WM + " SELECT image, age, sex, site FROM mn")
@@ -379,7 +380,7 @@ def flt8(spark, sf):
 def flt10(spark, sf):
     listed = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id"))
     rows = predictions(spark, sf).select("y", "row_id", "pred", r(F.col("p")[F.col("y")]).alias("true_prob"))
-    return rows.filter(F.col("y").isin(0, 1)).join(listed, "row_id", "left_semi")
+    return jn.listed_rows(rows, listed, "row_id", "y", [0, 1])
 
 
 @query("jn1_labels_with_metadata", "SELECT l.doc_id, l.quality, d.lang, d.n_chars FROM labels l LEFT JOIN documents d USING (doc_id)")
@@ -402,16 +403,16 @@ def jn3(spark, sf):
 
 
 _VERS = """tk AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS a,
- list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+'), lambda x: x <> '')) AS b FROM documents),
+ list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[0-9.,;:!?]+', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS b FROM documents),
 vs AS (SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS score FROM tk)"""
 
 
 def versions(spark, sf):
-    """JN4: two versions of every text joined on their id, scored by token overlap."""
+    """Every text as it is and without digits and stops: the tokens that held one differ."""
     d = table(spark, sf, "documents")
-    a = d.select("doc_id", F.array_distinct(tx.tokens(F.col("text"))).alias("a"))
-    b = d.select("doc_id", F.array_distinct(tx.tokens(F.lower(F.regexp_replace("text", "\\s+", " ")))).alias("b"))
-    return a.join(b, "doc_id").select("doc_id", sc.jaccard(F.col("a"), F.col("b")).alias("score"))
+    a = d.select("doc_id", tx.tokens(F.col("text")).alias("items"))
+    b = d.select("doc_id", tx.tokens(F.regexp_replace(F.lower("text"), "[0-9.,;:!?]+", " ")).alias("items"))
+    return dd.version_pairs(a, b, "doc_id", "items")
 
 
 @query("jn4_qg7_version_pairs", "WITH " + _VERS + f" SELECT doc_id, {rq('score')} AS score FROM vs")
@@ -587,12 +588,30 @@ def _fid_sql(metrics, by=""):
 
 
 @query("agg33_quality_summary", "WITH " + _GATE + ", " + _fid_sql(METRICS) + """ SELECT count(*) AS candidate_count, count(*) FILTER (WHERE NOT (bq OR be OR bd)) AS pass_count, count(*) FILTER (WHERE bq OR be OR bd) AS fail_count,
- (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS real_count, round(100.0 * count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*), 2) AS pass_rate_pct, round((SELECT fid FROM fd), 6) AS fid, (SELECT (count(*) - count(DISTINCT (l_quantity, l_extendedprice, l_discount)))::BIGINT FROM lineitem WHERE l_linestatus = 'F') AS near_duplicates,
+ (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS real_count, round(100.0 * count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*), 2) AS pass_rate_pct, round((SELECT fid FROM fd), 6) AS fid, (SELECT (count(*) - count(DISTINCT (l_quantity, l_extendedprice, l_discount)))::BIGINT FROM lineitem WHERE l_linestatus = 'F') AS surplus_copies,
  CASE WHEN (SELECT fid FROM fd) < 50 AND count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.85 THEN 'PASS' WHEN (SELECT fid FROM fd) < 100 AND count(*) FILTER (WHERE NOT (bq OR be OR bd)) / count(*) > 0.7 THEN 'MARGINAL' ELSE 'REVIEW' END AS verdict FROM gd""")
 def agg33(spark, sf):
     cand, real = gate_sides(spark, sf)
     fid, copies = qg.metric_distance(real, cand, METRICS).scalar(), qg.surplus_copies(cand, METRICS).scalar()
-    return rounded(qg.quality_summary(qg.grade(cand, real, METRICS, wide="l_quantity"), real, fid, copies), "fid")
+    return rounded(qg.quality_summary(qg.grade(cand, real, METRICS, wide="l_quantity"), real, fid, copies, "surplus_copies"), "fid")
+
+
+_RUN = """dc AS (SELECT doc_id, n_chars::DOUBLE AS chars, doc_id % 3 = 0 AS candidate FROM documents), ds AS (SELECT avg(chars) AS m, stddev_pop(chars) AS s FROM dc WHERE NOT candidate),
+dg AS (SELECT chars BETWEEN m - 2 * s AND m + 2 * s AS passed FROM dc, ds WHERE candidate),
+df AS (SELECT (pow(avg(chars) FILTER (WHERE NOT candidate) - avg(chars) FILTER (WHERE candidate), 2) + var_samp(chars) FILTER (WHERE NOT candidate) + var_samp(chars) FILTER (WHERE candidate)
+  - 2 * sqrt(var_samp(chars) FILTER (WHERE NOT candidate) * var_samp(chars) FILTER (WHERE candidate))) / var_samp(chars) FILTER (WHERE NOT candidate) AS fid FROM dc),
+np AS (SELECT count(*) AS n FROM sh a JOIN sh b ON a.doc_id < b.doc_id AND a.doc_id % 3 = 0 AND b.doc_id % 3 = 0 WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) < 8)"""
+
+
+@query("agg33_quality_run", "WITH " + NEAR + "," + _RUN + """ SELECT count(*) AS candidate_count, count(*) FILTER (WHERE passed) AS pass_count, count(*) FILTER (WHERE NOT passed) AS fail_count,
+ (SELECT count(*) FROM dc WHERE NOT candidate) AS real_count, round(100.0 * count(*) FILTER (WHERE passed) / count(*), 2) AS pass_rate_pct, round((SELECT fid FROM df), 6) AS fid, (SELECT n FROM np) AS near_duplicates,
+ CASE WHEN (SELECT fid FROM df) < 50 AND count(*) FILTER (WHERE passed) / count(*) > 0.85 THEN 'PASS' WHEN (SELECT fid FROM df) < 100 AND count(*) FILTER (WHERE passed) / count(*) > 0.7 THEN 'MARGINAL' ELSE 'REVIEW' END AS verdict FROM dg""")
+def agg33_run(spark, sf):
+    """Candidates are a third of the documents, judged against the rest; near duplicates by fingerprint."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("chars")))
+    cand, real = docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 <> 0")
+    fid, near = qg.metric_distance(real, cand, ["chars"]).scalar(), qg.near_duplicate_pairs(cand, "doc_id", "text").scalar()
+    return rounded(qg.quality_summary(qg.grade(cand.drop("text"), real.drop("text"), ["chars"]), real, fid, near), "fid")
 
 
 @query("agg30_fid_diagonal", f"""WITH e AS (SELECT vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),

@@ -61,7 +61,7 @@ def agg1(spark, sf):
 
 @query("agg3_distinct_groups", "SELECT count(DISTINCT o_custkey) AS n_groups, count(*) AS n_rows FROM orders")
 def agg3(spark, sf):
-    return groups(spark, sf).agg(F.count_distinct("o_custkey").alias("n_groups"), F.count("*").alias("n_rows"))
+    return mt.group_counts(groups(spark, sf), "o_custkey")
 
 
 @query("agg21_empirical_prior", f"WITH {_COUNTS}, g AS (SELECT cls, greatest(n, 1) AS n FROM n1) SELECT cls, n, {rq('n / sum(n) OVER ()')} AS prior FROM g")
@@ -286,7 +286,7 @@ SELECT cohort, n, CASE WHEN n >= 22 THEN round(acc, 6) END AS accuracy FROM co""
 def flt4(spark, sf):
     rows = predictions(spark, sf).groupBy((F.col("row_id") % 23).alias("cohort")).agg(
         F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("acc"))
-    return rows.select("cohort", "n", F.when(F.col("n") >= 22, F.round("acc", 6)).alias("accuracy"))
+    return rounded(mt.min_cohort(rows.withColumnRenamed("acc", "accuracy"), ["accuracy"], 22), "accuracy")
 
 
 _ROLL = """lm AS (SELECT row_id // 3 AS lesion, * FROM pr), vt AS (SELECT lesion, pred, count(*) AS c FROM lm GROUP BY 1, 2),
@@ -396,10 +396,7 @@ def win4(spark, sf):
 @query("agg32_batch_summary", W + """, c AS (SELECT CAST(pred AS INTEGER) AS pred, count(*) AS n FROM pr GROUP BY 1)
 SELECT pred, n, pred IN (0, 2, 3, 7) AS malignant, CAST(sum(CASE WHEN pred IN (0, 2, 3, 7) THEN n ELSE 0 END) OVER () AS BIGINT) AS malignant_total FROM c""")
 def agg32(spark, sf):
-    from pyspark.sql import Window
-    counts = predictions(spark, sf).groupBy("pred").agg(F.count("*").alias("n"))
-    bad = F.col("pred").isin(0, 2, 3, 7)
-    return counts.select("pred", "n", bad.alias("malignant"), F.sum(F.when(bad, F.col("n")).otherwise(0)).over(Window.partitionBy()).alias("malignant_total"))
+    return mt.batch_summary(predictions(spark, sf), [0, 2, 3, 7])
 
 
 @query("agg34_variant_report", WB + """, vr AS (SELECT 'default' AS variant, y, pred FROM bpr UNION ALL

@@ -56,10 +56,10 @@ rc AS (SELECT *, CAST(ceil(n * (0.05::DOUBLE / 0.85)) AS BIGINT) AS a FROM rs),
 fs AS (SELECT o_custkey, fold, 'test' AS split FROM fd WHERE fold = home UNION ALL SELECT o_custkey, fold, CASE WHEN rn <= a THEN 'val_calibrate' WHEN rn <= b THEN 'val_select' ELSE 'train' END FROM rd)"""
 
 
-@query("spl3_group_kfold", "WITH " + _FOLD + " SELECT o_custkey, fold, split FROM fs")
+@query("spl3_group_kfold", "WITH " + _FOLD + " SELECT o_custkey, fold, split, 1::BIGINT AS n_splits FROM fs")
 def spl3(spark, sf):
     rows = sp.group_kfold(groups(spark, sf), "o_custkey", "o_orderpriority", 5, SEED)
-    return rows.groupBy("o_custkey", "fold").agg(F.max("split").alias("split"))
+    return rows.groupBy("o_custkey", "fold").agg(F.max("split").alias("split"), F.count_distinct("split").alias("n_splits"))
 
 
 @query("spl3_fold_sizes", "WITH " + _FOLD + " SELECT fold, split, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups FROM orders JOIN fs USING (o_custkey) GROUP BY 1, 2")
@@ -77,7 +77,8 @@ SELECT sha1('{"mode":"single","seed":"42"}') AS run_id, split, n_rows, n_groups,
 def spl4(spark, sf):
     rows = content_dedup(content(spark, sf), "sha1", "priority", "doc_id").select("doc_id", "dataset", F.floor(F.col("doc_id") / 4).alias("lesion"))
     cut = sp.require_no_leak(sp.group_split(rows, "lesion", SEED), "lesion")
-    return rounded(sp.split_manifest(cut, "lesion", {"mode": "single", "seed": SEED}), "achieved")
+    shares = {"test": 0.15, "val_calibrate": 0.05, "val_select": 0.10, "train": 0.70}
+    return rounded(sp.split_manifest(cut, "lesion", {"mode": "single", "seed": SEED}, shares), "achieved")
 
 
 @query("set4_leak_check", "SELECT o_custkey, count(DISTINCT o_orderkey % 2) AS n_splits FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 2) > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,13 +38,61 @@ def validate_stream(rows: DataFrame, js: str, good: str, rejects: str, checkpoin
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_latest(rows: DataFrame, key: str, order: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """STM3. Table with the newest row per key.
+def upsert_latest(rows: DataFrame, key: str, order: list[str], table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """STM3. Table with the newest row per key, in ``buckets`` by hash of the key.
 
-    See ``_versions`` for what a repeated or a missing batch does.
+    A version is a manifest: for each bucket the batch that wrote it last. A batch reads and rewrites
+    only the buckets of its own keys and points to all others as they are. Repeating a batch rebuilds
+    the same buckets from the same predecessor; without a complete predecessor, or with versions of
+    another run in the folder, it fails. What neither of the last two versions points to is removed.
     """
-    merge = lambda old, batch: latest_by_key(batch if old is None else old.unionByName(batch), key, order)
-    return rows.writeStream.foreachBatch(_versions(rows.sparkSession, table, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, schema = rows.sparkSession, rows.schema
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        have = _predecessors(spark, table, batch_id)
+        was = {r["bucket"]: r["batch"] for r in _manifest(spark, table, batch_id - 1).collect()} if batch_id > 0 else {}  # one row per bucket
+        keyed = batch.withColumn("_bucket", bucket).persist()
+        touched = [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]
+        old = _open(spark, table, {b: was[b] for b in touched if b in was}, schema)
+        merged = latest_by_key(keyed.drop("_bucket").unionByName(old), key, order).withColumn("_bucket", bucket)
+        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/rows-{batch_id}")
+        keyed.unpersist()
+        now = {**was, **{b: batch_id for b in touched}}
+        entries = spark.createDataFrame([(b, v, schema.json()) for b, v in now.items()] or [(-1, batch_id, schema.json())], "bucket int, batch long, schema string")
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        for v in have:
+            if v < batch_id - 1:
+                remove(spark, f"{table}/v={v}")
+        held = {(b, v) for m in (was, now) for b, v in m.items()}
+        for name in child_names(spark, table):
+            v = int(name[5:]) if name.startswith("rows-") else batch_id
+            if v < batch_id - 1:
+                for part in child_names(spark, f"{table}/{name}"):
+                    if part.startswith("_bucket=") and (int(part[8:]), v) not in held:
+                        remove(spark, f"{table}/{name}/{part}")
+                if not any(x == v for _, x in held):
+                    remove(spark, f"{table}/{name}")
+
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _predecessors(spark: SparkSession, table: str, batch_id: int) -> list[int]:
+    """Complete versions; fails without the one that ``batch_id`` builds on."""
+    have = versions(spark, table)
+    if batch_id - 1 not in have and (batch_id > 0 or any(v > 0 for v in have)):
+        raise RuntimeError(f"{table} has no complete version {batch_id - 1} to build on")
+    return have
+
+
+def _manifest(spark: SparkSession, table: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{table}/v={version}").filter("bucket >= 0").select("bucket", "batch")
+
+
+def _open(spark: SparkSession, table: str, where: dict[int, int], schema: StructType) -> DataFrame:
+    """Rows of buckets, each in the folder of the batch that wrote it."""
+    paths = [f"{table}/rows-{v}/_bucket={b}" for b, v in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _versions(spark: SparkSession, table: str, merge):
@@ -53,9 +103,7 @@ def _versions(spark: SparkSession, table: str, merge):
     Of older versions only the predecessor is kept.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        have = versions(spark, table)
-        if batch_id - 1 not in have and (batch_id > 0 or any(v > 0 for v in have)):
-            raise RuntimeError(f"{table} has no complete version {batch_id - 1} to build on")
+        have = _predecessors(spark, table, batch_id)
         old = spark.read.schema(batch.schema).parquet(f"{table}/v={batch_id - 1}") if batch_id > 0 else None
         batch.persist()  # read more than once, and it may stand on a state store
         merge(old, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
@@ -78,7 +126,11 @@ def read_latest(spark: SparkSession, table: str) -> DataFrame:
     have = versions(spark, table)
     if not have:
         raise FileNotFoundError(f"{table} has no complete version")
-    return spark.read.parquet(f"{table}/v={have[-1]}")
+    rows = spark.read.parquet(f"{table}/v={have[-1]}")
+    if rows.columns != ["bucket", "batch", "schema"]:
+        return rows
+    entries = rows.collect()  # one row per bucket
+    return _open(spark, table, {r["bucket"]: r["batch"] for r in entries if r["bucket"] >= 0}, StructType.fromJson(json.loads(entries[0]["schema"])))
 
 
 def keep_windows(monitor: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
