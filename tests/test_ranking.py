@@ -79,3 +79,38 @@ def test_nearest_value_without_reference(spark):
     left = spark.createDataFrame([(1, 2.0)], "i long, a double")
     right = spark.createDataFrame([], "rid long, b double")
     assert rk.nearest_value(left, right, "a", "b", "rid").first().nearest_id is None
+
+
+def plain_cut(rows, seed, r):
+    import hashlib
+    return sorted(hashlib.md5(f"{seed}:{k}".encode()).hexdigest() for k in rows)[r - 1]
+
+
+def test_hash_cuts_narrow_to_few_hashes(spark):
+    """A key that holds a third of the rows, and buckets far smaller than one prefix."""
+    keys = list(range(4000)) + [7] * 2000
+    df = spark.createDataFrame([(k, "a" if k % 3 else "b") for k in keys], "k long, c string").repartition(5)
+    for digits in (1, 3):
+        got = {(r.c, r.slot): r.cut for r in rk.hash_cuts(df, ["c"], ["k"], 9, lambda n: [F.round(n * 0.3), F.round(n * 0.5), n], digits).collect()}
+        for c in "ab":
+            mine = [k for k in keys if ("a" if k % 3 else "b") == c]
+            for slot, share in enumerate((0.3, 0.5, 1.0)):
+                assert got[c, slot] == plain_cut(mine, 9, int(len(mine) * share + 0.5))
+    hashed = df.select("c", F.md5(F.concat(F.lit("9:"), F.col("k").cast("string"))).alias("_h"))
+    hit = spark.createDataFrame([("a", 0, plain_cut([k for k in keys if k % 3], 9, 1000)[:1], 5)], "c string, slot int, _b string, _r long")
+    narrow = rk._narrow(hashed, hit, ["c"], 1, 3).first()
+    assert len(narrow._b) == 3 and hashed.filter(F.col("_h").startswith(narrow._b) & (F.col("c") == "a")).select("_h").distinct().count() < 20
+
+
+def test_cuts_of_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(rk, "MOST_CUTS", 10)
+    df = spark.range(50).select("id", F.col("id").alias("g"))
+    with pytest.raises(Exception, match="class domain"):
+        rk.hash_cuts(df, ["g"], ["id"], 1, lambda n: [n]).collect()
+
+
+def test_null_is_a_group_of_running_totals_and_medians(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, 8.0), ("x", 5.0), ("x", None)], "g string, v double")
+    assert {r.g: r.median for r in rk.exact_median(df, ["g"], "v").collect()} == {None: 3.0, "x": 5.0}
+    ones = df.filter("v is not null").withColumn("n", F.lit(1))
+    assert sorted(r.cum_n for r in rk.prefix_sums(ones, ["g"], [F.col("v")], ["n"]).collect()) == [1, 1, 2, 3]
