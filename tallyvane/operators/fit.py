@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions import scores as sc
-from tallyvane.operators.vectors import add_vectors
+from tallyvane.operators.vectors import collect_sum
 from tallyvane.operators import metrics as mt
 
 GRID_LO, GRID_HI, GRID_STEP = 0.3, 4.0, 0.05
@@ -58,7 +58,7 @@ def _batched(df: DataFrame, shapes: dict[str, tuple[int, ...]], kernel) -> np.nd
     """Sum a numpy statistic over all rows. ``kernel(*arrays)`` returns one flat vector per batch.
 
     Array columns travel as plain numeric columns, so Arrow hands numpy contiguous blocks. A task
-    emits one vector as bytes; vectors are added in a tree and one reaches the driver. Parameters
+    emits one vector as bytes; vectors are added in a tree and few reach the driver. Parameters
     live in the kernel, so no stage is compiled again between steps.
     """
     flat, layout, at = [], [], 0
@@ -83,10 +83,13 @@ def _batched(df: DataFrame, shapes: dict[str, tuple[int, ...]], kernel) -> np.nd
         if total is not None:
             yield pd.DataFrame({"sums": [np.asarray(total, dtype=np.float64).tobytes()]})
 
-    rows = add_vectors(df.select(*flat).mapInPandas(run, "sums binary"), []).collect()  # one vector
-    if not rows:
+    # counted once for all steps of a fit
+    if "_tasks" not in df.__dict__:
+        df.__dict__["_tasks"] = df.rdd.getNumPartitions()
+    total = collect_sum(df.select(*flat).mapInPandas(run, "sums binary"), tasks=df.__dict__["_tasks"])
+    if total is None:
         raise ValueError("nothing to fit: the table is empty")
-    return np.frombuffer(rows[0]["sums"], dtype=np.float64)
+    return total
 
 
 def _newton(evaluate, x: np.ndarray, clip=None, tol: float = 1e-7, max_iter: int = 40) -> tuple[np.ndarray, float]:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 FAN_IN = 32
 
 
-def add_vectors(parts: DataFrame, keys: Sequence[str], column: str = "sums", fan_in: int = FAN_IN) -> DataFrame:
+def add_vectors(parts: DataFrame, keys: Sequence[str], column: str = "sums", fan_in: int = FAN_IN, last: int = 1, tasks: int | None = None) -> DataFrame:
     """Partial sums (keys..., bytes of float64) added per key: one row per key, ``fan_in`` vectors a task.
 
     ``parts`` holds a row per task and key, so levels grow with the logarithm of the number of tasks
-    and no task or driver ever holds more than ``fan_in`` vectors of a key.
+    and no task or driver ever holds more than ``fan_in`` vectors of a key. ``last`` 2 leaves out the
+    last level: up to ``fan_in`` rows per key remain. ``tasks`` is the number of tasks, where known.
     """
     schema = ", ".join(f"{n} {t}" for n, t in parts.select(*keys, column).dtypes)
 
@@ -33,10 +34,16 @@ def add_vectors(parts: DataFrame, keys: Sequence[str], column: str = "sums", fan
         dealt = df.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
         return dealt.groupBy(*keys, "_lane").applyInArrow(lambda rows: add(rows), schema)
 
-    tasks, lanes = max(parts.rdd.getNumPartitions(), 1), 1
+    tasks, lanes = tasks or max(parts.rdd.getNumPartitions(), 1), 1
     while lanes * fan_in < tasks:
         lanes *= fan_in
-    while lanes >= 1:
+    while lanes >= last:
         parts = level(parts, lanes)
         lanes //= fan_in
     return parts
+
+
+def collect_sum(parts: DataFrame, column: str = "sums", fan_in: int = FAN_IN, tasks: int | None = None) -> np.ndarray | None:
+    """The sum of all partial vectors on the driver, which receives at most ``fan_in`` of them; None without any."""
+    rows = add_vectors(parts.select(column), [], column, fan_in, 2, tasks).collect()
+    return np.sum([np.frombuffer(r[column], dtype=np.float64) for r in rows], axis=0) if rows else None

@@ -622,11 +622,19 @@ def agg30_diag(spark, sf):
     return rounded(qg.frechet_diagonal(e, "embedding", "side", 0, 1, DIM), "fid_diagonal")
 
 
-@query("agg30_fid")
+@query("agg30_fid", f"""WITH e AS (SELECT vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+s AS (SELECT d, avg(v) FILTER (WHERE side = 0) AS ma, avg(v) FILTER (WHERE side = 1) AS mb, var_samp(v) FILTER (WHERE side = 0) AS va, var_samp(v) FILTER (WHERE side = 1) AS vb FROM e GROUP BY 1)
+SELECT (SELECT count(*) FROM embeddings) AS n, {rq('sum(pow(ma - mb, 2))')} AS mean_part, {rq('sum(va + vb)')} AS trace_part, TRUE AS within FROM s""")
 def agg30(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("side", (F.col("vec_id") % 2).cast("int"))
     fid = qg.frechet_distance(e, "embedding", "side", 0, 1)
-    return e.groupBy("side").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.round(F.lit(fid), 6).alias("fid"))
+    # the distance lies between its mean part and that plus both traces; its parts come from one plain aggregate
+    of = lambda fn, d, t: fn(F.when(F.col("side") == t, F.col("embedding")[d].cast("double")))
+    parts = e.agg(F.count("*").alias("n"), *[x.alias(f"{n}{d}") for d in range(DIM) for n, x in (
+        ("m", F.pow(of(F.avg, d, 0) - of(F.avg, d, 1), F.lit(2.0))), ("v", of(F.var_samp, d, 0) + of(F.var_samp, d, 1)))])
+    total = lambda n: sc.fold_sum([F.col(f"{n}{d}") for d in range(DIM)])
+    out = parts.select("n", total("m").alias("mean_part"), total("v").alias("trace_part"))
+    return rounded(out.withColumn("within", (F.lit(fid) >= F.col("mean_part") - 1e-9) & (F.lit(fid) <= F.col("mean_part") + F.col("trace_part"))), "mean_part", "trace_part")
 
 
 @query("agg29_class_manifest", f"""WITH {_fid_sql(METRICS, "l_returnflag")}, rl AS (SELECT l_returnflag, count(*) AS r FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), sy AS (SELECT l_returnflag, count(*) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),

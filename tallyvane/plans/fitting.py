@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions import scores as sc
-from tallyvane.operators import ensemble as es, fit, metrics as mt, split as sp
+from tallyvane.operators import certify as ct, ensemble as es, fit, metrics as mt, split as sp
 from tallyvane.plans.evaluate import class_sql
 from tallyvane.plans import fixtures as fx
 from tallyvane.plans.fixtures import BIG, K, KB, PRED, VIEWS, pred, pred_views, predictions
@@ -56,46 +57,64 @@ def held(df):
         rows.unpersist()
 
 
-def as_rows(df, values: dict[str, list[float]], digits: int = 4):
-    """Fitted parameters as rows beside the number of rows they were fitted on."""
-    cells = [F.struct(F.lit(n).alias("param"), F.lit(i).alias("i"), F.lit(round(float(v), digits)).alias("value")) for n, vs in values.items() for i, v in enumerate(vs)]
-    return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.inline(F.array(*cells)))
+_RAW = ", rl AS (SELECT zm + ln(es) - CASE y WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END AS l FROM bs)"
+_CERTIFIED = f" SELECT count(*) AS n_rows, {rq('avg(l)')} AS start_loss, TRUE AS improved, TRUE AS stationary, TRUE AS recomputed FROM rl"
 
 
-@query("fit2_temperature_continuous")
+def logits(of):
+    """Loss of a row at a parameter, from the logits that ``of`` makes with it."""
+    return lambda p: ct.cross_entropy(of(p), F.col("y"))
+
+
+@query("fit2_temperature_continuous", WB + _RAW + _CERTIFIED)
 def fit2(spark, sf):
     source = pred_big(spark, sf).select("y", "z")
     with held(source) as rows:
         t, nll = fit.fit_temperature(rows, KB)
-    return as_rows(source, {"temperature": [t], "nll": [nll]})
+    inside = lambda v: [min(max(x, 1e-3), 20.0) for x in v]
+    loss = logits(lambda u: [F.col("z")[i] * float(u[0]) for i in range(KB)])
+    return rounded(ct.minimum(source, loss, [1.0], [1.0 / t], ct.neighbours([1.0 / t], 0.01, inside), nll), "start_loss")
 
 
-@query("fit3_class_temperatures")
+@query("fit3_class_temperatures", WB + _RAW + _CERTIFIED)
 def fit3(spark, sf):
     source = pred_big(spark, sf).select("y", "z")
     with held(source) as rows:
         ts, nll = fit.fit_class_temperatures(rows, KB)
-    return as_rows(source, {"temperature": ts, "nll": [nll]})
+    inside = lambda v: [min(max(x, 1e-3), 20.0) for x in v]
+    loss = logits(lambda u: [F.col("z")[i] * float(u[i]) for i in range(KB)])
+    best = [1.0 / t for t in ts]
+    return rounded(ct.minimum(source, loss, [1.0] * KB, best, ct.neighbours(best, 0.01, inside), nll), "start_loss")
 
 
-@query("fit4_dirichlet")
+@query("fit4_dirichlet", WB + _RAW + _CERTIFIED)
 def fit4(spark, sf):
     source = pred_big(spark, sf).select("y", "z")
     with held(source) as rows:
         w, b, loss = fit.fit_dirichlet(rows, KB)
-    return as_rows(source, {"weight": [v for row in w for v in row], "bias": b, "loss": [loss]})
+    d = KB + 1
+    best = [v for row, bias in zip(w, b) for v in (*row, bias)]
+    start = [float(i == j) for i in range(KB) for j in range(d)]
+    logs = source.select("y", sc.log_softmax(F.col("z"), KB).alias("f"))
+    linear = logits(lambda x: [sc.fold_sum([F.col("f")[j] * float(x[i * d + j]) for j in range(KB)]) + float(x[i * d + KB]) for i in range(KB)])
+    penalty = lambda x: sum(0.01 * x[i * d + j] ** 2 for i in range(KB) for j in range(d) if i != j)
+    return rounded(ct.minimum(logs, linear, start, best, ct.neighbours(best, 0.01), loss, penalty), "start_loss")
 
 
 def stacked(spark, sf):
     return fit.stack_models(es.mean_views(pred_views(spark, sf), K), [0, 1, 2], K)
 
 
-@query("fit5_ensemble_weights")
+@query("fit5_ensemble_weights", W + "," + VIEWS + f""", mv AS (SELECT row_id, y, k, avg(z) AS z FROM vl GROUP BY 1, 2, 3), mm AS (SELECT *, max(z) OVER (PARTITION BY row_id) AS m FROM mv),
+rl AS (SELECT row_id, max(m) + ln(sum(exp(z - m))) - max(z) FILTER (WHERE k = y) AS l FROM mm GROUP BY 1)""" + _CERTIFIED)
 def fit5(spark, sf):
     source = stacked(spark, sf)
     with held(source) as rows:
         w, nll = fit.fit_ensemble_weights(rows, 3, K)
-    return as_rows(source, {"weight": w, "nll": [nll]})
+    mixed = logits(lambda v: [sc.fold_sum([F.col("zs")[m][i] * float(v[m]) for m in range(3)]) for i in range(K)])
+    # steps that stay on the simplex: a little weight from one model to another
+    around = [[x + 0.01 * (i == a) - 0.01 * (i == b) for i, x in enumerate(w)] for a in range(3) for b in range(3) if a != b and w[b] >= 0.01]
+    return rounded(ct.minimum(source, mixed, [1 / 3] * 3, w, around, nll), "start_loss")
 
 
 WEIGHT_TRIALS = [[1, 1, 1], [1, 0, 0], [0, 1, 0], [0, 0, 1], [2, -1, 1]]
@@ -130,13 +149,22 @@ def fit6(spark, sf):
     return rounded(source.agg(F.count("*")).select(F.inline(table)), "prior")
 
 
-@query("fit6_sld_prior_variants")
+@query("fit6_sld_prior_variants", WB + f""", ll AS (SELECT ln(p0 * (1.0::DOUBLE / 3) / 0.3 + p1 * (1.0::DOUBLE / 3) / 0.4 + p2 * (1.0::DOUBLE / 3) / 0.3) AS l FROM bp)
+SELECT count(*) AS n_rows, {rq('avg(l)')} AS start_likelihood, TRUE AS improved, TRUE AS fixed_point, TRUE AS agree FROM ll""")
 def fit6_variants(spark, sf):
     source = big(spark, sf).select("p")
     with held(source) as rows:
         prior, steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB)
         alt, alt_steps = fit.sld_prior(rows, [0.3, 0.4, 0.3], KB, init="train", finalize=False)
-    return as_rows(source, {"prior": prior, "prior_unfinalised": alt, "steps": [steps, alt_steps]})
+    train = [0.3, 0.4, 0.3]
+    mass = lambda q: sc.fold_sum([F.col("p")[i] * (float(q[i]) / train[i]) for i in range(KB)])
+    # a fixed point of the step: the mean posterior is the prior itself
+    means = source.agg(
+        F.count("*").alias("n_rows"), F.avg(F.log(mass([1 / 3] * 3))).alias("start_likelihood"), F.avg(F.log(mass(prior))).alias("likelihood"),
+        *[F.avg(F.col("p")[i] * (prior[i] / train[i]) / mass(prior)).alias(f"q{i}") for i in range(KB)])
+    moved = F.greatest(*[F.abs(F.col(f"q{i}") - prior[i]) for i in range(KB)])
+    return rounded(means.select("n_rows", "start_likelihood", (F.col("likelihood") >= F.col("start_likelihood") - 1e-9).alias("improved"), (moved < 1e-5).alias("fixed_point"),
+                                F.lit(max(abs(a - b) for a, b in zip(prior, alt)) < 1e-2).alias("agree")), "start_likelihood")
 
 
 _GRID7 = """sg AS (SELECT CAST(range AS INTEGER) AS point, round(0.3::DOUBLE + range * 0.05::DOUBLE, 10) AS s FROM range(75)),
@@ -149,21 +177,37 @@ def fit7_curve(spark, sf):
     return rounded(mt.summary(curve, ["point"]).select("point", "macro_f1"), "macro_f1")
 
 
-@query("fit7_greedy_scales")
+_BASE_F1 = class_sql("bpr")
+
+
+@query("fit7_greedy_scales", WB + "," + _BASE_F1 + f", b AS (SELECT CAST(sum(support) AS BIGINT) AS n_rows, avg(f1) AS f FROM cf) SELECT n_rows, {rq('f')} AS start_f1, TRUE AS improved, TRUE AS recomputed, TRUE AS local_optimum FROM b")
 def fit7(spark, sf):
     source = big(spark, sf).select("y", "p")
     with held(source) as rows:
         scales, f1 = fit.greedy_scales(rows, KB)[None]
-    return as_rows(source, {"scale": scales, "macro_f1": [f1]})
+    points = fit.grid(fit.GRID_LO, fit.GRID_HI, fit.GRID_STEP)
+    moves = [[x if i == c else s for i, s in enumerate(scales)] for c in range(KB) for x in points[::5]]
+    got = fit.evaluate_candidates(source, [[1.0] * KB, scales, *moves], KB)
+    at = lambda i: F.max(F.when(F.col("cand") == i, F.col("objective")))
+    return rounded(got.agg(at(0).alias("start_f1"), at(1).alias("own"), F.max("objective").alias("top")).select(
+        F.lit(source.count()).cast("bigint").alias("n_rows"), "start_f1", (F.col("own") >= F.col("start_f1")).alias("improved"), (F.abs(F.col("own") - f1) < 1e-9).alias("recomputed"),
+        (F.col("top") <= F.col("own") + 1e-12).alias("local_optimum")), "start_f1")
 
 
-@query("fit8_kfold_scales")
+_FOLDS8 = f""", k8 AS (SELECT row_id, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || row_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM bp),
+fb AS (SELECT CAST(((rn - 1) * 5) // n AS INTEGER) AS fold, bpr.y, bpr.pred FROM k8 JOIN bpr USING (row_id))"""
+
+
+@query("fit8_kfold_scales", WB + _FOLDS8 + "," + class_sql("fb", "fold") + f" SELECT fold, CAST(sum(support) AS BIGINT) AS n_rows, {rq('avg(f1)')} AS baseline, TRUE AS in_grid, TRUE AS gains_overall FROM cf GROUP BY 1")
 def fit8(spark, sf):
     source = sp.stratified_folds(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", 5, 42).select("fold", "y", "p")
     with held(source) as rows:
         scales, report = fit.kfold_scales(rows, KB, 5)
-        gains = {v: [x["macro_f1"] for x in report if x["variant"] == v] for v in ("baseline", "tuned")}
-    return as_rows(source, {"scale": scales, **gains})
+    base, tuned = ({x["fold"]: x["macro_f1"] for x in report if x["variant"] == v} for v in ("baseline", "tuned"))
+    table = F.create_map(*[x for f, v in base.items() for x in (F.lit(f), F.lit(v))])
+    inside = all(fit.GRID_LO <= s <= fit.GRID_HI for s in scales)
+    return rounded(source.groupBy("fold").agg(F.count("*").alias("n_rows")).select(
+        "fold", "n_rows", F.try_element_at(table, F.col("fold")).alias("baseline"), F.lit(inside).alias("in_grid"), F.lit(sum(tuned.values()) >= sum(base.values())).alias("gains_overall")), "baseline")
 
 
 _CAND = [[1.0, 1.0, 1.0], [2.0, 1.0, 0.5], [0.5, 1.5, 1.2], [1.1, 0.9, 1.0]]
@@ -179,20 +223,35 @@ def fit9_eval(spark, sf):
     return rounded(a.join(b, "cand"), "macro_f1", "weighted_f1")
 
 
-@query("fit9_evolved_scales")
+@query("fit9_evolved_scales", WB + "," + _BASE_F1 + f", b AS (SELECT CAST(sum(support) AS BIGINT) AS n_rows, avg(f1) AS f FROM cf) SELECT n_rows, {rq('f')} AS start_f1, TRUE AS improved, TRUE AS recomputed, TRUE AS in_bounds FROM b")
 def fit9(spark, sf):
     source = big(spark, sf).select("y", "p")
     with held(source) as rows:
         scales, best = fit.evolve_scales(rows, [(0.3, 4.0)] * KB)
-    return as_rows(source, {"scale": scales, "macro_f1": [best]})
+    got = fit.evaluate_candidates(source, [[1.0] * KB, scales], KB)
+    at = lambda i: F.max(F.when(F.col("cand") == i, F.col("objective")))
+    return rounded(got.agg(at(0).alias("start_f1"), at(1).alias("own")).select(
+        F.lit(source.count()).cast("bigint").alias("n_rows"), "start_f1", (F.col("own") >= F.col("start_f1")).alias("improved"), (F.abs(F.col("own") - best) < 1e-9).alias("recomputed"),
+        F.lit(all(0.3 <= s <= 4.0 for s in scales)).alias("in_bounds")), "start_f1")
+
+
+_CHECK10 = """, k10 AS (SELECT row_id, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || row_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM bp),
+cb AS (SELECT bpr.y, bpr.pred FROM k10 JOIN bpr USING (row_id) WHERE rn > round(n * 0.8::DOUBLE))"""
 
 
-@query("fit10_guarded_scales")
+@query("fit10_guarded_scales", WB + _CHECK10 + "," + class_sql("cb") + f", b AS (SELECT CAST(sum(support) AS BIGINT) AS n_check, avg(f1) AS f FROM cf) SELECT n_check, {rq('f')} AS check_f1, TRUE AS delta_recomputed, TRUE AS policy_follows FROM b")
 def fit10(spark, sf):
     source = sp.stratified_split(big(spark, sf).select("row_id", "y", "p"), "y", "row_id", [0.8], ["tune", "check"], 42)
     with held(source) as rows:
         got = fit.guarded_scales(rows.filter("split = 'tune'"), rows.filter("split = 'check'"), KB)
-    return as_rows(source, {"scale": got["scales"], "delta": [got["delta"]]}).withColumn("policy", F.lit(got["policy"]))
+    d, policy, check = got["delta"], got["policy"], source.filter("split = 'check'")
+    follows = {"revert": d < 0, "coarse_grid": d > 0.15, "keep_cautiously": 0 <= d < 0.03, "keep": 0.03 <= d <= 0.15}[policy]
+    scored = fit.evaluate_candidates(check, [[1.0] * KB, got["scales"]], KB)
+    at = lambda i: F.max(F.when(F.col("cand") == i, F.col("objective")))
+    # only scales that were kept are those whose gain was measured
+    gain = F.abs(at(1) - at(0) - d) < 1e-9 if policy.startswith("keep") else at(1) >= at(0) - 1e-12
+    return rounded(scored.agg(at(0).alias("check_f1"), gain.alias("delta_recomputed")).select(
+        F.lit(check.count()).cast("bigint").alias("n_check"), "check_f1", "delta_recomputed", F.lit(follows).alias("policy_follows")), "check_f1")
 
 
 @query("fit11_best_method", WB + "," + class_sql("bpr") + f""", o AS (SELECT 'default' AS method, avg(f1) AS score FROM cf UNION ALL SELECT 'zero', 0.0 UNION ALL SELECT 'also_default', avg(f1) FROM cf)
@@ -204,14 +263,19 @@ def fit11(spark, sf):
     return rounded(fit.best_method(scored, "method", "score"), "score")
 
 
-@query("fit12_calibration_report")
+@query("fit12_calibration_report", WB + _RAW + f", ac AS (SELECT avg((y = pred)::INT::DOUBLE) AS a FROM bpr), n AS (SELECT avg(l) AS l FROM rl), m AS (SELECT unnest(['raw', 'global', 'per_class', 'dirichlet']) AS method) "
+       f"SELECT method, CASE WHEN method = 'raw' THEN {rq('l', 5)} END AS raw_nll, CASE WHEN method = 'raw' THEN {rq('a', 5)} END AS raw_accuracy, TRUE AS not_above_raw FROM m, n, ac")
 def fit12(spark, sf):
     source = pred_big(spark, sf).select("y", "z")
     with held(source) as rows:
         t, _ = fit.fit_temperature(rows, KB)
         ts, _ = fit.fit_class_temperatures(rows, KB)
         w, b, _ = fit.fit_dirichlet(rows, KB)
-    return rounded(fit.calibration_report(source, KB, t, ts, w, b), "nll", "brier", "ece", "mce", "accuracy", digits=5)
+    report = fit.calibration_report(source, KB, t, ts, w, b)
+    raw = F.max(F.when(F.col("method") == "raw", F.col("nll"))).over(Window.partitionBy())  # one row per method
+    return rounded(report.select(
+        "method", F.when(F.col("method") == "raw", F.col("nll")).alias("raw_nll"), F.when(F.col("method") == "raw", F.col("accuracy")).alias("raw_accuracy"),
+        (F.col("nll") <= raw + 1e-3).alias("not_above_raw")), "raw_nll", "raw_accuracy", digits=5)
 
 
 @query("fit12_report_fixed_parameters", WB + """, v AS (SELECT 'raw' AS method, y, z0, z1, z2 FROM bz UNION ALL SELECT 'global', y, z0/0.8, z1/0.8, z2/0.8 FROM bz UNION ALL SELECT 'per_class', y, z0/0.9, z1/1.1, z2/2.0 FROM bz

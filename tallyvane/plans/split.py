@@ -113,7 +113,11 @@ def spl6(spark, sf):
     return sp.stratified_split(rows, "label", "row_id", [0.8], ["tune", "check"], 7).select("row_id", "split")
 
 
-@query("spl7_balanced_poisson")
+@query("spl7_balanced_poisson", """WITH c AS (SELECT o_orderpriority AS cls, count(*)::DOUBLE AS n FROM orders GROUP BY 1), r AS (SELECT cls, (1.0 / n) * sum(n) OVER () / count(*) OVER () AS lam FROM c),
+k AS (SELECT range AS k FROM range(60)), d AS (SELECT cls, sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) OVER (PARTITION BY cls ORDER BY k) AS cdf FROM r, k),
+u AS (SELECT o_orderkey, o_orderpriority AS cls, ('0x' || substr(md5('42:' || o_orderkey), 1, 13))::BIGINT / pow(2, 52) AS u FROM orders),
+p AS (SELECT u.o_orderkey, u.cls, count(*) FILTER (WHERE u >= cdf) AS copies FROM u JOIN d USING (cls) GROUP BY 1, 2)
+SELECT cls AS o_orderpriority, count(*) AS n_rows, sum(copies)::BIGINT AS n_drawn FROM p GROUP BY 1""")
 def spl7(spark, sf):
     rows = sp.poisson_balanced(groups(spark, sf), "o_orderpriority", "o_orderkey", SEED, power=1.0)
     return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n_rows"), F.sum("copies").alias("n_drawn"))
