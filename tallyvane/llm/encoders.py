@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -50,6 +51,29 @@ class WordEncoder:
         return first + b"".join(out)
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file, such as the end of a text: string -> id."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+class AddedEncoder:
+    """Ids of whole texts in which added tokens stand for themselves, as ``tokenizers`` reads them.
+
+    A text is cut at each added token, the longest first where two begin alike; what lies between is
+    encoded on its own.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], added: dict[str, int]):
+        self.encode, self.ids = encode, {t: np.asarray([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def __call__(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self.encode(text)
+        return b"".join(self.ids[p] if i % 2 else self.encode(p) for i, p in enumerate(self.cut.split(text)))
+
+
 @lru_cache(maxsize=2)
 def json_tokenizer(path: str):
     """The tokenizer of a ``tokenizers`` file; special strings in a text are ordinary text."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.llm.common import col, table
-from tallyvane.llm.encoders import rank_encoder
+from tallyvane.llm.encoders import AddedEncoder, rank_encoder
 
 PIECES = "row_id long, doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long{ids}"
 
@@ -56,7 +56,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
     return bins, offsets
 
 
-def cut(df: DataFrame, id_col: str, text_col: str, ranks: str, pattern: str, end_id: int, length: int, with_ids: bool = False) -> DataFrame:
+def cut(df: DataFrame, id_col: str, text_col: str, ranks: str, pattern: str, end_id: int, length: int, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of each document: full sequences from its start, then the rest.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. One pass over
@@ -67,7 +67,7 @@ def cut(df: DataFrame, id_col: str, text_col: str, ranks: str, pattern: str, end
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(ranks, pattern)
+        encode = AddedEncoder(rank_encoder(ranks, pattern), added or {})
         for batch in batches:
             at, start, size, crc, total, own = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -96,7 +96,7 @@ def cut(df: DataFrame, id_col: str, text_col: str, ranks: str, pattern: str, end
 
 def pack(
     df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1,
-    group_size: int = 2048, seed: int = 42, with_ids: bool = False,
+    group_size: int = 2048, seed: int = 42, with_ids: bool = False, added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Operator 10. Documents packed into sequences of at most ``length`` tokens.
 
@@ -106,7 +106,8 @@ def pack(
     packed on its own, largest first, each into the first sequence with room, found by a
     tournament tree of the rooms left. Groups depend on a hash of the row's number, so a source,
     key or set of copies that owns a third of the rows is spread like any other; a group's size
-    does not grow with the input, only the number of groups does.
+    does not grow with the input, only the number of groups does. Strings of ``added`` tokens in a
+    text become their ids, as ``tokenizers`` does by default; without it they are ordinary text.
 
     Defined cases: null and empty texts are one piece with ``end_id`` alone; a null or repeated
     doc_id changes nothing, each row is packed as a document of its own; equal lengths go in row
@@ -115,7 +116,7 @@ def pack(
     """
     if length < 1 or group_size < 1:
         raise ValueError("length and group_size must be positive")
-    pieces = table(cut(df, id_col, text_col, ranks, pattern, end_id, length, with_ids), "pieces")
+    pieces = table(cut(df, id_col, text_col, ranks, pattern, end_id, length, with_ids, added), "pieces")
     n_groups = max(1, -(-pieces.count() // group_size))
     kind = dict(df.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")

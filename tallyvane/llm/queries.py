@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import bpe, chat, divergence, merkle, minhash, packing, phrases, pii, quality_fm, spelling, subspace, url_rules, warc
+from tallyvane.llm.encoders import read_added
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +31,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op10_pack_sequences")
 def op10_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = read_added(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 @query("op1_quality_fm")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.llm import packing
-from tallyvane.llm.encoders import json_tokenizer
+from tallyvane.llm.encoders import json_tokenizer, read_added
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 TEXTS = [
@@ -43,6 +43,20 @@ def test_pieces_cover_each_document_and_match_tokenizers(spark):
         assert at <= 64
 
 
+def test_added_tokens_are_read_as_the_plain_tokenizer_reads_them(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| >  <|endoftext|>\n\n word"]
+    got = packing.pack(frame(spark, texts), RANKS, P.PATTERN, with_ids=True, added=read_added(path)).collect()
+    assert read_added(path) == {"<|endoftext|>": 50256}
+    for i, text in enumerate(texts):
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [1]
+        mine = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start))
+        assert mine == np.asarray(ids, dtype="<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_tree_equals_plain_first_fit(seed):
     rng = np.random.default_rng(seed)
