@@ -48,7 +48,7 @@ def _parts(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
 
 
 class Vocabulary:
-    """Ranks of a file as one scalar: by a token's bytes its rank, its merge, and its id and bytes in hex.
+    """Ranks of a file as two scalars: by a token's bytes its rank, merge and id in hex; by id the token's bytes in hex.
 
     Bytes are characters of the same number here, so that Spark's string functions work on them.
     Its size is that of the file, whatever the input.
@@ -64,11 +64,21 @@ class Vocabulary:
             merge = (OPEN + text(both[0]) + CLOSE + OPEN + text(both[1]) + CLOSE, OPEN + text(token) + CLOSE) if both else (None, None)
             rows.append((text(token), r, *merge, r.to_bytes(4, "little").hex(), token.hex()))
         tokens = table(spark.createDataFrame(rows, "token string, rank int, pair string, joined string, id_hex string, token_hex string"), "vocabulary")
-        self.maps = _literal(tokens, "token", F.struct("rank", "pair", "joined", "id_hex", "token_hex"), BUCKETS)
+        self.maps = _literal(tokens, "token", F.struct("rank", "pair", "joined", "id_hex"), BUCKETS)
+        # an id is its place here; ids that the file does not use are null
+        ids = spark.range(max(ranks.values(), default=0) + 1).select(F.col("id").cast("int").alias("rank")).join(tokens.select("rank", "token_hex"), "rank", "left")
+        in_order = F.array_sort(F.collect_list(F.struct("rank", "token_hex")), lambda x, y: x["rank"] - y["rank"])
+        self.bytes = table(ids.agg(F.transform(in_order, lambda x: x["token_hex"]).alias("all")), "bytes").scalar()
 
 
-def merge(piece: Column, maps: Column, longest: int) -> Column:
-    """Ids and bytes of one piece (a string), in hex: a fold of ranked merges over its bytes.
+def decode(ids: Column, bytes_by_id: Column) -> Column:
+    """Bytes that an array of ids stands for, in hex; null if one of them is no id."""
+    pieces = F.transform(ids, lambda i: F.get(bytes_by_id, i))
+    return F.when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, ""))
+
+
+def merge(piece: Column, maps: Column, bytes_by_id: Column, longest: int) -> Column:
+    """Ids of one piece (a string) and the bytes decoded from them, in hex: a fold of ranked merges over its bytes.
 
     The tokens that occur in the piece are looked up and sorted by rank, and the fold applies the
     merge of each to all places at once, from left to right. A merge only makes pairs of higher
@@ -83,8 +93,9 @@ def merge(piece: Column, maps: Column, longest: int) -> Column:
         folded = F.aggregate(ranked, start, lambda s, t: F.replace(s, t["pair"], t["joined"]))
         return F.transform(F.regexp_extract_all(folded, F.lit(f"(?s){OPEN}([^{CLOSE}]+){CLOSE}"), F.lit(1)), lambda t: _find(maps, t))
 
-    joined = lambda tokens: F.struct(F.array_join(F.transform(tokens, lambda t: t["id_hex"]), "").alias("ids"), F.array_join(F.transform(tokens, lambda t: t["token_hex"]), "").alias("bytes"))
-    whole = lambda raw: let(_find(maps, raw), lambda t: F.when(t.isNotNull(), F.struct(t["id_hex"].alias("ids"), t["token_hex"].alias("bytes"))).otherwise(let(of_bytes(raw), joined)))
+    joined = lambda tokens: F.struct(
+        F.array_join(F.transform(tokens, lambda t: t["id_hex"]), "").alias("ids"), decode(F.transform(tokens, lambda t: t["rank"]), bytes_by_id).alias("bytes"))
+    whole = lambda raw: let(_find(maps, raw), lambda t: let(F.when(t.isNotNull(), F.array(t)).otherwise(of_bytes(raw)), joined))
     return let(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), whole)
 
 
@@ -103,17 +114,17 @@ def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000) -> DataFrame:
-    """(doc_id, words): per match of every text its ids and the bytes they stand for, in hex."""
+    """(doc_id, words): per match of every text its ids and the bytes decoded from these ids, in hex."""
     vocabulary = Vocabulary(df.sparkSession, path)
     rows = df.select(col(id_col).alias("doc_id"), pieces(F.coalesce(col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
     seen = rows.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     top = table(seen.filter(F.octet_length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(frequent).select("piece"), "frequent")
-    dealt = with_scalars(top.repartition(32, "piece"), _maps=vocabulary.maps)
-    known = table(dealt.select("piece", let(F.col("_maps"), lambda m: merge(F.col("piece"), m, vocabulary.longest)).alias("word")), "known")
+    dealt = with_scalars(top.repartition(32, "piece"), _maps=vocabulary.maps, _bytes=vocabulary.bytes)
+    known = table(dealt.select("piece", let(F.col("_maps"), lambda m: let(F.col("_bytes"), lambda d: merge(F.col("piece"), m, d, vocabulary.longest))).alias("word")), "known")
     words = _literal(known, "piece", F.col("word"), max(1, frequent // 2))
-    one = lambda p, m, w: let(_find(w, p), lambda word: F.coalesce(word, merge(p, m, vocabulary.longest)))
-    all_words = let(F.col("_maps"), lambda m: let(F.col("_words"), lambda w: F.transform("pieces", lambda p: one(p, m, w))))
-    return with_scalars(rows, _maps=vocabulary.maps, _words=words).select("doc_id", all_words.alias("words"))
+    one = lambda p, m, d, w: let(_find(w, p), lambda word: F.coalesce(word, merge(p, m, d, vocabulary.longest)))
+    all_words = let(F.col("_maps"), lambda m: let(F.col("_bytes"), lambda d: let(F.col("_words"), lambda w: F.transform("pieces", lambda p: one(p, m, d, w)))))
+    return with_scalars(rows, _maps=vocabulary.maps, _bytes=vocabulary.bytes, _words=words).select("doc_id", all_words.alias("words"))
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000) -> DataFrame:
@@ -122,7 +133,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     Ranked merges are folded over the bytes of distinct words by higher-order functions, with the
     ranks as a literal. The ``frequent`` most frequent pieces of all documents are encoded once and
     become a literal themselves; others are folded where they stand. A text never moves: all that
-    is shuffled are counts of pieces. Decoding looks up the bytes of each id and concatenates them.
+    is shuffled are counts of pieces. Decoding takes the ids alone: an array holds the bytes of each
+    id, found by the id, and they are concatenated.
 
     Defined cases: null and empty texts have no ids; a null or repeated id changes nothing; pieces
     of equal count are taken in their own order, which changes no result; long texts and long

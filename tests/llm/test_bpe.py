@@ -51,3 +51,14 @@ def test_refuses_ranks_that_are_no_merges():
     assert bpe._parts(b"ab", ranks) == (b"a", b"b")
     with pytest.raises(ValueError):
         bpe._parts(b"abc", ranks)
+
+
+def test_decoding_follows_the_ids(spark):
+    """Other ids give other bytes, and what is no id gives nothing."""
+    from pyspark.sql import functions as F
+
+    vocabulary = bpe.Vocabulary(spark, PATH)
+    ids = OWN.encode_ordinary("Hello wörld 🙂")
+    rows = spark.createDataFrame([(ids,), (ids[::-1],), ([],), ([10**6],)], "ids array<int>")
+    got = bpe.with_scalars(rows, _b=vocabulary.bytes).select("ids", bpe.let(F.col("_b"), lambda b: bpe.decode(F.col("ids"), b)).alias("hex")).collect()
+    assert [r.hex for r in got] == [OWN.decode_bytes(ids).hex(), OWN.decode_bytes(ids[::-1]).hex(), "", None]
