@@ -707,9 +707,10 @@ def agg6(spark, sf):
     return rounded(qg.stage_failures(qg.run_stages(stage_input(spark, sf), STAGES)), "share")
 
 
-@query("agg6_throughput")
+@query("agg6_throughput", "SELECT count(*) FILTER (WHERE page_id % 9 > 1) AS n_ok, count(*) FILTER (WHERE page_id % 9 <= 1) AS n_failed, TRUE AS has_rate FROM pages")
 def agg6_rate(spark, sf):
-    return qg.throughput(qg.run_stages(stage_input(spark, sf), STAGES))
+    """The rate is of this run, so only its presence can be compared."""
+    return qg.throughput(qg.run_stages(stage_input(spark, sf), STAGES)).select("n_ok", "n_failed", (F.col("records_per_task_second") > 0).alias("has_rate"))
 
 
 @query("qg5_incremental_rerun", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE page_id % 9 <= 1 OR page_id % 4 = 0")
@@ -717,3 +718,62 @@ def qg5(spark, sf):
     source = stage_input(spark, sf).withColumn("id", F.col("id").cast("string"))
     done = qg.run_stages(source.filter(F.col("id").cast("int") % 4 != 0), STAGES)
     return qg.pending(source, done).select("id")
+
+
+# ---- sources read from files ------------------------------------------------------------
+
+def written_sources(spark, sf) -> str:
+    """Source folders made of customers: a training pair, a test pair without its metadata, one coded table."""
+    root = scratch_path(spark, "raw")
+    c = table(spark, sf, "customer").withColumn("image", F.concat(F.lit("IMG_"), F.col("c_custkey").cast("string")))
+    k = F.col("c_custkey")
+    put = lambda df, name: df.write.option("header", True).csv(f"{root}/{name}")
+    onehot = [(k % 8 == i).cast("double").alias(code) for i, code in enumerate(CLASSES)]
+    put(c.filter(k % 4 != 0).select("image", *onehot), "isic2019/ISIC_2019_Training_GroundTruth.csv")
+    put(c.filter(k % 4 == 0).select("image", *onehot), "isic2019/ISIC_2019_Test_GroundTruth.csv")
+    meta_cols = ((k % 97).alias("age_approx"), F.when(k % 3 == 0, "male").otherwise("female").alias("sex"), F.lit("head/neck").alias("anatom_site_general"))
+    put(c.filter(k % 5 != 0).select("image", *meta_cols, F.concat(F.lit("L"), F.floor(k / 3).cast("string")).alias("lesion_id")), "isic2019/ISIC_2019_Training_Metadata.csv")
+    codes = F.array(*[F.lit(x) for x in ("mel", "nv", "bcc", "zzz")])
+    put(c.select(F.col("image").alias("image_id"), F.get(codes, (k % 4).cast("int")).alias("dx"), (k % 90).alias("age"), F.lit("m").alias("sex"), F.lit("back").alias("localization"), F.col("image").alias("lesion_id")),
+        "ham10000/HAM10000_metadata.csv")
+    return root
+
+
+_CODES = ", ".join(f"'{c}'" for c in CLASSES)
+_FROM_FILES = f"""a AS (SELECT 'isic2019' AS dataset_key, 'IMG_' || c_custkey AS image_id, ([{_CODES}])[c_custkey % 8 + 1] AS class_name,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'L' || c_custkey // 3 ELSE 'IMG_' || c_custkey END AS lesion_id, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 97 > 0 THEN (c_custkey % 97)::DOUBLE END AS age,
+  CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'male' ELSE 'female' END END AS sex FROM customer WHERE c_custkey % 4 <> 0),
+h AS (SELECT 'ham10000' AS dataset_key, 'IMG_' || c_custkey AS image_id, (['MEL', 'NV', 'BCC'])[c_custkey % 4 + 1] AS class_name, 'IMG_' || c_custkey AS lesion_id,
+  CASE WHEN c_custkey % 90 > 0 THEN (c_custkey % 90)::DOUBLE END AS age, 'male' AS sex FROM customer WHERE c_custkey % 4 <> 3)"""
+
+
+@query("src5_pairs_from_files", "WITH " + _FROM_FILES + " SELECT image_id, class_name, lesion_id, age, sex FROM a")
+def src5_files(spark, sf):
+    rows, _ = ad.load_all(spark, ["isic2019"], written_sources(spark, sf))
+    return rows.select("image_id", "class_name", "lesion_id", "age", "sex")
+
+
+@query("src9_load_from_files", "WITH " + _FROM_FILES + " SELECT * FROM a UNION ALL SELECT * FROM h")
+def src9_files(spark, sf):
+    rows, _ = ad.load_all(spark, ["isic2019", "ham10000", "pad_ufes_20"], written_sources(spark, sf))
+    return rows.select("dataset_key", "image_id", "class_name", "lesion_id", "age", "sex")
+
+
+@query("src9_load_status", """WITH c AS (SELECT count(*) FILTER (WHERE c_custkey % 4 <> 0) AS i, count(*) FILTER (WHERE c_custkey % 4 <> 3) AS h FROM customer)
+SELECT * FROM (SELECT 'isic2019' AS dataset_key, 'loaded without ISIC_2019_Test_GroundTruth.csv + ISIC_2019_Test_Metadata.csv' AS status, i AS n FROM c UNION ALL SELECT 'ham10000', 'loaded', h FROM c
+ UNION ALL SELECT 'pad_ufes_20', 'no files', 0 FROM c UNION ALL SELECT 'other', 'no adapter', 0 FROM c)""")
+def src9_status(spark, sf):
+    rows, status = ad.load_all(spark, ["isic2019", "ham10000", "pad_ufes_20", "other"], written_sources(spark, sf))
+    counts = rows.groupBy("dataset_key").agg(F.count("*").alias("n"))
+    said = spark.createDataFrame(status, "dataset_key string, status string").withColumn("status", F.regexp_replace("status", "^no files.*", "no files"))
+    return said.join(counts, "dataset_key", "left").select("dataset_key", "status", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+@query("src2_scanned_folders", "SELECT CAST(page_id % 7 AS VARCHAR) AS folder, 'txt' AS ext, count(*) AS n_lines, sum(strlen(url) + 1)::BIGINT AS n_bytes FROM pages GROUP BY 1")
+def src2_scan(spark, sf):
+    """Pages written as text files in folders, found and read again by the scanner."""
+    root = scratch_path(spark, "listing")
+    pages = table(spark, sf, "pages").select(F.col("url").alias("value"), (F.col("page_id") % 7).alias("folder"))
+    pages.write.partitionBy("folder").text(root)
+    found = cg.list_files(spark, root).select(F.regexp_extract("path", "folder=([0-9]+)", 1).alias("folder"), F.ltrim(F.col("ext"), F.lit(".")).alias("ext"), "length", F.decode("content", "UTF-8").alias("text"))
+    return found.groupBy("folder", "ext").agg(F.sum(F.regexp_count("text", F.lit("\n"))).cast("bigint").alias("n_lines"), F.sum("length").alias("n_bytes"))

@@ -126,13 +126,18 @@ def quarantined(df: DataFrame, adapter: Adapter) -> DataFrame:
     )
 
 
+def skipped_groups(spark: SparkSession, adapter: Adapter, raw_root: str) -> list[str]:
+    """File groups of a source of which a file is missing; none of their rows are read."""
+    return [" + ".join(group) for group in adapter.files if not all(path_exists(spark, f"{raw_root}/{adapter.key}/{name}") for name in group)]
+
+
 def read_source(spark: SparkSession, adapter: Adapter, raw_root: str) -> DataFrame:
     """SRC5-SRC8. The source's own table: (labels ⟕ metadata) pairs unioned, a missing pair skipped."""
-    parts = []
+    parts, skipped = [], skipped_groups(spark, adapter, raw_root)
     for group in adapter.files:
-        paths = [f"{raw_root}/{adapter.key}/{name}" for name in group]
-        if not all(path_exists(spark, p) for p in paths):
+        if " + ".join(group) in skipped:
             continue
+        paths = [f"{raw_root}/{adapter.key}/{name}" for name in group]
         tables = [read_csv_text(spark, p) for p in paths]
         parts.append(tables[0] if len(tables) == 1 else attach_metadata(tables[0], tables[1], adapter.image))
     if not parts:
@@ -144,7 +149,10 @@ def load_all(
     spark: SparkSession, keys: Sequence[str], raw_root: str, image_root: str = "", listing: DataFrame | None = None,
     adapters: Mapping[str, Adapter] = ADAPTERS,
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """SRC9. Union over the requested datasets with a status per key; unknown or failed ones are skipped."""
+    """SRC9. Union over the requested datasets with a status per key; unknown or failed ones are skipped.
+
+    The status of a loaded dataset names the file groups that were left out because a file is missing.
+    """
     frames, status = [], []
     for key in keys:
         if key not in adapters:
@@ -153,7 +161,8 @@ def load_all(
         try:
             rows = adapt(read_source(spark, adapters[key], raw_root), adapters[key], image_root)
             frames.append(existing(rows, listing, "src_image_path") if listing is not None else rows)
-            status.append((key, "loaded"))
+            skipped = skipped_groups(spark, adapters[key], raw_root)
+            status.append((key, f"loaded without {', '.join(skipped)}" if skipped else "loaded"))
         except FileNotFoundError as e:
             status.append((key, str(e)))
     if not frames:
