@@ -421,15 +421,18 @@ def evaluate_candidates(df: DataFrame, candidates: Sequence[Sequence[float]], k:
     return mt.class_report(conf, ["cand"]).groupBy("cand").agg((F.sum(w * F.col("f1")) / float(sum(weights))).alias("objective"))
 
 
+MOST_GENERATIONS = 500
+
+
 def evolve_scales(
     df: DataFrame, bounds: Sequence[tuple[float, float]], weights: Sequence[float] | None = None,
-    population: int | None = None, generations: int = 500, tol: float = 0.01, seed: int = 42, labels: int | None = None, unfinished: bool = False,
+    population: int | None = None, generations: int | None = None, tol: float = 0.01, seed: int = 42, labels: int | None = None,
 ) -> tuple[list[float], float]:
     """FIT9. Seeded population search under per-class bounds; one job per generation.
 
     Thirty vectors per class by default. The search ends when the spread of the objective over
-    the population is within ``tol`` of its mean. After ``generations`` without that it fails,
-    unless ``unfinished`` asks for the best so far.
+    the population is within ``tol`` of its mean, and fails after ``MOST_GENERATIONS`` without that.
+    A number of ``generations`` asks for the best that so many find, converged or not.
 
     The all-ones vector is in the first generation when the bounds allow it, so the result is
     never worse than no scaling there.
@@ -441,7 +444,7 @@ def evolve_scales(
     judge = lambda vs: {r.cand: r.objective for r in evaluate_candidates(df, vs, k, weights, labels).collect()}
     got = judge(pool)
     value = [got[i] for i in range(population)]
-    for _ in range(generations):
+    for _ in range(MOST_GENERATIONS if generations is None else generations):
         trial = []
         for i in range(population):
             a, b, c = rng.sample(range(population), 3)
@@ -456,8 +459,8 @@ def evolve_scales(
         if np.std(value) <= tol * abs(np.mean(value)):
             break
     else:
-        if not unfinished:
-            raise RuntimeError(f"the population has not converged in {generations} generations")
+        if generations is None:
+            raise RuntimeError(f"the population has not converged in {MOST_GENERATIONS} generations")
     best = max(range(population), key=lambda i: value[i])
     return pool[best], value[best]
 

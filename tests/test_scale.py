@@ -72,7 +72,7 @@ def test_untouched_buckets_stay(spark):
     assert sorted(n for n in child_names(spark, table) if n.startswith("rows-")) == ["rows-0", "rows-2", "rows-3"]
 
 
-def test_unconverged_fits_fail(spark):
+def test_unconverged_fits_fail(spark, monkeypatch):
     rng = np.random.default_rng(1)
     zs = rng.normal(size=(200, 2, 3)) * 3
     y = np.where(rng.random(200) < 0.8, zs[:, 1].argmax(axis=1), rng.integers(0, 3, 200))
@@ -81,5 +81,7 @@ def test_unconverged_fits_fail(spark):
         fit.fit_ensemble_weights(stacked, 2, 3, max_iter=0)
     assert fit.fit_ensemble_weights(stacked, 2, 3, max_iter=0, unfinished=True)[0] == [0.5, 0.5]
     probs = spark.createDataFrame([(int(v), p) for v, p in zip(rng.integers(0, 2, 50), rng.dirichlet([1, 1], 50).tolist())], "y int, p array<double>")
+    monkeypatch.setattr(fit, "MOST_GENERATIONS", 1)
     with pytest.raises(RuntimeError, match="not converged"):
-        fit.evolve_scales(probs, [(0.3, 4.0)] * 2, population=4, generations=1, tol=0.0)
+        fit.evolve_scales(probs, [(0.3, 4.0)] * 2, population=4, tol=0.0)
+    assert len(fit.evolve_scales(probs, [(0.3, 4.0)] * 2, population=4, generations=1, tol=0.0)[0]) == 2
