@@ -74,7 +74,7 @@ class Vocabulary:
 def decode(ids: Column, bytes_by_id: Column) -> Column:
     """Bytes that an array of ids stands for, in hex; null if one of them is no id."""
     pieces = F.transform(ids, lambda i: F.get(bytes_by_id, i))
-    return F.when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, ""))
+    return let(pieces, lambda found: F.when(F.forall(found, lambda p: p.isNotNull()), F.array_join(found, "")))
 
 
 def merge(piece: Column, maps: Column, bytes_by_id: Column, longest: int) -> Column:
@@ -87,8 +87,9 @@ def merge(piece: Column, maps: Column, bytes_by_id: Column, longest: int) -> Col
     def of_bytes(raw: Column) -> Column:
         n = F.length(raw)
         inside = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
-            F.sequence(F.lit(2), F.least(F.lit(longest), n - i + 1)), lambda k: _find(maps, F.substring(raw, i, k)))))
-        ranked = F.array_sort(F.filter(inside, lambda t: t.isNotNull()))
+            F.sequence(F.lit(2), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring(raw, i, k))))
+        # sort_array orders in compiled code; array_sort would call a lambda for every comparison
+        ranked = F.sort_array(F.filter(F.transform(inside, lambda s: _find(maps, s)), lambda t: t.isNotNull()))
         start = F.regexp_replace(raw, "(?s)(.)", f"{OPEN}$1{CLOSE}")
         folded = F.aggregate(ranked, start, lambda s, t: F.replace(s, t["pair"], t["joined"]))
         return F.transform(F.regexp_extract_all(folded, F.lit(f"(?s){OPEN}([^{CLOSE}]+){CLOSE}"), F.lit(1)), lambda t: _find(maps, t))
