@@ -4,7 +4,7 @@ from tallyvane.plans.registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from tallyvane.plans import curate, evaluate, fitting, report, score, split, stream, study  # noqa: F401
+    from tallyvane.plans import curate, evaluate, fitting, protocol, report, score, split, stream, study  # noqa: F401
 
 
 def all_queries() -> dict:

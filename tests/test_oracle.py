@@ -18,6 +18,7 @@ SAMPLE = [
     "flt8_intake_validation", "jn6_nearest_value", "jn7_pair_totals", "set1_content_dedup", "set2_greedy_near_dedup", "spl1_stratified_split",
     "spl2_group_split", "spl3_group_kfold", "agg5_class_medians", "qg1_image_stats", "str5_fallback_report", "cse1_case_record", "stm1_incremental_ingest",
     "study_identity_split", "study_paired_bootstrap", "study_mcnemar_by_class", "study_equalised_odds", "fit4_dirichlet", "jn4_qg7_version_pairs", "src9_load_status",
+    "run_split_kfold", "run_audit_bundle",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("TALLYVANE_FULL") else SAMPLE
 
