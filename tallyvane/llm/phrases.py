@@ -126,12 +126,14 @@ def letters(hashes: np.ndarray) -> bytes:
 
 
 def compiled(anchor: list[int], phrase: list[bytes]) -> ahocorasick.Automaton:
-    """Automaton over the letters of phrases; a phrase's value is its anchor."""
-    out = ahocorasick.Automaton()
+    """Automaton over the letters of phrases; the value of some letters is the anchors of all phrases that have them."""
+    shared: dict[str, list[int]] = {}
     for a, p in zip(anchor, phrase, strict=True):
-        key = p.decode("latin-1")
-        if not out.add_word(key, (a,)):
-            out.add_word(key, (*out.get(key), a))  # phrases may share their letters
+        shared.setdefault(p.decode("latin-1"), []).append(a)
+    out = ahocorasick.Automaton()
+    # an automaton replaces the value of a word that is added again, so each is added once
+    for key, own in shared.items():
+        out.add_word(key, tuple(own))
     out.make_automaton()
     return out
 

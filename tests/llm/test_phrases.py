@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import xxhash
 
 from tallyvane.llm import phrases as p
 from tallyvane.llm.queries import QUERIES
@@ -63,3 +64,22 @@ def test_texts_left(spark):
     assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()} >= {(d, h) for d, _, h in want}
     untouched = {d: t for (d, t) in rows if d in (203, 300, 301, 302, 303)}
     assert all(r.text == untouched[r.doc_id] for r in got.collect() if r.doc_id in untouched)
+
+
+def test_phrases_that_share_their_letters(spark):
+    rng = np.random.default_rng(1)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    by_letters = {}
+    for i in range(4000):
+        by_letters.setdefault(xxhash.xxh3_64_intdigest(f"q{i}".encode()) & 0xFFFF, []).append(f"q{i}")
+    twins = [v[:2] for v in by_letters.values() if len(v) > 1][:40]
+    rows = []
+    for pair in twins:
+        base = words(60)  # the two passages of a pair differ in words of equal letters only
+        for one in pair:
+            passage = [one if i % 8 == 4 else w for i, w in enumerate(base)]
+            rows += [(len(rows) + c, " ".join(words(5) + passage + words(7))) for c in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in p.repeated_passages(df).collect()), key=str) == brute(rows)
+    search = p.compiled([1, 2, 3], [b"ab" * 8, b"ab" * 8, b"cd" * 8])
+    assert sorted(x for _, found in search.iter("ab" * 8 + "cd" * 8) for x in found) == [1, 2, 3]
