@@ -504,8 +504,7 @@ def jn7(spark, sf):
 @query("jn7_pair_totals", "WITH " + NEAR + """ SELECT CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance, count(*) AS n_pairs
 FROM sh a JOIN sh b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) < 8 GROUP BY 1""")
 def jn7_totals(spark, sf):
-    prints = fingerprints(spark, sf)
-    return dd.duplicate_pair_totals(prints, dd.near_pairs(prints))
+    return dd.near_pair_totals(fingerprints(spark, sf))
 
 
 @query("set2_greedy_near_dedup", "WITH RECURSIVE " + NEAR + """, o AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, hi, lo FROM sh),
