@@ -114,8 +114,7 @@ def surplus_copies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, limit: int = 8) -> DataFrame:
     """AGG33. One row: pairs of rows whose fingerprints differ in fewer than ``limit`` bits, copies counted and not paired."""
     prints = cut_lineage(dd.copies(dd.simhash(df, key, text), key))
-    totals = dd.duplicate_pair_totals(prints, dd.near_pairs(prints, limit))
-    return totals.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).cast("long").alias("near_duplicates"))
+    return dd.near_pair_totals(prints, limit).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).cast("long").alias("near_duplicates"))
 
 
 def quality_summary(graded: DataFrame, real: DataFrame, fid: Column | float | None, near_duplicates: Column | int = 0, name: str = "near_duplicates") -> DataFrame:
