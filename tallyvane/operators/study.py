@@ -20,6 +20,7 @@ from tallyvane.functions import scores as sc
 from tallyvane.operators.graph import components, join_hot
 from tallyvane.operators.metrics import MIN_COHORT, ratio, summary
 from tallyvane.operators.split import SPLITS, group_split, stratified_split
+from tallyvane.storage import cut_lineage
 
 #: Prime of the replicate hashes, 2^31 - 1.
 PRIME = 2**31 - 1
@@ -47,7 +48,8 @@ def identity_split(df: DataFrame, ids: Sequence[str], key: str, by: str, seed: i
 
     No id of any of the columns ever straddles two splits. Adds ``group`` and ``split``.
     """
-    rows = identity_groups(df, ids)
+    # read several times by the cuts below, so the components and joins are not repeated
+    rows = cut_lineage(identity_groups(df, ids))
     grouped = group_split(rows.filter(F.col("group").isNotNull()), "group", seed, test, calibrate, select)
     free = stratified_split(rows.filter(F.col("group").isNull()), by, key, [test, calibrate, select], SPLITS, seed)
     return grouped.unionByName(free)
