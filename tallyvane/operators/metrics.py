@@ -27,9 +27,9 @@ def ratio(num: Column, den: Column) -> Column:
 
 # ---- confusion family ---------------------------------------------------------
 
-def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
-    """Non-zero confusion counts (by..., y, pred, n)."""
-    return df.groupBy(*by, F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Non-zero confusion counts (by..., y, pred, n). ``n`` names the column that says how many rows a row stands for."""
+    return df.groupBy(*by, F.col(y).alias("y"), F.col(pred).alias("pred")).agg((F.sum(n) if n else F.count("*")).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, k: int, y: str = "y", pred: str = "pred") -> DataFrame:

@@ -203,3 +203,24 @@ def test_prior_search_says_when_it_has_not_converged(spark):
     assert fit.sld_prior(df, [0.5, 0.5], 2, max_iter=2, unfinished=True)[1] == 2
     a, b = fit.sld_prior(df, [0.5, 0.5], 2), fit.sld_prior(df, [0.5, 0.5], 2, init="train")
     assert a[0] == pytest.approx(b[0], abs=1e-4)
+
+
+def test_folded_rows_give_the_results_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.dirichlet([1.0, 1.0, 1.0], 25)
+    rows = [(int(rng.integers(3)), [float(x) for x in kinds[i]], int(rng.integers(3))) for i in rng.integers(0, 25, 600)]
+    df = spark.createDataFrame(rows, "y int, p array<double>, fold int")
+    folded = fit.fold_equal(df, ["y", "p", "fold"])
+    assert folded.count() < 250 and folded.agg({"n": "sum"}).first()[0] == 600
+    a, b = fit.sld_prior(df, [0.3, 0.4, 0.3], 3, max_iter=20, tol=0.0, unfinished=True)[0], fit.sld_prior(folded, [0.3, 0.4, 0.3], 3, max_iter=20, tol=0.0, unfinished=True)[0]
+    assert np.allclose(a, b, atol=1e-12)
+    near = lambda got, want: all(x == pytest.approx(y, abs=1e-12) for x, y in zip(got, want, strict=True))
+    (s, f1), (t, f2) = (fit.greedy_scales(x, 3, step=0.5, passes=1)[None] for x in (df, folded))
+    assert s == t and f1 == pytest.approx(f2, abs=1e-12)
+    cand = [[1.0, 1.0, 1.0], [2.0, 1.0, 0.5]]
+    for w in (None, [2.5, 0.5, 3.0]):
+        assert near(*([r.objective for r in fit.evaluate_candidates(x, cand, 3, w).orderBy("cand").collect()] for x in (df, folded)))
+    one, two = (fit.kfold_scales(x, 3, 3, step=0.5, passes=1) for x in (df, folded))
+    order = lambda r: (r["fold"], r["variant"])
+    assert one[0] == two[0] and near(*([r["macro_f1"] for r in sorted(x[1], key=order)] for x in (one, two)))
+    assert near(*([r.macro_f1 for r in fit.scaled_f1(x, {"a": cand[0], "b": cand[1]}, 3).orderBy("variant").collect()] for x in (df, folded)))
