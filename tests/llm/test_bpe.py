@@ -62,3 +62,35 @@ def test_decoding_follows_the_ids(spark):
     rows = spark.createDataFrame([(ids,), (ids[::-1],), ([],), ([10**6],)], "ids array<int>")
     got = bpe.with_scalars(rows, _b=vocabulary.bytes).select("ids", bpe.let(F.col("_b"), lambda b: bpe.decode(F.col("ids"), b)).alias("hex")).collect()
     assert [r.hex for r in got] == [OWN.decode_bytes(ids).hex(), OWN.decode_bytes(ids[::-1]).hex(), "", None]
+
+
+def test_windows_hold_every_token_of_a_piece(spark):
+    """All tokens of two bytes or more are found with one look for each window, whether a window is a usual one or not."""
+    from pyspark.sql import functions as F
+
+    ranks = read_ranks(PATH)
+    vocabulary = bpe.Vocabulary(spark, PATH)
+    texts = [" dieeineinchge", " orbleerblehaor", "日本語テスト", "ab", "international"]
+    raws = [t.encode().decode("latin-1") for t in texts]
+    cut = [raw[i : i + bpe.WIDE] for raw in raws for i in range(0, len(raw) - 1, bpe.STEP)]
+    rows = bpe.with_scalars(spark.createDataFrame([(w,) for w in set(cut)], "w string"), _m=vocabulary.maps).select("w", bpe.let(F.col("_m"), lambda m: bpe.inside(F.col("w"), m)).alias("e")).collect()
+    found = {r.w: r.e for r in rows}
+    looks = substrings = 0
+    for raw in raws:
+        n, got = len(raw), set()
+        for i in range(0, n - 1, bpe.STEP):
+            entry = found[raw[i : i + bpe.WIDE]]
+            longer = [raw[i + x.o : i + x.o + x.k].encode("latin-1") for x in entry.longer or ()]
+            got |= set(entry.ranks) | {ranks[t] for t in longer if t in ranks}
+            looks += 1 + len(longer)
+        inside = [raw[i:j].encode("latin-1") for i in range(n) for j in range(i + 2, n + 1)]
+        assert got == {ranks[t] for t in inside if t in ranks}
+        substrings += len(inside)
+    assert looks * 3 < substrings  # each substring was looked up before
+    none = bpe._literal(spark.createDataFrame([], "w string, e struct<ranks:array<int>,longer:array<struct<o:int,k:int>>>"), "w", F.col("e"), bpe.BUCKETS)
+    pieces = bpe.with_scalars(spark.createDataFrame([(t,) for t in texts], "piece string"), _m=vocabulary.maps, _s=vocabulary.steps, _b=vocabulary.bytes, _w=none)
+    let = bpe.let
+    merged = let(F.col("_m"), lambda m: let(F.col("_s"), lambda s: let(F.col("_b"), lambda b: let(F.col("_w"), lambda w: bpe.merge(F.col("piece"), m, s, b, w)))))
+    for r in pieces.select("piece", merged.alias("word")).collect():
+        ids = OWN.encode_ordinary(r.piece)
+        assert r.word.ids == np.asarray(ids, dtype="<u4").tobytes().hex() and r.word.bytes == r.piece.encode().hex()
